@@ -1,82 +1,88 @@
-"""Scoring heads: from logits in micro-units (BIGINT) to scores, labels and flags."""
+"""Scoring heads: from logits in micro-units (BIGINT) to scores, labels and flags.
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+A head takes column names and gives SQL text per output column; wide projections of many heads stay
+cheap to build that way. Missing logits give missing results.
+"""
 
 # Fixed values.
 MICRO = 1_000_000
 REGRESSION_BASE = 2.5
 REGRESSION_MAX = 5
 HIGH_QUALITY_AT = 2.5
+LABELS = ["__label__high_quality", "__label__low_quality"]
 
 
-def logit(micro: Column) -> Column:
-    return micro / F.lit(float(MICRO))
+def logit(micro: str) -> str:
+    return f"({micro} / {MICRO}D)"
 
 
-def probability(micro: Column) -> Column:
-    return F.round(F.lit(1.0) / (F.lit(1.0) + F.exp(-logit(micro))), 6)
+def probability(micro: str) -> str:
+    return f"round(1D / (1D + exp(-{logit(micro)})), 6)"
 
 
-def nearest(value: Column) -> Column:
+def nearest(value: str) -> str:
     """Half-even rounding to an int."""
-    return F.bround(value, 0).cast("int")
+    return f"cast(bround({value}, 0) AS int)"
 
 
-def clamp(value: Column, low: float, high: float) -> Column:
-    """Between the two bounds; a missing value stays missing."""
-    return F.when(value < low, F.lit(float(low))).when(value > high, F.lit(float(high))).otherwise(value)
+def clamp(value: str, low: int, high: int) -> str:
+    return f"CASE WHEN {value} < {low} THEN {low}D WHEN {value} > {high} THEN {high}D ELSE {value} END"
 
 
-def regression(micro: Column) -> Column:
-    return clamp(F.lit(REGRESSION_BASE) + logit(micro), 0, REGRESSION_MAX)
+def regression(micro: str) -> str:
+    return clamp(f"({REGRESSION_BASE}D + {logit(micro)})", 0, REGRESSION_MAX)
 
 
-def binary(micro: Column) -> dict:
+def either(score: str, at: float, high: str, low: str) -> str:
+    return f"CASE WHEN {score} >= {at}D THEN {high} WHEN {score} < {at}D THEN {low} END"
+
+
+def binary(micro: str) -> dict:
     return {"score": probability(micro)}
 
 
-def top_label(micro: Column, strip) -> dict:
-    """Confidence of the likelier label, and that label without its prefix."""
+def top_label(micro: str) -> dict:
+    """Confidence of the likelier label, and that label without its prefix's characters."""
     high = probability(micro)
-    raw = F.when(high >= 0.5, F.lit("__label__high_quality")).when(
-        high < 0.5, F.lit("__label__low_quality")
-    )
-    return {"score": F.when(high >= 0.5, high).otherwise(F.round(1 - high, 6)), "label": strip(raw)}
+    raw = either(high, 0.5, *[f"'{label}'" for label in LABELS])
+    return {
+        "score": either(high, 0.5, high, f"round(1D - {high}, 6)"),
+        "label": f"trim(LEADING '__label__' FROM {raw})",
+    }
 
 
-def edu_regression(micro: Column) -> dict:
+def edu_regression(micro: str) -> dict:
     score = regression(micro)
     return {"score": score, "int_score": nearest(score)}
 
 
-def three_class(first: Column, second: Column, third: Column) -> dict:
+def three_class(first: str, second: str, third: str) -> dict:
     """Softmax over three logits; the first class counts whole, the third half."""
-    top = F.greatest(first, second, third)
-    e1, e2, e3 = (F.exp(logit(micro - top)) for micro in (first, second, third))
-    score = F.round((e1 + 0.5 * e3) / (e1 + e2 + e3), 6)
-    return {"score": score, "int_score": nearest(clamp(1 + 2 * score, 0, 3))}
+    top = f"greatest({first}, {second}, {third})"
+    e1, e2, e3 = (f"exp({logit(f'({micro} - {top})')})" for micro in (first, second, third))
+    score = f"round(({e1} + 0.5D * {e3}) / ({e1} + {e2} + {e3}), 6)"
+    return {"score": score, "int_score": nearest(clamp(f"(1D + 2D * {score})", 0, 3))}
 
 
-def edu_binary(micro: Column) -> dict:
+def edu_binary(micro: str) -> dict:
     score = regression(micro)
-    label = F.when(score >= HIGH_QUALITY_AT, F.lit("high_quality")).when(
-        score < HIGH_QUALITY_AT, F.lit("low_quality")
-    )
-    return {"score": score, "int_score": nearest(score), "label": label}
+    return {
+        "score": score,
+        "int_score": nearest(score),
+        "label": either(f"({score})", HIGH_QUALITY_AT, "'high_quality'", "'low_quality'"),
+    }
 
 
-def chunked(micro: Column) -> dict:
+def chunked(micro: str) -> dict:
     """Best chunk, not clamped; only the integer score is."""
-    score = logit(micro)
-    return {"score": score, "int_score": nearest(clamp(score, 0, REGRESSION_MAX))}
+    return {"score": logit(micro), "int_score": nearest(clamp(logit(micro), 0, REGRESSION_MAX))}
 
 
-def dual(micro: Column, binary_micro: Column) -> dict:
+def dual(micro: str, binary_micro: str) -> dict:
     score, prob = regression(micro), probability(binary_micro)
     return {
         "score": score,
         "int_score": nearest(score),
-        "binary_pred": F.when(prob >= 0.5, F.lit(1)).when(prob < 0.5, F.lit(0)),
+        "binary_pred": either(prob, 0.5, "1", "0"),
         "prob": prob,
     }

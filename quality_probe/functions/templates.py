@@ -1,10 +1,7 @@
-"""Benchmark rows rendered to text."""
+"""Benchmark rows rendered to text. A renderer takes column names and gives SQL text."""
 
 from string import Formatter
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # The text formats of the benchmarks.
 TEMPLATES = {
     "mmlu": "Subject: {subject}\nQuestion: {question}\n{choices}\nAnswer: {answer}",
@@ -18,93 +15,91 @@ TEMPLATES = {
 }
 
 
-def fill(template: str, **values: Column) -> Column:
-    """A format string with Columns in its slots; a missing value reads "None"."""
+def quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n") + "'"
+
+
+def fill(template: str, **values: str) -> str:
+    """A format string with SQL values in its slots; a missing value reads "None"."""
     parts = []
     for text, slot, _, _ in Formatter().parse(template):
         if text:
-            parts.append(F.lit(text))
+            parts.append(quoted(text))
         if slot:
-            parts.append(F.coalesce(values[slot].cast("string"), F.lit("None")))
-    return F.concat(*parts)
+            parts.append(f"coalesce(cast({values[slot]} AS string), 'None')")
+    return f"concat({', '.join(parts)})"
 
 
-def letter(position: Column) -> Column:
-    return F.char(position + ord("A"))
+def letter(position: str) -> str:
+    return f"char({position} + {ord('A')})"
 
 
-def lettered(options: Column) -> Column:
-    return F.array_join(
-        F.transform(options, lambda option, i: F.concat(letter(i), F.lit(". "), option)), "\n"
-    )
+def lettered(options: str) -> str:
+    return f"array_join(transform({options}, (option, i) -> concat({letter('i')}, '. ', option)), '\\n')"
 
 
-def labelled(choices: Column) -> Column:
-    return F.array_join(
-        F.zip_with(
-            choices["label"], choices["text"], lambda label, text: F.concat(label, F.lit(". "), text)
-        ),
-        "\n",
-    )
+def labelled(choices: str) -> str:
+    pairs = f"zip_with({choices}.label, {choices}.text, (label, text) -> concat(label, '. ', text))"
+    return f"array_join({pairs}, '\\n')"
 
 
-def bulleted(options: Column) -> Column:
-    return F.array_join(F.transform(options, lambda option: F.concat(F.lit("- "), option)), "\n")
+def bulleted(options: str) -> str:
+    return f"array_join(transform({options}, option -> concat('- ', option)), '\\n')"
 
 
-def mmlu(data: Column, subject: Column) -> Column:
+def mmlu(data: str, subject: str) -> str:
     return fill(
         TEMPLATES["mmlu"],
         subject=subject,
-        question=data["question"],
-        choices=lettered(data["choices"]),
-        answer=letter(data["answer"]),
+        question=f"{data}.question",
+        choices=lettered(f"{data}.choices"),
+        answer=letter(f"{data}.answer"),
     )
 
 
-def gsm8k(data: Column, subject: Column) -> Column:
-    return fill(TEMPLATES["gsm8k"], question=data["question"], answer=data["answer"])
+def gsm8k(data: str, subject: str) -> str:
+    return fill(TEMPLATES["gsm8k"], question=f"{data}.question", answer=f"{data}.answer")
 
 
-def gpqa(data: Column, subject: Column) -> Column:
-    return fill(TEMPLATES["gpqa"], problem=data["problem"], solution=data["solution"])
+def gpqa(data: str, subject: str) -> str:
+    return fill(TEMPLATES["gpqa"], problem=f"{data}.problem", solution=f"{data}.solution")
 
 
 def arc(name: str):
-    def render(data: Column, subject: Column) -> Column:
+    def render(data: str, subject: str) -> str:
         return fill(
             TEMPLATES[name],
-            question=data["question"],
-            choices=labelled(data["choices"]),
-            answer=data["answerKey"],
+            question=f"{data}.question",
+            choices=labelled(f"{data}.choices"),
+            answer=f"{data}.answerKey",
         )
 
     return render
 
 
-def hellaswag(data: Column, subject: Column) -> Column:
+def hellaswag(data: str, subject: str) -> str:
     return fill(
         TEMPLATES["hellaswag"],
-        context=data["ctx"],
-        endings=lettered(data["endings"]),
-        answer=letter(data["label"].try_cast("int")),
+        context=f"{data}.ctx",
+        endings=lettered(f"{data}.endings"),
+        answer=letter(f"try_cast({data}.label AS int)"),
     )
 
 
-def piqa(data: Column, subject: Column) -> Column:
+def piqa(data: str, subject: str) -> str:
     return fill(
         TEMPLATES["piqa"],
-        goal=data["goal"],
-        sol1=data["sol1"],
-        sol2=data["sol2"],
-        answer=letter(data["label"]),
+        goal=f"{data}.goal",
+        sol1=f"{data}.sol1",
+        sol2=f"{data}.sol2",
+        answer=letter(f"{data}.label"),
     )
 
 
-def truthfulqa(data: Column, subject: Column) -> Column:
+def truthfulqa(data: str, subject: str) -> str:
     return fill(
         TEMPLATES["truthfulqa"],
-        question=data["question"],
-        best_answer=data["best_answer"],
-        correct_answers=bulleted(data["correct_answers"]),
+        question=f"{data}.question",
+        best_answer=f"{data}.best_answer",
+        correct_answers=bulleted(f"{data}.correct_answers"),
     )

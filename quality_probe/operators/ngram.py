@@ -6,7 +6,6 @@ neither class. A model is therefore fixed by its training rows and stored scores
 """
 
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,34 +83,30 @@ class NgramModel:
     def total(self, weight: str, cells: list) -> int:
         return sum(self.totals[WEIGHTS[weight][0]][c] for c in cells)
 
-    def log_odds(self, weight: str, positive: Column, negative: Column) -> Column:
+    def log_odds(self, weight: str, positive: str, negative: str) -> str:
         used, pos, neg = WEIGHTS[weight]
         vocabulary = self.totals[used]["vocabulary"]
 
         def share(count, cells):
-            return F.ln((count + 1).cast("double") / F.lit(float(self.total(weight, cells) + vocabulary)))
+            return f"ln(cast({count} + 1 AS double) / {self.total(weight, cells) + vocabulary}D)"
 
-        return F.round(F.lit(float(MICRO)) * (share(positive, pos) - share(negative, neg))).cast("bigint")
+        return f"cast(rint({MICRO}D * ({share(positive, pos)} - {share(negative, neg)})) AS bigint)"
 
-    def weight(self, weight: str) -> Column:
-        """Weight of a row of `cells`; null for a gram that the table does not use."""
+    def weight(self, weight: str) -> str:
+        """SQL of the weight of a row of `cells`; null for a gram that the table does not use."""
         used, pos, neg = WEIGHTS[weight]
-        value = self.log_odds(weight, add(pos), add(neg))
-        return value if used == ALL else F.when(F.col("is_pair") == (used == BIGRAMS), value)
+        value = self.log_odds(weight, " + ".join(pos), " + ".join(neg))
+        return value if used == ALL else f"CASE WHEN is_pair = {str(used == BIGRAMS).lower()} THEN {value} END"
 
-    def unseen(self, weight: str) -> Column:
-        return self.log_odds(weight, F.lit(0), F.lit(0))
+    def unseen(self, weight: str) -> str:
+        return self.log_odds(weight, "0", "0")
 
     def weights(self, names=tuple(WEIGHTS)) -> DataFrame:
-        return self.cells.select("gram", *[self.weight(n).alias(n) for n in names])
+        return self.cells.selectExpr("gram", *[f"{self.weight(n)} AS {n}" for n in names])
 
     def lifts(self, names) -> DataFrame:
         """Weights above the unseen gram's, so that grams without a row add nothing to a sum."""
-        return self.cells.select("gram", *[(self.weight(n) - self.unseen(n)).alias(n) for n in names])
-
-
-def add(columns) -> Column:
-    return reduce(lambda a, b: a + b, [F.col(c) for c in columns])
+        return self.cells.selectExpr("gram", *[f"{self.weight(n)} - {self.unseen(n)} AS {n}" for n in names])
 
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> NgramModel:
@@ -203,7 +198,7 @@ def with_weights(rows: DataFrame, model: NgramModel, names: list, key: str,
     weights = model.lifts(names)
     if size["vocabulary"] <= max_rows and size["bytes"] <= max_bytes:
         return rows.join(F.broadcast(weights), "gram", "left")
-    frequent = model.cells.select("gram", add(CELLS).alias("_n")).orderBy(F.desc("_n"), "gram")
+    frequent = model.cells.selectExpr("gram", f"{' + '.join(CELLS)} AS _n").orderBy(F.desc("_n"), "gram")
     hot = written(frequent.limit(min(HOT_GRAMS, max_rows)).select("gram").join(weights, "gram"), "hot-grams")
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "gram", "left")
     salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
@@ -226,23 +221,20 @@ def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), ca
     carry = list(carry)
     names = list(dict.fromkeys(SIGNALS[s][1] for s in signals))
     rows = with_weights(occurrences(docs, signals, carry), model, names, carry[0], max_rows, max_bytes)
-    by_segment = rows.groupBy(*carry, "segment").agg(
-        F.count("gram").alias(ALL),
-        F.sum("is_pair").alias(BIGRAMS),
-        *[F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names],
-    ).withColumn(BIGRAMS, F.coalesce(BIGRAMS, F.lit(0))).withColumn(UNIGRAMS, F.col(ALL) - F.col(BIGRAMS))
+    counts = [f"count(gram) AS {ALL}", f"count_if(is_pair = 1) AS {BIGRAMS}", f"count_if(is_pair = 0) AS {UNIGRAMS}"]
+    by_segment = rows.groupBy(*carry, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
     sums, means = {}, []
     for signal in signals:
         view, weight = SIGNALS[signal]
         used, scores = WEIGHTS[weight][0], []
         for part, segments in enumerate(SEGMENTS[view]):
             total, count = f"sum_{view}_{part}_{weight}", f"count_{view}_{part}_{used}"
-            for name, column in ((total, weight), (count, used)):
-                sums[name] = F.sum(F.when(F.col("segment").isin(segments), F.col(column)))
-            sums[total] = F.coalesce(sums[total], F.lit(0))
-            whole = f"({total} + {count} * unseen_{weight})"
-            scores.append(F.when(F.col(count) > 0, F.expr(f"{whole} div {count}")))
-        means.append((F.greatest(*scores) if len(scores) > 1 else scores[0]).alias(signal))
-    summed = by_segment.groupBy(*carry).agg(*[column.alias(name) for name, column in sums.items()])
-    unseen = [model.unseen(n).alias(f"unseen_{n}") for n in names]
-    return summed.select("*", *unseen).select(*carry, *means)
+            inside = f"FILTER (WHERE segment IN ({', '.join(map(str, segments))}))"
+            sums[total] = f"coalesce(sum({weight}) {inside}, 0)"
+            sums[count] = f"sum(`{used}`) {inside}"
+            scores.append(f"CASE WHEN {count} > 0 THEN ({total} + {count} * unseen_{weight}) div {count} END")
+        best = f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
+        means.append(f"{best} AS {signal}")
+    summed = by_segment.groupBy(*carry).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    unseen = [f"{model.unseen(n)} AS unseen_{n}" for n in names]
+    return summed.selectExpr("*", *unseen).selectExpr(*carry, *means)

@@ -6,32 +6,27 @@ from functools import reduce
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quality_probe.functions import heads
-from quality_probe.functions.text import strip_label
 from quality_probe.operators.ngram import NgramModel, score_signals
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, SCORE_FIELDS, names
 
 
 @dataclass(frozen=True)
 class Scorer:
-    """A native scorer: the signals it needs and the head that turns them into score columns."""
+    """A native scorer: the signals it needs and the head that turns them into SQL of score columns."""
 
     name: str
     signals: tuple
     head: Callable[..., dict]
 
-    def fields(self) -> Column:
-        made = self.head(*[F.col(s) for s in self.signals])
-        return F.struct(
-            F.lit(self.name).alias("classifier"),
-            *[
-                (made[f.name] if f.name in made else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in SCORE_FIELDS.fields
-            ],
-        )
+    def fields(self) -> str:
+        """SQL of the score record."""
+        made = self.head(*self.signals)
+        values = [f"'{f.name}', cast({made.get(f.name, 'NULL')} AS {f.dataType.simpleString()})" for f in SCORE_FIELDS.fields]
+        return f"named_struct('classifier', '{self.name}', {', '.join(values)})"
 
 
 @dataclass(frozen=True)
@@ -52,7 +47,7 @@ def register_scorer(scorer) -> None:
 
 
 register_scorer(Scorer("binary_ngram", ("full_quality",), heads.binary))
-register_scorer(Scorer("top_label", ("full_quality",), lambda m: heads.top_label(m, strip_label)))
+register_scorer(Scorer("top_label", ("full_quality",), heads.top_label))
 register_scorer(Scorer("edu_regression", ("full_quality",), heads.edu_regression))
 register_scorer(Scorer("three_class", ("head_good", "head_poor", "head_mixed"), heads.three_class))
 register_scorer(Scorer("chunk_edu", ("chunk_word_quality",), heads.chunked))
@@ -78,7 +73,7 @@ def score_native(docs: DataFrame, model: NgramModel, scorers: list, carry=tuple(
     """Long form: one row per document and scorer, from one pass over the texts."""
     signals = list(dict.fromkeys(s for scorer in scorers for s in scorer.signals))
     summed = score_signals(docs, model, signals, carry)
-    return summed.select(*carry, F.inline(F.array(*[s.fields() for s in scorers])))
+    return summed.selectExpr(*carry, f"inline(array({', '.join(s.fields() for s in scorers)}))")
 
 
 def score_external(docs: DataFrame, scorer: ExternalScorer, carry=tuple(DOCUMENT_KEYS)) -> DataFrame:

@@ -130,8 +130,8 @@ WEIGHTS = {
 
 def log_odds(name: str, pos: str, neg: str) -> str:
     return (
-        f"round(1000000.0::DOUBLE * (ln(({pos} + 1)::DOUBLE / (h_{name} + v_{name})::DOUBLE)"
-        f" - ln(({neg} + 1)::DOUBLE / (l_{name} + v_{name})::DOUBLE)))::BIGINT"
+        f"round_even(1000000.0::DOUBLE * (ln(({pos} + 1)::DOUBLE / (h_{name} + v_{name})::DOUBLE)"
+        f" - ln(({neg} + 1)::DOUBLE / (l_{name} + v_{name})::DOUBLE)), 0)::BIGINT"
     )
 
 

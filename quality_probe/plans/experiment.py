@@ -47,7 +47,7 @@ class Corpus:
 def quality_scores(docs: DataFrame, model: NgramModel, carry: list) -> DataFrame:
     """`carry` and the quality probability as `original_score`."""
     return score_signals(docs, model, ["full_quality"], carry).select(
-        *carry, heads.probability(F.col("full_quality")).alias("original_score")
+        *carry, F.expr(heads.probability("full_quality")).alias("original_score")
     )
 
 

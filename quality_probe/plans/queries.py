@@ -200,8 +200,7 @@ def list_datasets(t):
 
 def template_query(key: str, name: str):
     def build(t):
-        render = benchmarks.benchmark(name).render
-        return items.rows_as(t.benchmark, name).select("item_id", render(F.col("data"), F.col("subject")).alias("text"))
+        return items.rows_as(t.benchmark, name).select("item_id", benchmarks.benchmark(name).text().alias("text"))
 
     build.__name__ = key
     return query(build)
@@ -335,17 +334,16 @@ def train_ngram_weights(t):
 def score_ngram_hq(t):
     corpus = t.corpus()
     return score_signals(corpus.docs, corpus.model, ["full_quality"]).select(
-        "id", F.col("full_quality").alias("micro_logit"), heads.probability(F.col("full_quality")).alias("score")
+        "id", F.col("full_quality").alias("micro_logit"), F.expr(heads.probability("full_quality")).alias("score")
     )
 
 
 @query
 def score_top_label(t):
     corpus = t.corpus()
-    made = heads.top_label(F.col("full_quality"), T.strip_label)
-    return score_signals(corpus.docs, corpus.model, ["full_quality"]).select(
-        "id", made["score"].alias("score"), made["label"].alias("label"),
-        heads.probability(F.col("full_quality")).alias("p_hq"),
+    made = {**heads.top_label("full_quality"), "p_hq": heads.probability("full_quality")}
+    return score_signals(corpus.docs, corpus.model, ["full_quality"]).selectExpr(
+        "id", *[f"{sql} AS {name}" for name, sql in made.items()]
     )
 
 

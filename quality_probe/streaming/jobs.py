@@ -32,7 +32,7 @@ def run(stream: DataFrame, each, checkpoint: str) -> None:
 def accepted(docs: DataFrame, model: NgramModel, min_score: float, key: str = "doc_id") -> DataFrame:
     """Documents whose quality probability reaches `min_score`; each is judged by itself."""
     scores = score_signals(docs, model, ["full_quality"], [key]).select(
-        key, heads.probability(F.col("full_quality")).alias("original_score")
+        key, F.expr(heads.probability("full_quality")).alias("original_score")
     )
     return docs.join(scores.filter(F.col("original_score") >= min_score), key)
 
