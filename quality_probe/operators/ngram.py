@@ -55,7 +55,7 @@ SEGMENTS = {
     CHUNKS: [[2, 3, CUT_WORD], [SECOND_CHUNK]],
 }
 
-HOT_GRAMS = 200_000  # most frequent grams, broadcast when the whole vocabulary is too large
+HOT_GRAMS = 2_000_000  # at most so many frequent grams are sent out when the vocabulary is too large
 SALTS = 32  # shares of a gram that is hot in the corpus
 
 
@@ -187,22 +187,33 @@ def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
     )
 
 
-def with_weights(rows: DataFrame, model: NgramModel, names: list, key: str,
-                 max_rows: int, max_bytes: int) -> DataFrame:
+def frequent_from(cells: DataFrame, limit: int) -> int:
+    """A count such that at most `limit` grams reach it; found among powers of two."""
+    sizes = cells.selectExpr(f"cast(floor(log2({' + '.join(CELLS)})) AS int) AS power").groupBy("power").count()
+    reached, power = 0, 64
+    for row in sorted(sizes.collect(), reverse=True):  # at most 64 rows
+        reached += row["count"]
+        if reached > limit:
+            break
+        power = row["power"]
+    return 1 << power
+
+
+def with_weights(rows: DataFrame, model: NgramModel, names: list, key: str, broadcastable: bool) -> DataFrame:
     """Look up the weights of each occurrence.
 
     A vocabulary within the bounds is sent to every task, and no gram is shuffled. A larger one is
-    split: its most frequent grams are sent out, the others meet their occurrences in a salted join.
+    split: its frequent grams, which make up most occurrences, are sent out; the others meet their
+    occurrences in a salted join.
     """
-    size = model.totals[ALL]
     weights = model.lifts(names)
-    if size["vocabulary"] <= max_rows and size["bytes"] <= max_bytes:
+    if broadcastable:
         return rows.join(F.broadcast(weights), "gram", "left")
-    frequent = model.cells.selectExpr("gram", f"{' + '.join(CELLS)} AS _n").orderBy(F.desc("_n"), "gram")
-    hot = written(frequent.limit(min(HOT_GRAMS, max_rows)).select("gram").join(weights, "gram"), "hot-grams")
+    count = f"{' + '.join(CELLS)} >= {frequent_from(model.cells, HOT_GRAMS)}"
+    hot = written(NgramModel(model.cells.filter(count), model.totals).lifts(names), "hot-grams")
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "gram", "left")
     salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-    cold = weights.join(F.broadcast(hot.select("gram")), "gram", "left_anti").withColumn(
+    cold = NgramModel(model.cells.filter(f"NOT ({count})"), model.totals).lifts(names).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
     rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns, salt.alias("_salt"))
@@ -218,9 +229,18 @@ def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), ca
     signals; occurrences are summed in the task that made them, so the shuffles move a few narrow
     rows per document.
     """
-    carry = list(carry)
+    carry, key = list(carry), carry[0]
+    size = model.totals[ALL]
+    if size["vocabulary"] > max_rows or size["bytes"] > max_bytes:
+        # Grams will be shuffled: they take along the key alone.
+        found = summed_signals(docs, model, signals, [key], False)
+        return docs.select(*carry).join(found, key) if len(carry) > 1 else found
+    return summed_signals(docs, model, signals, carry, True)
+
+
+def summed_signals(docs: DataFrame, model: NgramModel, signals, carry: list, broadcastable: bool) -> DataFrame:
     names = list(dict.fromkeys(SIGNALS[s][1] for s in signals))
-    rows = with_weights(occurrences(docs, signals, carry), model, names, carry[0], max_rows, max_bytes)
+    rows = with_weights(occurrences(docs, signals, carry), model, names, carry[0], broadcastable)
     counts = [f"count(gram) AS {ALL}", f"count_if(is_pair = 1) AS {BIGRAMS}", f"count_if(is_pair = 0) AS {UNIGRAMS}"]
     by_segment = rows.groupBy(*carry, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
     sums, means = {}, []

@@ -14,7 +14,7 @@ from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.scratch import written
 from quality_probe.sources.benchmarks import sampled_items
 from quality_probe.sources.stores import ScoreStore, TextStore, default_dataset, score_with_store
-from quality_probe.sources.web import prefiltered_documents, web_documents, with_positions
+from quality_probe.sources.web import prefiltered, prefiltered_documents, web_documents
 
 DEFAULTS = {
     "experiment": {"seed": 42, "inject_inside": False},
@@ -57,8 +57,8 @@ def web_part(raw: DataFrame, model: NgramModel, dataset: dict, budget: int) -> t
         return web_documents(raw, budget, dataset["subset"])
     docs, _ = web_documents(raw, None, dataset["subset"])
     scores = quality_scores(docs, model, ["doc_id", "doc_pos"])
-    kept = prefiltered_documents(docs, scores, dataset["min_hq_score"], budget)
-    return kept, kept.count()
+    kept = prefiltered(scores, dataset["min_hq_score"], budget)
+    return prefiltered_documents(docs, kept), kept.count()
 
 
 def build_corpus(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dict, model: NgramModel = None) -> Corpus:

@@ -107,14 +107,13 @@ def scan_take_n(t):
 def prefilter_parts(t):
     docs, rows = web.web_documents(t.raw)
     model = train(docs, t.labels)
-    scores = written(experiment.quality_scores(docs, model, ["doc_id", "doc_pos"]), "quality")
-    return docs, rows, scores
+    return docs, rows, experiment.quality_scores(docs, model, ["doc_id", "doc_pos"])
 
 
 @query
 def prefilter_hq(t):
     docs, rows, scores = prefilter_parts(t)
-    kept = web.prefiltered_documents(docs, scores, MIN_SCORE, rows // 4)
+    kept = web.prefiltered_documents(docs, web.prefiltered(scores, MIN_SCORE, rows // 4))
     return kept.select("id", "doc_pos", "doc_id", "original_score", "text")
 
 

@@ -8,7 +8,9 @@ from quality_probe.functions.text import doc_hash
 from quality_probe.operators.ngram import NgramModel
 from quality_probe.operators.reports import merged_texts, top_texts
 from quality_probe.operators.scoring import score_corpus
+from quality_probe.operators.sizes import is_small
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, STORE, TEXTS, names
+from quality_probe.scratch import written
 
 SKIPPED_DATASET = "old"
 
@@ -63,6 +65,14 @@ def misses(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return docs.join(stored.select("doc_hash"), "doc_hash", "left_anti")
 
 
+def unseen(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """Documents whose hash is not `known`. While these are few, their hashes are sent out and no text moves."""
+    missing = written(misses(docs.select("doc_hash"), known), "missing")
+    if is_small(missing, "doc_hash"):
+        return docs.join(F.broadcast(missing), "doc_hash", "left_semi")
+    return misses(docs, known)
+
+
 def hit_counts(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Hits and misses of the documents against the store."""
     known = stored.select("doc_hash").distinct().withColumn("_known", F.lit(True))
@@ -82,7 +92,7 @@ def score_unseen(docs: DataFrame, store: ScoreStore, dataset: str, scorers: list
     )
     keyed = hashed(docs)
     if not complete.isEmpty():
-        keyed = misses(keyed, complete)
+        keyed = unseen(keyed, complete)
     fresh = score_corpus(keyed, model, scorers, [*DOCUMENT_KEYS, "doc_hash"])
     keys = ["doc_hash", "classifier"]
     store.append(fresh.dropDuplicates(keys).join(stored.select(keys), keys, "left_anti"), dataset)

@@ -94,10 +94,8 @@ def prefiltered(scores: DataFrame, min_score: float, num_docs: int = None, key:
     )
 
 
-def prefiltered_documents(docs: DataFrame, scores: DataFrame, min_score: float, num_docs: int = None,
-                          key: str = "doc_id") -> DataFrame:
+def prefiltered_documents(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents numbered over the accepted ones, with the score that let them in."""
-    kept = prefiltered(scores, min_score, num_docs, key)
     return as_documents(docs.select(key, "text").join(kept, key))
 
 
