@@ -63,14 +63,11 @@ def tokens(text: Column) -> Column:
     return T.words(F.lower(text))
 
 
-def grams(words: Column) -> Column:
-    """The words, then the pairs of neighbours."""
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(F.size(words) - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))),
-        lambda left, right: F.concat(left, F.lit(" "), right),
-    )
-    return F.concat(words, pairs)
+def grams(words: str) -> str:
+    """SQL of the words, then the pairs of neighbours."""
+    shorter = f"greatest(size({words}) - 1, 0)"
+    pairs = f"zip_with(slice({words}, 1, {shorter}), slice({words}, 2, {shorter}), (a, b) -> concat(a, ' ', b))"
+    return f"concat({words}, {pairs})"
 
 
 @dataclass(frozen=True)
@@ -116,15 +113,10 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> NgramModel
     """
     labelled = docs.select(key, "text").join(labels.select(key, "quality", "toxic"), key)
     exploded = labelled.select("quality", "toxic", tokens("text").alias("words")).select(
-        "quality", "toxic", F.explode(grams(F.col("words"))).alias("gram")
-    )
-    counts = [
-        F.count(F.when((F.col("quality") == q) & (F.col("toxic") == t), 1)).alias(cell)
-        for cell, (q, t) in CELLS.items()
-    ]
-    cells = written(
-        exploded.groupBy("gram").agg(*counts).withColumn("is_pair", F.instr("gram", " ") > 0), "grams"
+        "quality", "toxic", F.expr(f"explode({grams('words')})").alias("gram")
     )
+    counts = [F.expr(f"count_if(quality = {q} AND toxic = {t}) AS {cell}") for cell, (q, t) in CELLS.items()]
+    cells = written(exploded.groupBy("gram").agg(*counts).selectExpr("*", "instr(gram, ' ') > 0 AS is_pair"), "grams")
     sums = [F.sum(c).alias(c) for c in CELLS]
     sizes = [F.count("*").alias("vocabulary"), F.sum(F.octet_length("gram")).alias("bytes")]
     found = {row["is_pair"]: row.asDict() for row in cells.groupBy("is_pair").agg(*sums, *sizes).collect()}
@@ -137,10 +129,11 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> NgramModel
     return NgramModel(cells, kinds)
 
 
-def first_chunk_words(text: Column, count: Column) -> Column:
-    """How many of the `count` leading words the first chunk keeps; its last, maybe cut, word is lost."""
-    whole = F.regexp_like(text, F.lit(f"{T.BLANK}\\z"))
-    return F.when(count > T.CHUNK_WORDS, F.lit(T.CHUNK_WORDS - 1)).otherwise(count - F.when(whole, 0).otherwise(1))
+def first_chunk_words(leading: str, cut: str) -> str:
+    """SQL of how many leading words the first chunk keeps; its last word, maybe cut, is lost."""
+    ends_blank = f"regexp_like({cut}, '{T.BLANK}\\\\z')"
+    kept = f"CASE WHEN {leading} > {T.CHUNK_WORDS} THEN {T.CHUNK_WORDS - 1} ELSE {leading} - if({ends_blank}, 0, 1) END"
+    return f"CASE WHEN regexp_like({cut}, '{T.BLANK}') THEN {kept} ELSE 0 END"
 
 
 def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
@@ -152,37 +145,38 @@ def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
     """
     needed = {SIGNALS[s][0] for s in signals}
     chunked = CHUNKS in needed
-    text, cut = F.col("text"), F.substring("text", 1, T.CHUNK_CHARS)
-    rows = docs.select(*carry, "text", tokens(text).alias("words")).withColumn("n", F.size("words"))
+    rows = docs.select(*carry, "text", tokens(F.col("text")).alias("words"))
+    limit = T.CHUNK_WORDS if chunked else T.HEAD_WORDS
+    words = "words" if FULL in needed else f"slice(words, 1, {limit})"
+    whole = f"named_struct('segment', 0, 'words', {words})"
     if chunked:
-        leading = F.when(F.length(text) <= T.CHUNK_CHARS, F.col("n")).otherwise(F.size(T.words(cut)))
-        broken = F.regexp_like(cut, F.lit(T.BLANK))
-        rows = rows.withColumn("kept", F.when(broken, first_chunk_words(cut, leading)).otherwise(0))
+        text, cut = F.col("text"), F.substring("text", 1, T.CHUNK_CHARS)
+        rows = rows.select(
+            "*",
+            cut.alias("cut"),
+            F.when(F.length(text) > T.CHUNK_CHARS, F.size(T.words(cut))).otherwise(F.size("words")).alias("leading"),
+            F.when(~F.regexp_like(cut, F.lit(T.BLANK)), tokens(T.trim_end(cut))).alias("cut_word"),
+            F.when(T.is_long(text), tokens(T.trim_start(T.tail_chunk(text)))).alias("second"),
+        )
+        kept = first_chunk_words("leading", "cut")
         extra = [
-            F.when(~broken, F.struct(F.lit(CUT_WORD).alias("segment"), tokens(T.trim_end(cut)).alias("words"))),
-            F.when(
-                T.is_long(text),
-                F.struct(F.lit(SECOND_CHUNK).alias("segment"), tokens(T.trim_start(T.tail_chunk(text))).alias("words")),
-            ),
+            f"CASE WHEN {column} IS NOT NULL THEN named_struct('segment', {segment}, 'words', {column}) END"
+            for column, segment in (("cut_word", CUT_WORD), ("second", SECOND_CHUNK))
         ]
+        parts = f"array_compact(array({', '.join([whole, *extra])}))"
     else:
-        rows, extra = rows.withColumn("kept", F.lit(0)), []
-    words = F.col("words")
-    if FULL not in needed:
-        words = F.slice(words, 1, T.CHUNK_WORDS if chunked else T.HEAD_WORDS)
-    first = F.struct(F.lit(0).alias("segment"), words.alias("words"))
-    parts = F.array_compact(F.array(first, *extra)) if extra else F.array(first)
-    word = F.when(F.col("pos") >= F.col("n"), F.col("pos") - F.col("n") + 1).otherwise(F.col("pos"))
-    inside = F.when(word < T.HEAD_WORDS, IN_HEAD).otherwise(0) + F.when(word < F.col("kept"), IN_FIRST_CHUNK).otherwise(0)
+        kept, parts = "0", f"array({whole})"
+    word = "if(pos >= n, pos - n + 1, pos)"  # the gram's last word
+    inside = f"if({word} < {T.HEAD_WORDS}, {IN_HEAD}, 0) + if({word} < kept, {IN_FIRST_CHUNK}, 0)"
     return (
-        rows.select(*carry, "kept", F.explode(parts).alias("part"))
-        .select(*carry, "kept", "part.segment", "part.words", F.size("part.words").alias("n"))
-        .select(*carry, "kept", "segment", "n", F.posexplode_outer(grams(F.col("words"))).alias("pos", "gram"))
-        .select(
+        rows.selectExpr(*carry, f"{kept} AS kept", f"explode({parts}) AS part")
+        .selectExpr(*carry, "kept", "part.segment", "part.words", "size(part.words) AS n")
+        .selectExpr(*carry, "kept", "segment", "n", f"posexplode_outer({grams('words')}) AS (pos, gram)")
+        .selectExpr(
             *carry,
             "gram",
-            (F.col("pos") >= F.col("n")).cast("int").alias("is_pair"),
-            F.when(F.col("segment") == 0, inside).otherwise(F.col("segment")).alias("segment"),
+            "cast(pos >= n AS int) AS is_pair",
+            f"CASE WHEN segment = 0 THEN {inside} ELSE segment END AS segment",
         )
     )
 

@@ -87,8 +87,8 @@ def scan_ranks(kept: DataFrame, count: int) -> DataFrame:
     docs = docs.withColumn("ahead", F.lit(0))
     step = 1 << (count.bit_length() - 1)
     while step:
-        probe = F.get("needles", F.col("ahead") + (step - 1))
-        docs = docs.withColumn("ahead", F.col("ahead") + F.when(probe <= F.col("doc"), step).otherwise(0))
+        found_at = f"CASE WHEN get(needles, ahead + {step - 1}) <= doc THEN {step} ELSE 0 END"
+        docs = docs.selectExpr(*BY, "needles", "doc", f"ahead + {found_at} AS ahead")
         step //= 2
     counts = docs.groupBy(*BY, "ahead").agg(F.count("*").alias("docs"))
     scorer = Window.partitionBy(*BY)

@@ -14,7 +14,7 @@ from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.scratch import written
 from quality_probe.sources.benchmarks import sampled_items
 from quality_probe.sources.stores import ScoreStore, TextStore, default_dataset, score_with_store
-from quality_probe.sources.web import prefiltered, prefiltered_documents, web_documents
+from quality_probe.sources.web import first_documents, prefiltered, prefiltered_documents, web_documents
 
 DEFAULTS = {
     "experiment": {"seed": 42, "inject_inside": False},
@@ -51,11 +51,11 @@ def quality_scores(docs: DataFrame, model: NgramModel, carry: list) -> DataFrame
     )
 
 
-def web_part(raw: DataFrame, model: NgramModel, dataset: dict, budget: int) -> tuple:
-    """Web documents and their number, prefiltered if the job says so."""
+def web_part(raw: DataFrame, whole: tuple, model: NgramModel, dataset: dict, budget: int) -> tuple:
+    """Web documents and their number, prefiltered if the job says so. `whole` is the corpus as it is."""
+    docs, rows = whole if dataset["subset"] is None else web_documents(raw, None, dataset["subset"])
     if not dataset["prefilter_hq"]:
-        return web_documents(raw, budget, dataset["subset"])
-    docs, _ = web_documents(raw, None, dataset["subset"])
+        return first_documents(docs, rows, budget)
     scores = quality_scores(docs, model, ["doc_id", "doc_pos"])
     kept = prefiltered(scores, dataset["min_hq_score"], budget)
     return prefiltered_documents(docs, kept), kept.count()
@@ -65,12 +65,13 @@ def build_corpus(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dic
     """Web documents plus items. `num_docs` is the size of the whole corpus; None takes every document."""
     settings, dataset = config["experiment"], config["dataset"]
     seed, inside, budget = settings["seed"], settings["inject_inside"], dataset["num_docs"]
+    whole = web_documents(raw)
     if model is None:
-        model = train(web_documents(raw)[0], labels)
+        model = train(whole[0], labels)
     items = sampled_items(item_rows, config["benchmarks"], seed)
     if budget is not None and not inside:
         budget -= items.count()
-    web, rows = web_part(raw, model, dataset, budget)
+    web, rows = web_part(raw, whole, model, dataset, budget)
     if not inside:
         docs = inject.inject_separate(web, items, rows)
         return Corpus(docs, rows, inject.positions_separate(items, rows), model, False)

@@ -43,15 +43,22 @@ SEPARATE = experiment.job(benchmarks=ALL_ITEMS)
 INJECTED = experiment.job(benchmarks=ALL_ITEMS, experiment={"inject_inside": True})
 
 
+TABLES = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "benchmark": "item_id bigint, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+}
+
+
 class Tables:
     """The given tables and what several queries derive from them."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
-        self.raw, self.benchmark, self.labels = (self.table(n) for n in ("documents", "benchmark", "labels"))
+        self.raw, self.benchmark, self.labels = (self.table(n) for n in TABLES)
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")
 
     def path(self, name: str) -> str:
         return fresh_path(self.spark, name)

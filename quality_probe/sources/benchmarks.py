@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quality_probe.functions import templates
+from quality_probe.functions.templates import quoted
 from quality_probe.operators.ordering import number_rows, without_slices
 from quality_probe.schemas import ITEM_DATA, StructField, StructType, S, L
 
@@ -57,25 +58,19 @@ def read_rows(spark: SparkSession, name: str, path: str) -> DataFrame:
     return spark.read.schema(StructType(fields)).parquet(path)
 
 
-def draw_key(seed: int, name: str, item: Column) -> Column:
-    """Seeded random order of the items of one benchmark."""
-    return F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit(name), item.cast("string")))
-
-
 def ordered_rows(rows: DataFrame, name: str, subjects=None, seed: int = 42) -> DataFrame:
     """Rows with the keys that order them for sampling: `subject_pos` and `order_key`."""
     if benchmark(name).sampling == "by_subject":
         if not subjects:
             raise ValueError(f"{name} requires subjects")
-        listed = F.array(*[F.lit(s) for s in subjects])
-        return (
-            rows.filter(F.col("subject").isin(list(subjects)))
-            .withColumn("subject_pos", F.array_position(listed, F.col("subject")).cast("int"))
-            .withColumn("order_key", F.lpad(F.col("item_id").cast("string"), 20, "0"))
+        listed = ", ".join(quoted(s) for s in subjects)
+        return rows.filter(F.col("subject").isin(list(subjects))).selectExpr(
+            "*",
+            f"cast(array_position(array({listed}), subject) AS int) AS subject_pos",
+            "lpad(cast(item_id AS string), 20, '0') AS order_key",
         )
-    return rows.withColumn("subject_pos", F.lit(0)).withColumn(
-        "order_key", draw_key(seed, name, F.col("item_id"))
-    )
+    draw = f"md5(concat_ws('|', '{seed}', {quoted(name)}, cast(item_id AS string)))"  # seeded random order
+    return rows.selectExpr("*", "0 AS subject_pos", f"{draw} AS order_key")
 
 
 def checked_counts(rows: DataFrame, name: str, count: int, subjects=None) -> None:
@@ -105,13 +100,14 @@ def load_samples(rows: DataFrame, name: str, count: int = 5, subjects=None, seed
 
 def rendered(samples: DataFrame, name: str, type_pos: int = 0) -> DataFrame:
     """Samples as text, with the keys that number them."""
-    return samples.select(
-        F.lit(type_pos).alias("type_pos"),
-        F.lit(name).alias("benchmark_type"),
+    has_subject = benchmark(name).sampling == "by_subject"
+    return samples.selectExpr(
+        f"{type_pos} AS type_pos",
+        f"{quoted(name)} AS benchmark_type",
         "subject_pos",
         "order_key",
-        F.when(F.lit(benchmark(name).sampling == "by_subject"), F.col("subject")).alias("subject"),
-        benchmark(name).text().alias("text"),
+        f"{'subject' if has_subject else 'cast(NULL AS string)'} AS subject",
+        f"{benchmark(name).render('data', 'subject')} AS text",
     )
 
 

@@ -66,13 +66,18 @@ def as_documents(docs: DataFrame) -> DataFrame:
     )
 
 
+def first_documents(docs: DataFrame, rows: int, num_docs: int = None) -> tuple:
+    """The first `num_docs` of positioned documents (all, if None) and their number."""
+    if num_docs is None or num_docs >= rows:
+        return docs, rows
+    return docs.filter(F.col("doc_pos") < num_docs), num_docs
+
+
 def web_documents(docs: DataFrame, num_docs: int = None, subset=None, key: str = "doc_id") -> tuple:
     """The first `num_docs` documents (all, if None) and their number. `subset` filters first."""
     if subset is not None:
         docs = docs.filter(subset)
-    placed, rows = with_positions(docs.select(key, "text"), key)
-    if num_docs is not None and num_docs < rows:
-        placed, rows = placed.filter(F.col("doc_pos") < num_docs), num_docs
+    placed, rows = first_documents(*with_positions(docs.select(key, "text"), key), num_docs)
     return as_documents(spread(placed, rows, key)), rows
 
 
