@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quality_probe.functions import heads
 from quality_probe.operators.ngram import NgramModel, score_signals
 from quality_probe.sources.stores import ScoreStore, score_unseen
-from quality_probe.sources.web import as_documents
+from quality_probe.sources.web import as_documents, spread
 
 
 def document_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 100) -> DataFrame:
@@ -42,7 +42,8 @@ def prefilter_stream(stream: DataFrame, model: NgramModel, sink: str, checkpoint
     """Write the accepted documents; a replayed batch overwrites its own folder."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        accepted(batch, model, min_score, key).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        docs = spread(batch, batch.count(), key)
+        accepted(docs, model, min_score, key).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     run(stream, each, checkpoint)
 
@@ -52,7 +53,7 @@ def score_stream(stream: DataFrame, model: NgramModel, store: ScoreStore, datase
     """Score each unseen document once over all batches and runs; ids come from the key."""
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        docs = as_documents(batch.select(F.col(key).alias("doc_pos"), "text"))
+        docs = as_documents(spread(batch, batch.count(), key).select(F.col(key).alias("doc_pos"), "text"))
         score_unseen(docs, store, dataset, scorers, model)
 
     run(stream, each, checkpoint)
