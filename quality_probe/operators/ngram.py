@@ -55,7 +55,9 @@ SEGMENTS = {
     CHUNKS: [[2, 3, CUT_WORD], [SECOND_CHUNK]],
 }
 
-HOT_GRAMS = 2_000_000  # at most so many frequent grams are sent out when the vocabulary is too large
+# At most so many frequent grams, none longer than so many bytes, are sent out of a larger vocabulary.
+HOT_GRAMS = 2_000_000
+HOT_BYTES = 128
 SALTS = 32  # shares of a gram that is hot in the corpus
 
 
@@ -203,11 +205,11 @@ def with_weights(rows: DataFrame, model: NgramModel, names: list, key: str, broa
     weights = model.lifts(names)
     if broadcastable:
         return rows.join(F.broadcast(weights), "gram", "left")
-    count = f"{' + '.join(CELLS)} >= {frequent_from(model.cells, HOT_GRAMS)}"
-    hot = written(NgramModel(model.cells.filter(count), model.totals).lifts(names), "hot-grams")
+    frequent = f"{' + '.join(CELLS)} >= {frequent_from(model.cells, HOT_GRAMS)} AND octet_length(gram) <= {HOT_BYTES}"
+    hot = written(NgramModel(model.cells.filter(frequent), model.totals).lifts(names), "hot-grams")
     marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "gram", "left")
     salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-    cold = NgramModel(model.cells.filter(f"NOT ({count})"), model.totals).lifts(names).withColumn(
+    cold = NgramModel(model.cells.filter(f"NOT ({frequent})"), model.totals).lifts(names).withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
     )
     rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns, salt.alias("_salt"))

@@ -75,6 +75,13 @@ class Tables:
     def items(self) -> DataFrame:
         return benchmarks.sampled_items(items.rows_by_type(self.benchmark), ALL_ITEMS, SEED)
 
+    def unscored(self) -> tuple:
+        """The corpus with items apart, and with items inside."""
+        docs, rows = web.web_documents(self.raw)
+        found = self.items()
+        inside = inject.inject_inside(docs, inject.placed_items(found, rows, len(ALL_ITEMS), SEED))
+        return inject.inject_separate(docs, found, rows), inside
+
     def corpus(self, config=SEPARATE) -> experiment.Corpus:
         return experiment.build_corpus(self.raw, self.labels, items.rows_by_type(self.benchmark), config)
 
@@ -322,10 +329,11 @@ def position_log(t):
 
 @query
 def infer_mode(t):
-    def inferred(name, config):
-        return reports.inferred_mode(t.corpus(config).docs).select(F.lit(name).alias("corpus"), "mode")
+    def inferred(name, docs):
+        return reports.inferred_mode(docs).select(F.lit(name).alias("corpus"), "mode")
 
-    return inferred("items apart", SEPARATE).unionByName(inferred("items inside", INJECTED))
+    apart, inside = t.unscored()
+    return inferred("items apart", apart).unionByName(inferred("items inside", inside))
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -378,7 +386,7 @@ def vowel_share(model, texts: list) -> list:
 @query
 def score_external_stub(t):
     scorer = ExternalScorer("vowel_share", lambda: "aeiou", vowel_share, batch_size=32)
-    return score_external(t.corpus().docs, scorer).select("id", "score")
+    return score_external(t.unscored()[0], scorer).select("id", "score")
 
 
 @query

@@ -33,7 +33,8 @@ def with_positions(docs: DataFrame, key: str = "doc_id") -> tuple:
     if n == 0:
         return docs.withColumn("doc_pos", F.lit(0).cast("bigint")), 0
     if high - low + 1 == n and int(stats["total"]) * 2 == (low + high) * n:
-        placed = docs.withColumn("doc_pos", (F.col(key) - F.lit(low)).cast("bigint"))
+        shifted = F.col(key) if low == 0 else F.col(key) - low  # the bare key lets filters reach the scan
+        placed = docs.withColumn("doc_pos", shifted.cast("bigint"))
     else:
         numbered = without_slices(number_rows(docs.select(key), [], [key], "doc_pos"))
         placed = docs.join(numbered.withColumn("doc_pos", F.col("doc_pos") - 1), key)

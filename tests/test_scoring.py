@@ -182,6 +182,14 @@ def test_positions_with_gaps_and_subset(spark, raw):
     assert [(r["doc_id"], r["id"]) for r in some.orderBy("doc_pos").limit(2).collect()] == [(1, "web_0"), (3, "web_1")]
 
 
+def test_first_documents_are_cut_in_the_scan(spark, raw, tmp_path):
+    raw.write.parquet(str(tmp_path / "docs"))
+    docs, rows = web_documents(spark.read.parquet(str(tmp_path / "docs")), 5)
+    plan = docs.select("id")._jdf.queryExecution().executedPlan().toString()
+    assert rows == docs.count() == 5
+    assert "LessThan(doc_id,5)" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
+
+
 def test_dense_keys_need_no_shuffle_of_texts(spark, raw, monkeypatch):
     from quality_probe.sources import web
 
