@@ -138,7 +138,7 @@ def first_chunk_words(leading: str, cut: str) -> str:
     return f"CASE WHEN regexp_like({cut}, '{T.BLANK}') THEN {kept} ELSE 0 END"
 
 
-def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
+def occurrences(docs: DataFrame, signals, key: str) -> DataFrame:
     """One row per gram occurrence with its segment.
 
     The head and the first chunk are the document's leading words, so they share the rows of the
@@ -147,7 +147,7 @@ def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
     """
     needed = {SIGNALS[s][0] for s in signals}
     chunked = CHUNKS in needed
-    rows = docs.select(*carry, "text", tokens(F.col("text")).alias("words"))
+    rows = docs.select(key, "text", tokens(F.col("text")).alias("words"))
     limit = T.CHUNK_WORDS if chunked else T.HEAD_WORDS
     words = "words" if FULL in needed else f"slice(words, 1, {limit})"
     whole = f"named_struct('segment', 0, 'words', {words})"
@@ -171,11 +171,11 @@ def occurrences(docs: DataFrame, signals, carry: list) -> DataFrame:
     word = "if(pos >= n, pos - n + 1, pos)"  # the gram's last word
     inside = f"if({word} < {T.HEAD_WORDS}, {IN_HEAD}, 0) + if({word} < kept, {IN_FIRST_CHUNK}, 0)"
     return (
-        rows.selectExpr(*carry, f"{kept} AS kept", f"explode({parts}) AS part")
-        .selectExpr(*carry, "kept", "part.segment", "part.words", "size(part.words) AS n")
-        .selectExpr(*carry, "kept", "segment", "n", f"posexplode_outer({grams('words')}) AS (pos, gram)")
+        rows.selectExpr(key, f"{kept} AS kept", f"explode({parts}) AS part")
+        .selectExpr(key, "kept", "part.segment", "part.words", "size(part.words) AS n")
+        .selectExpr(key, "kept", "segment", "n", f"posexplode_outer({grams('words')}) AS (pos, gram)")
         .selectExpr(
-            *carry,
+            key,
             "gram",
             "cast(pos >= n AS int) AS is_pair",
             f"CASE WHEN segment = 0 THEN {inside} ELSE segment END AS segment",
@@ -221,24 +221,24 @@ def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), ca
                   max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Mean log-odds per gram of each document, one BIGINT column per signal; null without grams.
 
-    `carry[0]` identifies the document, the others depend on it. Texts are read once for all
-    signals; occurrences are summed in the task that made them, so the shuffles move a few narrow
-    rows per document.
+    Texts are read once for all signals; occurrences are summed in the task that made them, under
+    one narrow key (`doc_pos`, else the first of `carry`). The other columns to carry are joined to
+    the sums, one row per document.
     """
-    carry, key = list(carry), carry[0]
+    key = "doc_pos" if "doc_pos" in docs.columns else carry[0]
     size = model.totals[ALL]
-    if size["vocabulary"] > max_rows or size["bytes"] > max_bytes:
-        # Grams will be shuffled: they take along the key alone.
-        found = summed_signals(docs, model, signals, [key], False)
-        return docs.select(*carry).join(found, key) if len(carry) > 1 else found
-    return summed_signals(docs, model, signals, carry, True)
+    broadcastable = size["vocabulary"] <= max_rows and size["bytes"] <= max_bytes
+    found = summed_signals(docs, model, signals, key, broadcastable)
+    if list(carry) == [key]:
+        return found
+    return docs.select(*dict.fromkeys([key, *carry])).join(found, key).select(*carry, *signals)
 
 
-def summed_signals(docs: DataFrame, model: NgramModel, signals, carry: list, broadcastable: bool) -> DataFrame:
+def summed_signals(docs: DataFrame, model: NgramModel, signals, key: str, broadcastable: bool) -> DataFrame:
     names = list(dict.fromkeys(SIGNALS[s][1] for s in signals))
-    rows = with_weights(occurrences(docs, signals, carry), model, names, carry[0], broadcastable)
+    rows = with_weights(occurrences(docs, signals, key), model, names, key, broadcastable)
     counts = [f"count(gram) AS {ALL}", f"count_if(is_pair = 1) AS {BIGRAMS}", f"count_if(is_pair = 0) AS {UNIGRAMS}"]
-    by_segment = rows.groupBy(*carry, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
+    by_segment = rows.groupBy(key, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
     sums, means = {}, []
     for signal in signals:
         view, weight = SIGNALS[signal]
@@ -251,6 +251,6 @@ def summed_signals(docs: DataFrame, model: NgramModel, signals, carry: list, bro
             scores.append(f"CASE WHEN {count} > 0 THEN ({total} + {count} * unseen_{weight}) div {count} END")
         best = f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
         means.append(f"{best} AS {signal}")
-    summed = by_segment.groupBy(*carry).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
+    summed = by_segment.groupBy(key).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
     unseen = [f"{model.unseen(n)} AS unseen_{n}" for n in names]
-    return summed.selectExpr("*", *unseen).selectExpr(*carry, *means)
+    return summed.selectExpr("*", *unseen).selectExpr(key, *means)
