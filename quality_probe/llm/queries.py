@@ -2,7 +2,18 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quality_probe.llm import mixing, order_minhash, packing, quality, secrets, sharding, url_rules
+from quality_probe.llm import (
+    lm_score,
+    mixing,
+    ngram_join,
+    order_minhash,
+    packing,
+    quality,
+    secrets,
+    sharding,
+    suffix_dedup,
+    url_rules,
+)
 
 SHARDS = 24
 TOKENIZER = "word_bpe_49k.json"
@@ -22,6 +33,14 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents")
 
 
+def op1_chosen_path_join(spark: SparkSession, folder: str) -> DataFrame:
+    return ngram_join.joined(documents(spark, folder)).drop("_id")
+
+
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.deduplicated(documents(spark, folder))
+
+
 def op3_guess_cost_secrets(spark: SparkSession, folder: str) -> DataFrame:
     return secrets.scan(documents(spark, folder), tokenizer_path())
 
@@ -30,6 +49,10 @@ def op4_drr_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.packed(documents(spark, folder), tokenizer_path())
 
 
+def op5_context_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_score.scored(documents(spark, folder))
+
+
 def op6_pfair_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix(documents(spark, folder))
 
@@ -53,8 +76,11 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_chosen_path_join,
+        op2_suffix_dedup,
         op3_guess_cost_secrets,
         op4_drr_packing,
+        op5_context_mixing,
         op6_pfair_mix,
         op7_order_minhash,
         op8_mcd_quality,
