@@ -5,7 +5,9 @@ stands for it. A class is described by COORDINATES minimal hashes. A run starts
 bucket and splits buckets again and again: each bucket draws a few coordinates, 1 / SIMILARITY of them on
 average, and a class goes to one child for each drawn coordinate, the child of its value there. Two
 classes of that similarity are expected to share a child at every level. Buckets of up to BUCKET classes
-are compared by brute force on sketches; RUNS independent runs reach the target recall.
+are compared by brute force on sketches; RUNS independent runs reach the target recall. A larger bucket that
+kept more than DENSE of its parent's classes will not split further, as its classes are alike: all of
+them are linked to one member.
 
 What the buckets link are candidates only. Their connected components are read again from the texts, and
 within each component every pair is compared exactly, in blocks, so links are neither estimated nor
@@ -28,6 +30,7 @@ OF, PARTS = 4, 5  # the same as a ratio, for exact comparison
 COORDINATES = 64
 RUNS = 20  # a pair at the threshold survives two levels of a run with probability 0.47: recall 1 - 3e-6
 BUCKET = 32
+DENSE = 0.5
 DEPTH = 10
 SKETCH_SLACK = 0.2  # four standard deviations of a sketch of 64 coordinates
 BLOCK = 512
@@ -123,7 +126,10 @@ def sketched(mins: np.ndarray) -> pa.Array:
 
 
 def split(rows: DataFrame, roots: bool) -> DataFrame:
-    """(_id, path) of the children; with `roots` those of every run's first bucket."""
+    """(_id, path, parent) of the children and the size of the bucket they come from.
+
+    With `roots` those of every run's first bucket; else `rows` has path and size.
+    """
 
     def descend(batches):
         for batch in batches:
@@ -132,12 +138,17 @@ def split(rows: DataFrame, roots: bool) -> DataFrame:
                 for run in range(RUNS):
                     path = W.mixed(np.full(len(ids), run + 1, np.uint64))
                     row, child = children(path, mins)
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view(np.int64))], names=["_id", "path"])
+                    yield found(ids[row], child, np.full(len(row), 1 << 62))
             elif len(ids):
                 row, child = children(batch.column("path").to_numpy().view(np.uint64), mins)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[row]), pa.array(child.view(np.int64))], names=["_id", "path"])
+                yield found(ids[row], child, batch.column("size").to_numpy()[row])
+
+    def found(ids, child, size):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(ids), pa.array(child.view(np.int64)), pa.array(size)], names=["_id", "path", "parent"]
+        )
 
-    return rows.mapInArrow(descend, "_id bigint, path bigint")
+    return rows.mapInArrow(descend, "_id bigint, path bigint, parent bigint")
 
 
 class Forest:
@@ -219,20 +230,22 @@ def candidates(classes: DataFrame) -> DataFrame:
     found = None
     rows = written(split(classes, roots=True), "paths")
     for depth in range(DEPTH):
-        sizes = rows.groupBy("path").agg(F.count("*").alias("size"), F.min("_id").alias("_least")).where("size > 1")
-        sizes = written(sizes, "path-sizes")
-        small = rows.join(sizes.where(F.col("size") <= BUCKET).select("path"), "path")
+        sizes = rows.groupBy("path").agg(
+            F.count("*").alias("size"), F.min("_id").alias("_least"), F.max("parent").alias("parent")
+        ).where("size > 1")
+        dense = (F.col("size") > DENSE * F.col("parent")) | F.lit(depth + 1 == DEPTH)
+        kind = F.when(F.col("size") <= BUCKET, "small").when(dense, "dense").otherwise("large")
+        sizes = written(sizes.withColumn("kind", kind).drop("parent"), "path-sizes")
+        small = rows.join(sizes.where("kind = 'small'").select("path"), "path")
         links = compared(with_sketch(small.join(classes, "_id").select("_id", "path", "mins")), least)
-        large = sizes.where(F.col("size") > BUCKET)
-        if depth + 1 == DEPTH:
-            # what is still together agrees in DEPTH drawn coordinates: linked to its first member
-            star = rows.join(large, "path").where("_id <> _least").select(F.col("_id").alias("a"), F.col("_least").alias("b"))
-            links = links.union(star)
+        star = rows.join(sizes.where("kind = 'dense'").select("path", "_least"), "path").where("_id <> _least")
+        links = links.union(star.select(F.col("_id").alias("a"), F.col("_least").alias("b")))
         links = written(links.distinct(), "links")
         found = links if found is None else found.union(links)
+        large = sizes.where("kind = 'large'").select("path", "size")
         if not large.limit(1).count():
             break
-        kept = rows.join(large.select("path"), "path").join(classes, "_id").select("_id", "path", "mins")
+        kept = rows.select("_id", "path").join(large, "path").join(classes, "_id").select("_id", "path", "size", "mins")
         rows = written(split(kept, roots=False), "paths")
     return found
 
