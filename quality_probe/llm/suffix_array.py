@@ -104,7 +104,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         after = np.zeros(n, np.int64)
         after[: max(0, n - width)] = rank[width:]
         key = rank * (n + 2) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         new = np.empty(n, np.int64)
         new[order] = np.concatenate([[1], 1 + np.cumsum(ranked[1:] != ranked[:-1])])
@@ -139,31 +139,36 @@ def suffix_array(s: np.ndarray) -> np.ndarray:
     return induced(s, rises, ordered, size)
 
 
-def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int) -> np.ndarray:
-    """For each suffix, in text order, the prefix it shares with the one before it in `order`, up to `most`."""
+def permuted_prefixes(s: np.ndarray, order: np.ndarray, most: int, among: np.ndarray = None) -> np.ndarray:
+    """For each suffix, in text order, the prefix it shares with the one before it in `order`, up to `most`.
+
+    `s` holds values below 2^16. With `among` (a mask), only pairs of suffixes in it are compared.
+    """
     n = len(s)
     out = np.zeros(n, np.int64)
     if n < 2:
         return out
+    packed = np.zeros(n + 3, np.uint64)
+    packed[:n] = s
+    packed = packed[:n] | packed[1 : n + 1] << np.uint64(16) | packed[2 : n + 2] << np.uint64(32) | packed[3:] << np.uint64(48)
     left, right = order[:-1], order[1:]
-    width = 8
-    # eight characters at a time; both sides are padded with different values past the end
-    while_active = np.arange(n - 1)
-    shared = np.zeros(n - 1, np.int64)
-    limit = n - np.maximum(left, right)
-    for step in range(0, most, width):
-        if not len(while_active):
-            break
-        a, b = left[while_active] + step, right[while_active] + step
-        equal = np.ones(len(while_active), dtype=bool)
-        for k in range(min(width, most - step)):
-            inside = step + k < limit[while_active]
-            now = np.zeros(len(while_active), dtype=bool)
-            now[inside] = s[a[inside] + k] == s[b[inside] + k]
-            equal &= now
-            shared[while_active[equal]] += 1
-            if not equal.any():
-                break
-        while_active = while_active[equal]
-    out[right] = shared
+    if among is not None:
+        both = among[left] & among[right]
+        left, right = left[both], right[both]
+    step = 0
+    while len(left) and step < most:
+        whole = np.maximum(left, right) + step + 4 <= n
+        equal = np.zeros(len(left), dtype=bool)
+        equal[whole] = packed[left[whole] + step] == packed[right[whole] + step]
+        a, b = left[~equal], right[~equal]
+        shared = np.full(len(a), step)
+        same = np.ones(len(a), dtype=bool)
+        for k in range(4):  # the first difference is among these
+            same &= np.maximum(a, b) + step + k < n
+            same[same] = s[a[same] + step + k] == s[b[same] + step + k]
+            shared += same
+        out[b] = np.minimum(shared, most)
+        left, right = left[equal], right[equal]
+        step += 4
+    out[right] = most
     return out

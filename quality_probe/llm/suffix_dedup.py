@@ -144,7 +144,8 @@ def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             yield sliced(out)
 
     runs = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "context", "n", "low", "width", "reach")).alias("runs"))
-    return texts.join(broadcast_if_small(runs, max_rows=100_000), "digest").select("text", "runs").mapInArrow(cut, SLICES)
+    holders = texts.join(broadcast_if_small(wanted.select("digest").distinct(), "digest"), "digest", "left_semi")
+    return holders.join(runs, "digest").select("text", "runs").mapInArrow(cut, SLICES)
 
 
 def sliced(rows: list) -> pa.RecordBatch:
@@ -210,14 +211,15 @@ def ordered(slices: DataFrame) -> DataFrame:
             begin = np.cumsum(sizes + 1) - sizes - 1
             text[np.arange(len(raw)) + np.repeat(np.arange(len(rows)), sizes)] = raw
             order = suffix_array(text)
-            shared = permuted_prefixes(text, order, LENGTH) >= LENGTH
+            starts = np.zeros(len(text), dtype=bool)  # of strings; others run over the end of their slice
+            widths = np.array([r[2] for r in rows])
+            starts[np.arange(int(widths.sum())) + np.repeat(begin - (np.cumsum(widths) - widths), widths)] = True
+            shared = permuted_prefixes(text, order, LENGTH, starts) >= LENGTH
             again = shared.copy()
             again[order[:-1][shared[order[1:]]]] = True
             marked = np.flatnonzero(again)
             row = np.searchsorted(begin, marked, "right") - 1
             place = marked - begin[row]
-            within = place < np.array([r[2] for r in rows])[row]  # not over the end of the slice
-            row, place = row[within], place[within]
             fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)]) if len(row) else np.zeros(0, bool)
             starts = np.flatnonzero(fresh)
             ends = np.append(starts[1:], len(row)) - 1 if len(row) else starts
@@ -259,7 +261,7 @@ def repeated_in(found: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 
 def removal(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(digest, whole, spans) of each text (digest, text) that loses bytes; spans may overlap."""
+    """(digest, whole, spans) of each text (digest, text) that loses bytes."""
     long = texts.where(F.octet_length("text") >= LENGTH)
     copied = written(long.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "copied")
     marked = broadcast_if_small(copied)
@@ -283,13 +285,28 @@ def removal(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     even = again.where("uniform").select(
         "digest", F.col("low").alias("start"), (F.col("low") + F.col("width") - 1 + LENGTH).alias("end")
     )
-    listed = spans.union(even).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    listed = merged(spans.union(even).groupBy("digest").agg(F.collect_list(F.struct("start", "end")).alias("spans")))
     none = F.expr("cast(array() as array<struct<start: bigint, end: bigint>>)")
     return copied.select("digest", F.lit(True).alias("whole"), none.alias("spans")).union(
         listed.join(marked, "digest", "left_anti").select("digest", F.lit(False), "spans")
     )
 
 
+def merged(listed: DataFrame) -> DataFrame:
+    """(digest, spans) with disjoint spans."""
+
+    def merge(batches):
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+        for batch in batches:
+            spans = [
+                [{"start": a, "end": b} for a, b in union_of([(s["start"], s["end"]) for s in row])]
+                for row in batch.column("spans").to_pylist()
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array(spans, kind)], names=["digest", "spans"])
+
+    return listed.mapInArrow(merge, "digest binary, spans array<struct<start: bigint, end: bigint>>")
+
+
 def union_of(spans: list) -> list:
     """Sorted, disjoint, not even touching spans."""
     out = []
@@ -313,7 +330,6 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT, with_bytes: bool = False)
     )
     gone = written(removal(base.select("digest", "text"), limit), "removal")
     total = gone.agg(F.sum(F.size("spans") + 1)).first()[0] or 0
-    gone = F.broadcast(gone) if total <= LIST_ROWS else gone
 
     def cut(batches):
         for batch in batches:
@@ -337,4 +353,12 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT, with_bytes: bool = False)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *(["kept"] if with_bytes else [])]
     kinds = [docs.schema["doc_id"].dataType.simpleString(), "bigint", "bigint", "bigint", "string", "string", "binary"]
     shape = ", ".join(f"{n} {k}" for n, k in zip(names, kinds))
-    return base.join(gone, "digest", "left").select("doc_id", "text", "whole", "spans").mapInArrow(cut, shape)
+    if total <= LIST_ROWS:
+        marked = base.join(F.broadcast(gone), "digest", "left")
+    else:  # only the texts that lose bytes are moved to their spans
+        losing = broadcast_if_small(gone.select("digest"), "digest")
+        spared = base.join(losing, "digest", "left_anti").withColumns({
+            "whole": F.lit(None).cast("boolean"), "spans": F.lit(None).cast(gone.schema["spans"].dataType)
+        })
+        marked = base.join(losing, "digest", "left_semi").join(gone, "digest").unionByName(spared)
+    return marked.select("doc_id", "text", "whole", "spans").mapInArrow(cut, shape)
