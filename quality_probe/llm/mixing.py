@@ -77,8 +77,9 @@ def mix(docs: DataFrame, weights: DataFrame = None, block: int = BLOCK, period:
     empty table gives no rows.
     """
     plan = F.broadcast(schedule(tempered(docs) if weights is None else weights, period))  # about `period` rows
-    queue = docs.select("doc_id", "source", F.xxhash64("doc_id", F.lit(seed)).alias("_draw"))
-    numbered = without_slices(number_rows(queue, ["source"], ["_draw", "doc_id"]).drop("_draw"))
+    named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # never null
+    queue = docs.select("doc_id", "source", named.alias("_queue"), F.xxhash64("doc_id", F.lit(seed)).alias("_draw"))
+    numbered = without_slices(number_rows(queue, ["_queue"], ["_draw", "doc_id"])).drop("_draw", "_queue")
     blocks = numbered.withColumn("block", F.expr(f"(row_number - 1) div {block}"))
     parts = F.broadcast(plan.groupBy("source").agg(F.max("parts").alias("parts"), F.max("period").alias("period")))
     timed = blocks.alias("b").join(parts.alias("p"), F.expr("b.source <=> p.source"), "left").select(
