@@ -29,7 +29,8 @@ def strip_label(label) -> Column:
 
 
 def doc_hash(doc_id, text) -> Column:
-    return F.sha2(F.concat(doc_id, F.lit(":"), text), 256)
+    """A null text counts as an empty one, so that its record has a key of its own."""
+    return F.sha2(F.concat(doc_id, F.lit(":"), F.coalesce(text, F.lit(""))), 256)
 
 
 def words(text) -> Column:

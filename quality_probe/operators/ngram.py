@@ -33,27 +33,20 @@ WEIGHTS = {
 }
 
 # Signals: text view and weight table behind one logit.
-FULL, HEAD, CHUNKS = "full", "head", "chunks"
+FULL, CHUNKS = "full", "chunks"
 SIGNALS = {
     "full_quality": (FULL, "quality"),
-    "head_quality": (HEAD, "quality"),
-    "head_toxic": (HEAD, "toxic"),
-    "head_good": (HEAD, "good"),
-    "head_poor": (HEAD, "poor"),
-    "head_mixed": (HEAD, "mixed"),
+    "head_quality": (FULL, "quality"),
+    "head_toxic": (FULL, "toxic"),
+    "head_good": (FULL, "good"),
+    "head_poor": (FULL, "poor"),
+    "head_mixed": (FULL, "mixed"),
     "chunk_word_quality": (CHUNKS, "word_quality"),
     "chunk_pair_quality": (CHUNKS, "pair_quality"),
     "chunk_word_toxic": (CHUNKS, "word_toxic"),
 }
 
-# Segments of a document's grams; a gram's segment adds up the views that hold it.
-IN_HEAD, IN_FIRST_CHUNK = 1, 2
-SECOND_CHUNK, CUT_WORD = 4, 8
-SEGMENTS = {
-    FULL: [[0, 1, 2, 3]],
-    HEAD: [[1, 3]],
-    CHUNKS: [[2, 3, CUT_WORD], [SECOND_CHUNK]],
-}
+NO_CHUNK = -1  # segment of a pair of words over the border of two chunks
 
 # At most so many frequent grams, none longer than so many bytes, are sent out of a larger vocabulary.
 HOT_GRAMS = 2_000_000
@@ -131,54 +124,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> NgramModel
     return NgramModel(cells, kinds)
 
 
-def first_chunk_words(leading: str, cut: str) -> str:
-    """SQL of how many leading words the first chunk keeps; its last word, maybe cut, is lost."""
-    ends_blank = f"regexp_like({cut}, '{T.BLANK}\\\\z')"
-    kept = f"CASE WHEN {leading} > {T.CHUNK_WORDS} THEN {T.CHUNK_WORDS - 1} ELSE {leading} - if({ends_blank}, 0, 1) END"
-    return f"CASE WHEN regexp_like({cut}, '{T.BLANK}') THEN {kept} ELSE 0 END"
-
-
-def occurrences(docs: DataFrame, signals, key: str) -> DataFrame:
-    """One row per gram occurrence with its segment.
-
-    The head and the first chunk are the document's leading words, so they share the rows of the
-    whole text; only the second chunk of a long text, and the cut word of a text without blanks,
-    are made anew.
-    """
-    needed = {SIGNALS[s][0] for s in signals}
-    chunked = CHUNKS in needed
-    rows = docs.select(key, "text", tokens(F.col("text")).alias("words"))
-    limit = T.CHUNK_WORDS if chunked else T.HEAD_WORDS
-    words = "words" if FULL in needed else f"slice(words, 1, {limit})"
-    whole = f"named_struct('segment', 0, 'words', {words})"
-    if chunked:
-        text, cut = F.col("text"), F.substring("text", 1, T.CHUNK_CHARS)
-        rows = rows.select(
-            "*",
-            cut.alias("cut"),
-            F.when(F.length(text) > T.CHUNK_CHARS, F.size(T.words(cut))).otherwise(F.size("words")).alias("leading"),
-            F.when(~F.regexp_like(cut, F.lit(T.BLANK)), tokens(T.trim_end(cut))).alias("cut_word"),
-            F.when(T.is_long(text), tokens(T.trim_start(T.tail_chunk(text)))).alias("second"),
-        )
-        kept = first_chunk_words("leading", "cut")
-        extra = [
-            f"CASE WHEN {column} IS NOT NULL THEN named_struct('segment', {segment}, 'words', {column}) END"
-            for column, segment in (("cut_word", CUT_WORD), ("second", SECOND_CHUNK))
-        ]
-        parts = f"array_compact(array({', '.join([whole, *extra])}))"
-    else:
-        kept, parts = "0", f"array({whole})"
+def occurrences(docs: DataFrame, key: str) -> DataFrame:
+    """One row per gram occurrence with its segment: the chunk of CHUNK_WORDS words that it lies in."""
     word = "if(pos >= n, pos - n + 1, pos)"  # the gram's last word
-    inside = f"if({word} < {T.HEAD_WORDS}, {IN_HEAD}, 0) + if({word} < kept, {IN_FIRST_CHUNK}, 0)"
+    crosses = f"pos >= n AND ({word}) % {T.CHUNK_WORDS} = 0"
     return (
-        rows.selectExpr(key, f"{kept} AS kept", f"explode({parts}) AS part")
-        .selectExpr(key, "kept", "part.segment", "part.words", "size(part.words) AS n")
-        .selectExpr(key, "kept", "segment", "n", f"posexplode_outer({grams('words')}) AS (pos, gram)")
+        docs.select(key, tokens(F.col("text")).alias("words"))
+        .selectExpr(key, "size(words) AS n", f"posexplode_outer({grams('words')}) AS (pos, gram)")
         .selectExpr(
             key,
             "gram",
             "cast(pos >= n AS int) AS is_pair",
-            f"CASE WHEN segment = 0 THEN {inside} ELSE segment END AS segment",
+            f"CASE WHEN {crosses} THEN {NO_CHUNK}L ELSE ({word}) div {T.CHUNK_WORDS} END AS segment",
         )
     )
 
@@ -236,21 +193,21 @@ def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), ca
 
 def summed_signals(docs: DataFrame, model: NgramModel, signals, key: str, broadcastable: bool) -> DataFrame:
     names = list(dict.fromkeys(SIGNALS[s][1] for s in signals))
-    rows = with_weights(occurrences(docs, signals, key), model, names, key, broadcastable)
+    rows = with_weights(occurrences(docs, key), model, names, key, broadcastable)
     counts = [f"count(gram) AS {ALL}", f"count_if(is_pair = 1) AS {BIGRAMS}", f"count_if(is_pair = 0) AS {UNIGRAMS}"]
     by_segment = rows.groupBy(key, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
-    sums, means = {}, []
+    unseen = [f"{model.unseen(n)} AS unseen_{n}" for n in names]
+    sums = []
     for signal in signals:
         view, weight = SIGNALS[signal]
-        used, scores = WEIGHTS[weight][0], []
-        for part, segments in enumerate(SEGMENTS[view]):
-            total, count = f"sum_{view}_{part}_{weight}", f"count_{view}_{part}_{used}"
-            inside = f"FILTER (WHERE segment IN ({', '.join(map(str, segments))}))"
-            sums[total] = f"coalesce(sum({weight}) {inside}, 0)"
-            sums[count] = f"sum(`{used}`) {inside}"
-            scores.append(f"CASE WHEN {count} > 0 THEN ({total} + {count} * unseen_{weight}) div {count} END")
-        best = f"greatest({', '.join(scores)})" if len(scores) > 1 else scores[0]
-        means.append(f"{best} AS {signal}")
-    summed = by_segment.groupBy(key).agg(*[F.expr(f"{sql} AS {name}") for name, sql in sums.items()])
-    unseen = [f"{model.unseen(n)} AS unseen_{n}" for n in names]
-    return summed.selectExpr("*", *unseen).selectExpr(key, *means)
+        used = WEIGHTS[weight][0]
+        if view == FULL:
+            total, count = f"coalesce(sum({weight}), 0)", f"sum(`{used}`)"
+            mean = f"CASE WHEN {count} > 0 THEN ({total} + {count} * max(unseen_{weight})) div {count} END"
+        else:  # the best chunk
+            mean = (
+                f"max(CASE WHEN segment <> {NO_CHUNK} AND `{used}` > 0 "
+                f"THEN (coalesce({weight}, 0) + `{used}` * unseen_{weight}) div `{used}` END)"
+            )
+        sums.append(F.expr(f"{mean} AS {signal}"))
+    return by_segment.selectExpr("*", *unseen).groupBy(key).agg(*sums)

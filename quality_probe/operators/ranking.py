@@ -5,14 +5,13 @@ Two definitions live side by side. The report ranks 1..N with ties broken by id
 (worst rank - rank + 1) / worst rank * 100.
 """
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quality_probe.operators.ordering import SLICE, min_ranks, number_rows, without_slices
 from quality_probe.schemas import DOCUMENT_KEYS
 
 BY = ["classifier"]
-SCAN_NEEDLES = 100_000  # needles whose scores may be sent to every task
 
 
 def scored(scores: DataFrame) -> DataFrame:
@@ -59,45 +58,7 @@ def numbered_worst(ranked: DataFrame) -> DataFrame:
     return ranked.groupBy(*BY).agg(F.max("rank").alias("_worst"))
 
 
-def needle_ranks(scores: DataFrame, scan_limit: int = SCAN_NEEDLES) -> DataFrame:
-    """Report ranks of the needles alone.
-
-    Up to `scan_limit` needles, one scan counts the documents between neighbouring needles and no
-    document is moved. Beyond it, all documents are ranked. `scores` should be a written table.
-    """
-    kept = scored(scores)
-    count = needles(kept).count()
-    if count == 0 or count > scan_limit:
-        ranked = without_slices(needles(ordinal_ranks(scores)))
-    else:
-        ranked = scan_ranks(kept, count)
+def needle_ranks(scores: DataFrame) -> DataFrame:
+    """Report ranks of the needles alone, taken from the ranking of all documents."""
+    ranked = without_slices(needles(ordinal_ranks(scores)))
     return ranked.withColumn("percentile", percentile_of(F.col("rank"), F.col("total")))
-
-
-def scan_ranks(kept: DataFrame, count: int) -> DataFrame:
-    """Rank needles by binary search: each document finds how many needles are not behind it.
-
-    The sorted needles of a scorer are one array, sent to every task. Each step doubles the
-    precision of the position, as plain column arithmetic.
-    """
-    found = needles(kept).select(*BY, *DOCUMENT_KEYS, "score")
-    order = F.struct((-F.col("score")).alias("key"), "id")
-    arrays = found.groupBy(*BY).agg(F.array_sort(F.collect_list(order)).alias("needles"))
-    docs = kept.select(*BY, order.alias("doc")).join(F.broadcast(arrays), BY)
-    docs = docs.withColumn("ahead", F.lit(0))
-    step = 1 << (count.bit_length() - 1)
-    while step:
-        found_at = f"CASE WHEN get(needles, ahead + {step - 1}) <= doc THEN {step} ELSE 0 END"
-        docs = docs.selectExpr(*BY, "needles", "doc", f"ahead + {found_at} AS ahead")
-        step //= 2
-    counts = docs.groupBy(*BY, "ahead").agg(F.count("*").alias("docs"))
-    scorer = Window.partitionBy(*BY)
-    reached = counts.select(
-        *BY,
-        "ahead",
-        (F.coalesce(F.sum("docs").over(scorer.orderBy("ahead").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + 1)
-        .alias("rank"),
-        F.sum("docs").over(scorer).alias("total"),
-    )
-    numbered = found.withColumn("ahead", F.row_number().over(scorer.orderBy(F.desc("score"), "id")))
-    return numbered.join(F.broadcast(reached), [*BY, "ahead"]).drop("ahead")

@@ -77,11 +77,17 @@ def score_native(docs: DataFrame, model: NgramModel, scorers: list, carry=tuple(
 
 
 def score_external(docs: DataFrame, scorer: ExternalScorer, carry=tuple(DOCUMENT_KEYS)) -> DataFrame:
-    """Score with a model inside the Python workers; a failed batch leaves null scores."""
+    """Score with a model inside the Python workers; a batch that fails is tried text by text, and only failing texts get null."""
     carry = list(carry)
     kept = docs.select(*carry, "text")
     load, predict, size = scorer.load, scorer.predict, scorer.batch_size
 
+    def alone(model, text):
+        try:
+            return float(predict(model, [text])[0])
+        except Exception:
+            return None
+
     def scored(frames):
         model = load()
         for frame in frames:
@@ -89,9 +95,9 @@ def score_external(docs: DataFrame, scorer: ExternalScorer, carry=tuple(DOCUMENT
             for start in range(0, len(frame), size):
                 texts = frame["text"].iloc[start : start + size].tolist()
                 try:
-                    scores.extend(float(s) for s in predict(model, texts))
+                    scores.extend([float(s) for s in predict(model, texts)])
                 except Exception:
-                    scores.extend([None] * len(texts))
+                    scores.extend(alone(model, text) for text in texts)
             yield frame.drop(columns="text").assign(score=pd.array(scores, dtype="Float64"))
 
     fields = [f for f in kept.schema.fields if f.name != "text"]

@@ -195,11 +195,12 @@ def mean(weight: str, used: str) -> str:
 
 ANY, WORD, PAIR = "g.gram IS NOT NULL", "NOT contains(g.gram, ' ')", "contains(g.gram, ' ')"
 
-MEANS = f"""{chunk_rows('corpus', 'id')},
+MEANS = f"""corpus_words AS MATERIALIZED (SELECT id, {words('lower(text)')} AS w FROM corpus),
+chunk_numbers AS (SELECT id, w, unnest(range(0, (len(w) + 2045) // 2046)) AS chunk_no FROM corpus_words),
 view_words AS (
-  SELECT id, 'full' AS view, 0 AS chunk_no, {words('lower(text)')} AS w FROM corpus
-  UNION ALL SELECT id, 'head', 0, {words('lower(text)')}[1:512] FROM corpus
-  UNION ALL SELECT id, 'chunk', chunk_no, {words('lower(chunk)')} FROM chunks),
+  SELECT id, 'full' AS view, 0 AS chunk_no, w FROM corpus_words
+  UNION ALL SELECT id, 'head', 0, w FROM corpus_words
+  UNION ALL SELECT id, 'chunk', chunk_no, w[chunk_no * 2046 + 1:(chunk_no + 1) * 2046] FROM chunk_numbers),
 view_grams AS (SELECT id, view, chunk_no, unnest({grams('w')}) AS gram FROM view_words),
 view_means AS MATERIALIZED (
   SELECT id, view, chunk_no, {', '.join(f"{mean(n, {'word': WORD, 'pair': PAIR}.get(n.split('_')[0], ANY))} AS {n}" for n in WEIGHTS)}

@@ -44,26 +44,9 @@ def learned(docs, labels):
     return tables
 
 
-def trim_end(text):
-    at = max((i for i, c in enumerate(text) if c in " \n\t\r"), default=None)
-    return text[:at] if at is not None else text[:-10]
-
-
-def trim_start(text):
-    at = min((i for i, c in enumerate(text) if c in " \n\t\r"), default=None)
-    return text[at + 1:] if at is not None else text[10:]
-
-
-def cut(text, keep):
-    words = [w for w in BLANKS.split(text) if w]
-    return text if len(words) <= 2046 else " ".join(words[keep])
-
-
 def views(text):
-    chunks = [trim_end(cut(text[:10_000], slice(0, 2046)))]
-    if len(text) > 20_000:
-        chunks.append(trim_start(cut(text[-10_000:], slice(-2046, None))))
-    return {"full": [tokens(text)], "head": [tokens(text)[:512]], "chunks": [tokens(c) for c in chunks]}
+    words = tokens(text)
+    return {"full": [words], "chunks": [words[i : i + 2046] for i in range(0, len(words), 2046)]}
 
 
 def expected(text, tables):
