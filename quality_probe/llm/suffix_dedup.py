@@ -13,10 +13,12 @@ their distance to the anchor, half by half, and regrouped by the bytes that all
 until groups are small or hold a single distance, where equal strings are equal slices and are counted.
 """
 
+import functools
 import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -80,14 +82,20 @@ def owned_runs(data: np.ndarray, borders: np.ndarray) -> tuple:
     return np.searchsorted(borders, low, "right") - 1, low, width, place[begins], hashes[place[begins]]
 
 
+@functools.lru_cache(maxsize=1)
+def power_tables(bits: int) -> tuple:
+    """The first 2^bits powers of BASE and of its inverse."""
+    back = np.full(1 << bits, INVERSE, np.uint64)
+    back[0] = 1
+    return W.powers(1 << bits), np.cumprod(back, dtype=np.uint64)
+
+
 def range_hashes(data: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Hash of the bytes low..high-1, equal for equal bytes wherever they stand."""
     n = len(data)
+    factors, back = power_tables(n.bit_length())
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * W.powers(n), out=sums[1:])
-    back = np.full(n + 1, INVERSE, np.uint64)
-    back[0] = 1
-    back = np.cumprod(back, dtype=np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * factors[:n], out=sums[1:])
     return W.mixed((sums[high] - sums[low]) * back[low] ^ ((high - low).astype(np.uint64) << np.uint64(40)))
 
 
@@ -132,20 +140,31 @@ SLICES = (
 
 def contexts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     """SLICES of one place of each wanted context: its bytes, read from the text that holds it."""
+    kept = ["anchor", "context", "n", "width", "reach"]
 
     def cut(batches):
         for batch in batches:
-            out = []
-            for text, runs in zip(batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                raw = text.encode()
-                for r in runs:
-                    piece = raw[r["low"] : r["low"] + r["width"] - 1 + LENGTH]
-                    out.append((r["anchor"], r["context"], r["n"], 0, r["width"], r["reach"], piece, r["anchor"], r["context"], 0, REACH))
-            yield sliced(out)
+            runs = batch.column("runs")
+            for row, part in W.pieces(W.filled(batch.column("text"))):
+                data, borders = W.flat(part)
+                lists = runs.slice(row, len(part))
+                run, holder = lists.flatten(), pc.list_parent_indices(lists).to_numpy()
+                low, width = run.field("low").to_numpy(), run.field("width").to_numpy()
+                ends = np.cumsum(width.astype(np.int64) - 1 + LENGTH)
+                sizes = np.diff(ends, prepend=0)
+                picked = data[np.arange(int(sizes.sum())) + np.repeat(borders[holder] + low - (ends - sizes), sizes)]
+                offsets = np.append(0, ends).astype(np.int32)
+                cuts = pa.Array.from_buffers(pa.binary(), len(run), [None, pa.py_buffer(offsets), pa.py_buffer(picked)])
+                yield pa.RecordBatch.from_arrays([*[run.field(c) for c in kept], cuts], names=[*kept, "bytes"])
 
     runs = wanted.groupBy("digest").agg(F.collect_list(F.struct("anchor", "context", "n", "low", "width", "reach")).alias("runs"))
     holders = texts.join(broadcast_if_small(wanted.select("digest").distinct(), "digest"), "digest", "left_semi")
-    return holders.join(runs, "digest").select("text", "runs").mapInArrow(cut, SLICES)
+    found = holders.join(runs, "digest").select("text", "runs").mapInArrow(
+        cut, "anchor bigint, context bigint, n bigint, width int, reach int, bytes binary"
+    )
+    return found.selectExpr(
+        "anchor", "context", "n", "0 AS skip", "width", "reach", "bytes", "anchor AS key", "context AS part", "0 AS near", f"{REACH} AS far"
+    )
 
 
 def sliced(rows: list) -> pa.RecordBatch:
@@ -237,13 +256,15 @@ def repeated_in(found: DataFrame, limit: int = LIMIT) -> DataFrame:
     """(anchor, context, first, last): runs of repeated strings in the given SLICES."""
     marks, level = None, found
     while True:
-        parts = written(
-            level.groupBy("key", "part").agg(
-                F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"), F.max("width").alias("width"),
-                F.max("near").alias("near"), F.max("far").alias("far"),
-            ),
-            "slices",
-        )
+        parts = level  # the given contexts are distinct, halves need not be
+        if marks is not None:
+            parts = written(
+                level.groupBy("key", "part").agg(
+                    F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"), F.max("width").alias("width"),
+                    F.max("near").alias("near"), F.max("far").alias("far"),
+                ),
+                "slices",
+            )
         groups = parts.groupBy("key").agg(F.count("*").alias("slices"), F.max(F.col("far") - F.col("near")).alias("span"))
         groups = written(groups.where("slices > 1"), "slice-groups")
         small = groups.where((F.col("slices") <= limit) & (F.col("span") > 0)).select("key")
