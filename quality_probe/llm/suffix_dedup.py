@@ -252,19 +252,32 @@ def ordered(slices: DataFrame) -> DataFrame:
     return rows.mapInArrow(find, "key bigint, part bigint, first int, last int")
 
 
-def repeated_in(found: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(anchor, context, first, last): runs of repeated strings in the given SLICES."""
-    marks, level = None, found
+def repeated_in(wanted: DataFrame, texts: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(anchor, context, first, last): runs of repeated strings in the wanted contexts, whose bytes are in `texts`."""
+    groups = wanted.groupBy("anchor").agg(F.count("*").alias("slices"))
+    large = written(groups.where(F.col("slices") > limit).select("anchor"), "large-anchors")
+    listed = broadcast_if_small(large)
+    runs = ordered(contexts(texts, wanted.join(listed, "anchor", "left_anti")))
+    marks = written(runs.selectExpr("key AS anchor", "part AS context", "first", "last"), "repeated").union(
+        wanted.where("n > 1").selectExpr("anchor", "context", "0 AS first", "width - 1 AS last")
+    )
+    if large.isEmpty():
+        return marks
+    halves = written(halved(contexts(texts, wanted.join(listed, "anchor", "left_semi"))), "halves")
+    return marks.union(repeated_in_halves(halves, limit))
+
+
+def repeated_in_halves(level: DataFrame, limit: int) -> DataFrame:
+    """(anchor, context, first, last): runs of repeated strings in the given SLICES, halved on while groups are large."""
+    marks = None
     while True:
-        parts = level  # the given contexts are distinct, halves need not be
-        if marks is not None:
-            parts = written(
-                level.groupBy("key", "part").agg(
-                    F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"), F.max("width").alias("width"),
-                    F.max("near").alias("near"), F.max("far").alias("far"),
-                ),
-                "slices",
-            )
+        parts = written(
+            level.groupBy("key", "part").agg(
+                F.sum("n").alias("n"), F.any_value("bytes").alias("bytes"), F.max("width").alias("width"),
+                F.max("near").alias("near"), F.max("far").alias("far"),
+            ),
+            "slices",
+        )
         groups = parts.groupBy("key").agg(F.count("*").alias("slices"), F.max(F.col("far") - F.col("near")).alias("span"))
         groups = written(groups.where("slices > 1"), "slice-groups")
         small = groups.where((F.col("slices") <= limit) & (F.col("span") > 0)).select("key")
@@ -276,7 +289,7 @@ def repeated_in(found: DataFrame, limit: int = LIMIT) -> DataFrame:
         )
         back = written(back, "repeated")
         marks = back if marks is None else marks.union(back)
-        if not large.limit(1).count():
+        if large.isEmpty():
             return marks
         level = written(halved(level.join(broadcast_if_small(large), "key", "left_semi")), "halves")
 
@@ -299,7 +312,7 @@ def removal(texts: DataFrame, limit: int = LIMIT) -> DataFrame:
     wanted = varied.groupBy("anchor", "context").agg(
         F.count("*").alias("n"), F.min(F.struct("digest", "low", "width", "reach")).alias("one")
     ).select("anchor", "context", "n", "one.*")
-    marks = repeated_in(written(contexts(distinct, written(wanted, "contexts")), "context-bytes"), limit)
+    marks = repeated_in(written(wanted, "contexts"), distinct, limit)
     spans = varied.join(marks, ["anchor", "context"]).select(
         "digest", (F.col("low") + F.col("first")).alias("start"), (F.col("low") + F.col("last") + LENGTH).alias("end")
     )
