@@ -31,9 +31,9 @@ LENGTH = 200
 GRAM = 32
 REACH = LENGTH - GRAM  # an anchor lies 0..REACH bytes into its string
 PLACE_BITS = 24
-SEGMENT = 1 << 20  # strings of a longer text are handled by segments of their starts
+SEGMENT = 1 << 19  # strings of a longer text are handled by segments of their starts
 LIMIT = 4096
-SHARD = 1 << 20
+SHARD = 1 << 18
 INVERSE = pow(W.BASE, -1, 1 << 64)
 LIST_ROWS = 1_000_000  # spans in a broadcast
 
@@ -368,9 +368,10 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT, with_bytes: bool = False)
     def cut(batches):
         for batch in batches:
             out = []
-            columns = [batch.column(c).to_pylist() for c in ("text", "whole", "spans")]
-            for text, whole, spans in zip(*columns, strict=True):
-                raw = text.encode()
+            texts = W.filled(batch.column("text")).cast(pa.large_binary())
+            columns = [batch.column(c).to_pylist() for c in ("whole", "spans")]
+            for value, whole, spans in zip(texts, *columns, strict=True):  # one text at a time leaves Arrow memory
+                raw = value.as_py()
                 runs = [[0, len(raw)]] if whole else union_of([(s["start"], s["end"]) for s in spans or []])
                 kept, last = [], 0
                 for start, end in runs:
@@ -378,7 +379,7 @@ def deduplicated(docs: DataFrame, limit: int = LIMIT, with_bytes: bool = False)
                     last = end
                 kept = b"".join([*kept, raw[last:]])
                 spelled = ",".join(f"{a}:{b}" for a, b in runs)
-                out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), spelled, kept))
+                out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest(), spelled, kept if with_bytes else None))
             if out:
                 kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()][: 6 if with_bytes else 5]
                 columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
