@@ -29,6 +29,7 @@ from quality_probe.sources.stores import (
 from quality_probe.streaming import jobs
 
 SEED = 42
+PARTITIONS = "quality_probe.partitions"  # setting: deal texts out to so many partitions; unset, they stay as scanned
 MIN_SCORE = 0.7
 TOP_VIEW, TOP_STORED = 10, 100
 SAMPLE = 10
@@ -56,6 +57,9 @@ class Tables:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self.raw, self.benchmark, self.labels = (self.table(n) for n in TABLES)
+        partitions = spark.conf.get(PARTITIONS, None)
+        if partitions:
+            self.raw = self.raw.repartition(int(partitions), "doc_id")
 
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(TABLES[name]).parquet(f"{self.folder}/{name}.parquet")

@@ -135,8 +135,8 @@ class TextStore:
 
 # --- map-shaped JSON -----------------------------------------------------------------------------
 
-ENTRY_END = "}, "  # between two entries of a map of flat records
-
+ENTRY_END = "}"  # of a flat record
+FAIL = {"mode": "FAILFAST"}
 
 SCORE_DDL = (
     "id: string, source: string, contains_benchmark: boolean, benchmark_type: string, benchmark_index: int, "
@@ -152,22 +152,26 @@ def parsed_map(text) -> Column:
 def read_score_json(spark: SparkSession, path: str, classifier: str, dataset: str) -> DataFrame:
     """Import a file that holds one JSON object from hash to flat score record.
 
-    The file is split between entries, so that many tasks read one large file.
+    The file is split after records, in any layout, so that many tasks read one large file. What does
+    not parse raises an error, a closing brace inside a string included.
     """
-    lines = spark.read.option("lineSep", ENTRY_END).text(path)
-    entry = r'"([0-9a-f]{64})"\s*:\s*(\{[^}]*)'
-    found = lines.select(
+    pieces = spark.read.option("lineSep", ENTRY_END).text(path).filter(~F.regexp_like("value", F.lit(r"\A[\s,{]*\z")))
+    entry = r'(?s)\A[\s,{]*"([0-9a-f]{64})"\s*:\s*(\{.*)\z'
+    checked = F.when(F.regexp_like("value", F.lit(entry)), F.regexp_extract("value", entry, 2)).otherwise(
+        F.raise_error(F.concat(F.lit("no score record: "), F.left("value", F.lit(200))))
+    )
+    found = pieces.select(
         F.regexp_extract("value", entry, 1).alias("doc_hash"),
-        F.from_json(F.concat(F.regexp_extract("value", entry, 2), F.lit("}")), f"struct<{SCORE_DDL}>").alias("record"),
-    ).filter(F.col("doc_hash") != "")
+        F.from_json(F.concat(checked, F.lit(ENTRY_END)), f"struct<{SCORE_DDL}>", FAIL).alias("record"),
+    )
     return found.select("doc_hash", "record.*", F.lit(classifier).alias("classifier"), F.lit(dataset).alias("dataset")).select(
         names(STORE)
     )
 
 
 def read_text_json(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Import an indented JSON object from id to text, one entry per line."""
-    lines = spark.read.text(path).select(F.regexp_replace(F.trim("value"), ",$", "").alias("entry"))
-    entries = lines.filter(F.startswith("entry", F.lit('"')))
-    pairs = F.explode(F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}")), "map<string,string>"))
+    """Import a JSON object from id to text whose lines hold whole entries; any other line raises an error."""
+    inner = F.regexp_replace(F.regexp_replace("value", r"\A\s*\{?\s*", ""), r"[\s,}]*\z", "")
+    entries = spark.read.text(path).select(inner.alias("entry")).filter("entry <> ''")
+    pairs = F.explode(F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}")), "map<string,string>", FAIL))
     return entries.select(F.lit(dataset).alias("dataset"), pairs.alias("id", "text"))

@@ -7,7 +7,6 @@ from quality_probe.operators.ordering import number_rows, without_slices
 from quality_probe.schemas import DOCUMENT, names
 
 WEB = "web"
-SMALL_CORPUS = 1_000_000  # below this many rows a few large row groups would starve the executors
 DEFAULT_SUBSET = "sample-10BT"
 
 
@@ -20,19 +19,27 @@ def dataset_name(path: str, subset: str = DEFAULT_SUBSET) -> str:
 def with_positions(docs: DataFrame, key: str = "doc_id") -> tuple:
     """Add `doc_pos` (0-based, in the order of the unique integer `key`) and return the row count.
 
-    A key without gaps already is the position, which one cheap aggregate over the key column
-    proves; then no text is shuffled. Otherwise the keys alone are numbered and joined back.
+    A key without gaps already is the position: n keys in a range of n are all different if their
+    hashes sum to those of the range, which takes no shuffle. Otherwise the keys alone are numbered
+    and joined back. Null and repeated keys raise a ValueError.
     """
+    total = F.sum(F.xxhash64(F.col(key).cast("bigint")).cast("decimal(38,0)")).alias("total")
     stats = docs.agg(
-        F.count(key).alias("n"),
-        F.min(key).alias("low"),
-        F.max(key).alias("high"),
-        F.sum(F.col(key).cast("decimal(38,0)")).alias("total"),
+        F.count("*").alias("rows"), F.count(key).alias("n"), F.min(key).alias("low"), F.max(key).alias("high"), total
     ).first()
     n, low, high = stats["n"], stats["low"], stats["high"]
+    if stats["rows"] > n:
+        raise ValueError(f"{stats['rows'] - n} documents have no {key}")
     if n == 0:
         return docs.withColumn("doc_pos", F.lit(0).cast("bigint")), 0
-    if high - low + 1 == n and int(stats["total"]) * 2 == (low + high) * n:
+    gapless = high - low + 1 == n
+    if gapless:
+        repeated = docs.sparkSession.range(low, high + 1).toDF(key).agg(total).first()["total"] != stats["total"]
+    else:
+        repeated = not docs.groupBy(key).count().filter("count > 1").isEmpty()
+    if repeated:
+        raise ValueError(f"{key} is not unique")
+    if gapless:
         shifted = F.col(key) if low == 0 else F.col(key) - low  # the bare key lets filters reach the scan
         placed = docs.withColumn("doc_pos", shifted.cast("bigint"))
     else:
@@ -41,13 +48,6 @@ def with_positions(docs: DataFrame, key: str = "doc_id") -> tuple:
     return placed, n
 
 
-def spread(docs: DataFrame, rows: int, key: str) -> DataFrame:
-    """Deal a small corpus out to all cores; a large one keeps its scan partitions."""
-    if rows >= SMALL_CORPUS:
-        return docs
-    return docs.repartition(docs.sparkSession.sparkContext.defaultParallelism, key)
-
-
 def as_documents(docs: DataFrame) -> DataFrame:
     """Document columns from `doc_pos`, `text` and optionally `original_score`; other columns stay."""
     score = F.col("original_score") if "original_score" in docs.columns else F.lit(None)
@@ -79,7 +79,7 @@ def web_documents(docs: DataFrame, num_docs: int = None, subset=None, key: str =
     if subset is not None:
         docs = docs.filter(subset)
     placed, rows = first_documents(*with_positions(docs.select(key, "text"), key), num_docs)
-    return as_documents(spread(placed, rows, key)), rows
+    return as_documents(placed), rows
 
 
 def prefiltered(scores: DataFrame, min_score: float, num_docs: int = None, key: str = "doc_id") -> DataFrame:

@@ -173,10 +173,13 @@ def test_first_documents_are_cut_in_the_scan(spark, raw, tmp_path):
     assert "LessThan(doc_id,5)" in plan and "ReadSchema: struct<doc_id:bigint>" in plan
 
 
-def test_dense_keys_need_no_shuffle_of_texts(spark, raw, monkeypatch):
-    from quality_probe.sources import web
+@pytest.mark.parametrize("keys", [[0, 1, 1, 4, 4], [0, 1, 1, 9], [0, None, 1]])
+def test_repeated_and_missing_keys_raise(spark, keys):
+    with pytest.raises(ValueError):
+        web_documents(spark.createDataFrame([(k, "x") for k in keys], "doc_id bigint, text string"))
 
-    monkeypatch.setattr(web, "SMALL_CORPUS", 0)
+
+def test_dense_keys_need_no_shuffle_of_texts(spark, raw):
     docs, _ = web_documents(raw)
     assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
     assert as_documents(raw.select(F.col("doc_id").alias("doc_pos"), "text")).columns == [c for c in docs.columns if c != "doc_id"]

@@ -95,6 +95,13 @@ def test_json_imports(spark, tmp_path):
         for i in range(500)
     }
     path = tmp_path / "scores.json"
+    for layout in ({"indent": 2}, {"separators": (",", ":")}):
+        path.write_text(json.dumps(records, **layout))
+        found = read_score_json(spark, str(path), "binary_ngram", "web").select("doc_hash", "id", "score")
+        assert {tuple(r) for r in found.collect()} == {(h, r["id"], r["score"]) for h, r in records.items()}
+    path.write_text(json.dumps({"0" * 64: {"id": "a } brace", "score": 0.5}}))
+    with pytest.raises(Exception):
+        read_score_json(spark, str(path), "binary_ngram", "web").collect()
     path.write_text(json.dumps(records))
     spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
     try:
@@ -108,6 +115,11 @@ def test_json_imports(spark, tmp_path):
     path = tmp_path / "texts.json"
     path.write_text(json.dumps(texts, indent=2))
     assert {r["id"]: r["text"] for r in read_text_json(spark, str(path), "web").collect()} == texts
+    path.write_text(json.dumps(texts))
+    assert {r["id"]: r["text"] for r in read_text_json(spark, str(path), "web").collect()} == texts
+    path.write_text('{"a":\n"b"}')
+    with pytest.raises(Exception):
+        read_text_json(spark, str(path), "web").collect()
 
 
 def needles(spark):
