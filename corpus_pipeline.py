@@ -31,8 +31,9 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack all documents into sequences; a row per piece."""
-    return packing.packed(docs, queries.tokenizer_path())
+    """Pack all documents into sequences, by the mix's order and target weights; a row per piece."""
+    placed = mixing.stored_order(docs, "_place")
+    return packing.packed(placed, queries.tokenizer_path(), mixing.tempered(docs), order="_place")
 
 
 STAGES = [

@@ -116,3 +116,18 @@ def mixed_documents(docs: DataFrame, weights: DataFrame = None) -> DataFrame:
         .sortWithinPartitions("_position")
         .drop("_position")
     )
+
+
+def stored_order(docs: DataFrame, name: str) -> DataFrame:
+    """Add `name`: the place of each row (from 0, dense) in a stored Parquet table, as it was written.
+
+    Scans take files by size, so partition numbers of a scan do not tell; names of files and rows in them do.
+    """
+    number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")
+    marked = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    sizes = marked.groupBy("_file").agg(F.count("*").alias("_rows"))
+    earlier = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
+    begun = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_begin"))
+    return marked.join(F.broadcast(begun), "_file").select(
+        *docs.columns, (F.col("_begin") + F.col("_row")).alias(name)
+    )

@@ -1,6 +1,6 @@
 """Mixture-controlled packing: deficit round-robin over source queues, cut into fixed-length sequences.
 
-Each source is a queue of token streams in a drawn order. A window of WINDOW tokens grants every source
+Each source is a queue of token streams in a drawn or a given order. A window of WINDOW tokens grants every source
 its part; a source is served in units of UNIT tokens, and what it is granted beyond whole units is its
 deficit, carried to the next window. The tokens that a source has received after w windows are therefore
 UNIT * ((w * part) div (UNIT * PARTS / WINDOW)), a closed form, so every document finds its windows from
@@ -27,6 +27,8 @@ GRANT = UNIT * PARTS // WINDOW  # parts a unit costs
 END = 1  # id after each document
 PIECE = 4 << 20
 CACHE = 1 << 20  # words
+BUCKETS = 1 << 12  # of a queue in a given order, of LEAST_BUCKET places at least
+LEAST_BUCKET = 1 << 10
 SENTINEL = "\x01"
 
 
@@ -117,8 +119,12 @@ def encoder(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
-def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """doc_id, source, n (tokens with END), ids (little-endian, 2 bytes each where the vocabulary allows)."""
+def tokenized(docs: DataFrame, tokenizer_path: str, order: str = None) -> DataFrame:
+    """doc_id, source, n (tokens with END), ids (little-endian, 2 bytes each where the vocabulary allows).
+
+    With `order`, that column too, as `place`.
+    """
+    extra = ["place"] if order else []
 
     def encode(batches):
         words = encoder(tokenizer_path)
@@ -131,14 +137,16 @@ def tokenized(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 )
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("doc_id").slice(row, len(part)), batch.column("source").slice(row, len(part)),
-                     pa.array(np.diff(borders)), binary.cast(pa.binary())],
-                    names=["doc_id", "source", "n", "ids"],
+                     pa.array(np.diff(borders)), binary.cast(pa.binary()),
+                     *[batch.column(c).slice(row, len(part)) for c in extra]],
+                    names=["doc_id", "source", "n", "ids", *extra],
                 )
 
     shape = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, source string, n bigint, ids binary"
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), F.col("text").alias("_text")).mapInArrow(
-        encode, shape
-    )
+    places = [F.col(order).cast("long").alias("place")] if order else []
+    return docs.select(
+        "doc_id", F.col("source").cast("string").alias("source"), F.col("text").alias("_text"), *places
+    ).mapInArrow(encode, ", ".join([shape, *(f"{c} bigint" for c in extra)]))
 
 
 def running(df: DataFrame, by: list, bucket, order: list, value: str, name: str) -> DataFrame:
@@ -179,13 +187,19 @@ def parted(queue: DataFrame, weights: DataFrame = None) -> DataFrame:
 def placed(queue: DataFrame, weights: DataFrame = None) -> DataFrame:
     """(key, start, length, position): pieces of each document in the token stream of all windows.
 
-    `queue` has key, source, n. A piece lies in one window; the order is window, source, queue.
+    `queue` has key, source, n, and `place` where the queues are not to be drawn but in its order. A piece
+    lies in one window; the order is window, source, queue.
     """
     parts = broadcast_if_small(written(parted(queue, weights), "parts"), "source")
+    if "place" in queue.columns:
+        last = queue.agg(F.max("place")).first()[0] or 0
+        turn, bucket = F.col("q.place"), F.expr(f"_draw div {max(LEAST_BUCKET, last // BUCKETS + 1)}")
+    else:
+        turn, bucket = F.xxhash64("q.key"), F.shiftrightunsigned("_draw", 52)
     drawn = queue.alias("q").join(parts.alias("p"), F.expr("q.source <=> p.source")).select(
-        "q.key", "q.n", "p.j", "p.part", F.xxhash64("q.key").alias("_draw")
+        "q.key", "q.n", "p.j", "p.part", turn.alias("_draw")
     )
-    queued = running(drawn, ["j"], F.shiftrightunsigned("_draw", 52), ["_draw", "key"], "n", "x")
+    queued = running(drawn, ["j"], bucket, ["_draw", "key"], "n", "x")
 
     def window(token: str) -> str:  # the first window that grants the unit of a token of the queue
         return f"({GRANT} * ({token} div {UNIT} + 1) - 1) div part"
@@ -223,15 +237,18 @@ SHAPE = (
 )
 
 
-def packed(docs: DataFrame, tokenizer_path: str, weights: DataFrame = None, length: int = LENGTH) -> DataFrame:
+def packed(docs: DataFrame, tokenizer_path: str, weights: DataFrame = None, length: int = LENGTH,
+           order: str = None) -> DataFrame:
     """doc_id, SHAPE: every token of every document in exactly one piece of one sequence of `length` tokens.
 
     `window` tells the piece's mixture window. Null texts are empty and give END alone; a null source is
-    a source of its own; a source without a weight gets the least part. Repeated rows are packed each; an
-    empty table gives no rows. Other columns are not read.
+    a source of its own; a source without a weight gets the least part. `order` names a column of row
+    positions (from 0, dense) that the queues follow; without it their order is drawn. Repeated rows are
+    packed each; an empty table gives no rows. Other columns are not read.
     """
-    tokens = written(tokenized(docs, tokenizer_path).withColumn("key", F.monotonically_increasing_id()), "tokens")
-    pieces = placed(tokens.select("key", "source", "n"), weights).groupBy("key").agg(
+    found = tokenized(docs, tokenizer_path, order)
+    tokens = written(found.withColumn("key", F.monotonically_increasing_id()), "tokens")
+    pieces = placed(tokens.drop("doc_id", "ids"), weights).groupBy("key").agg(
         F.sort_array(F.collect_list(F.struct("start", "length", "position", "w"))).alias("pieces")
     )
 
