@@ -1,15 +1,20 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 Each text gives a vector of transformed shares. For each (lang, source) the minimum covariance
-determinant is approached by concentration steps from coordinatewise medians and spreads: keep the
-COVERAGE share of documents nearest by Mahalanobis distance, take their mean and covariance, repeat.
-A document is rejected when its squared distance from the last estimate exceeds CUT.
+determinant is approached by concentration steps (keep the COVERAGE share of distinct vectors nearest by
+Mahalanobis distance, take their mean and covariance, repeat while the determinant falls) from several
+starts: coordinatewise medians and spreads, and the best of TRIES random subsets of a sample. The start
+with the least determinant gives the estimate. A document is rejected when its squared distance from it
+exceeds CUT.
 
 Steps are partial aggregates (a quantile sketch and sums of products), so a source that holds a third
-of all rows stays spread over tasks; only one row of sums per group is gathered, and inverted in a task.
+of all rows stays spread over tasks; only the sample and a row of sums per start are gathered from a group.
 """
 
+import math
+
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,11 +31,17 @@ MARKS = np.frombuffer(b"!?.,;:\"'()[]{}-_=+/\\@^~`", np.uint8)
 DIMENSIONS = ["word_length", "symbols", "dup_lines", "repeats", "capitals", "marks"]
 # Spreads below these (in transformed units) count as these: most clean texts have exactly no symbol.
 FLOORS = [0.10, 0.04, 0.15, 0.15, 0.05, 0.05]
-COVERAGE = 0.75
-STEPS = 4
+COVERAGE = 0.5
+CONSISTENCY = 1.7845  # COVERAGE / P(chi2(8) <= q), q the COVERAGE quantile of chi2(6)
+SAMPLE = 1000  # rows of a group among which starts are sought
+TRIES = 200
+STARTS = 3  # of these that go over all rows, beside the one of medians
+FALL = 1e-4  # less is no fall of a log determinant
 MIN_GROUP = 100  # smaller groups share their language's estimate, then one for all
-CUT = 60.0
+CUT = 22.46  # 99.9 % quantile of chi2(6)
 ACCURACY = 2000
+KEYS = ["_group", "_start"]
+ESTIMATE = "_group string, _start int, centre array<double>, inverse array<double>"
 
 COUNTS = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint"
 
@@ -153,42 +164,40 @@ def distance(prefix: str = "") -> Column:
     return sum(terms[1:], terms[0])
 
 
+def spread(mean: np.ndarray, product: np.ndarray) -> np.ndarray:
+    """The covariance: consistent for the kept share of a normal sample, then a floor on every axis."""
+    return (product - np.outer(mean, mean)) * CONSISTENCY + np.diag(np.array(FLOORS) ** 2)
+
+
 def inverted(sums: DataFrame) -> DataFrame:
-    """(_group, centre, inverse) from counts, sums and products of each group: a row per group."""
+    """(KEYS, centre, inverse, log_det) from counts, sums and products: a row per group and start."""
     p = len(DIMENSIONS)
-    floors = np.array(FLOORS) ** 2
 
     def invert(frames):
         for frame in frames:
-            centres, inverses = [], []
+            centres, inverses, sizes = [], [], []
             for n, s, q in zip(frame["n"], frame["s"], frame["q"], strict=True):
                 mean = np.array(s) / n
                 product = np.zeros((p, p))
                 product[np.triu_indices(p)] = np.array(q) / n
-                product = product + np.triu(product, 1).T
-                spread = product - np.outer(mean, mean)
-                # consistency for the kept share, then a floor on every axis
-                spread = spread * CONSISTENCY + np.diag(floors)
+                covariance = spread(mean, product + np.triu(product, 1).T)
                 centres.append(mean)
-                inverses.append(np.linalg.inv(spread).ravel())
-            yield frame[["_group"]].assign(centre=centres, inverse=inverses)
+                inverses.append(np.linalg.inv(covariance).ravel())
+                sizes.append(np.linalg.slogdet(covariance)[1])
+            yield frame[KEYS].assign(centre=centres, inverse=inverses, log_det=sizes)
 
-    return sums.mapInPandas(invert, "_group string, centre array<double>, inverse array<double>")
-
-
-# Mean of the diagonal's shrinkage when the nearest COVERAGE of a normal sample is kept (6 dimensions).
-CONSISTENCY = 1.45
+    return sums.mapInPandas(invert, f"{ESTIMATE}, log_det double")
 
 
 def product_sums(rows: DataFrame) -> DataFrame:
     p = len(DIMENSIONS)
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     col = [F.col(d) for d in DIMENSIONS]
-    return rows.groupBy("_group").agg(
+    return rows.groupBy(*KEYS).agg(
         F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(col)],
         *[F.sum(col[i] * col[j]).alias(f"q{i}_{j}") for i, j in pairs],
     ).select(
-        "_group", "n", F.array(*[f"s{i}" for i in range(p)]).alias("s"),
+        *KEYS, "n", F.array(*[f"s{i}" for i in range(p)]).alias("s"),
         F.array(*[f"q{i}_{j}" for i, j in pairs]).alias("q"),
     )
 
@@ -205,24 +214,85 @@ def started(rows: DataFrame) -> DataFrame:
         for i in range(p) for j in range(p)
     ]
     return found.select(
-        "_group", F.array(*[F.col(d)[1] for d in DIMENSIONS]).alias("centre"), F.array(*inverse).alias("inverse")
+        "_group", F.lit(0).alias("_start"), F.array(*[F.col(d)[1] for d in DIMENSIONS]).alias("centre"),
+        F.array(*inverse).alias("inverse"),
+    )
+
+
+def best_of_sample(x: np.ndarray) -> list:
+    """(centre, inverse) of the STARTS least determinants that random subsets of p + 1 rows lead to."""
+    rng = np.random.default_rng(len(x))
+    x = x[np.lexsort(x.T)]  # the same whatever order the rows came in
+    n, p = x.shape
+    half = min(n, max(math.ceil(n * COVERAGE), p + 1))
+
+    def estimate(rows):
+        mean = rows.mean(axis=0)
+        covariance = spread(mean, rows.T @ rows / len(rows))
+        return np.linalg.slogdet(covariance)[1], mean, np.linalg.inv(covariance)
+
+    def step(found):
+        d = x - found[1]
+        return estimate(x[np.argsort(np.einsum("ij,ij->i", d @ found[2], d), kind="stable")[:half]])
+
+    tried = [step(step(estimate(x[rng.permutation(n)[: p + 1]]))) for _ in range(TRIES)]
+    out = {}
+    for found in sorted(tried, key=lambda t: t[0])[:STARTS]:
+        while (better := step(found))[0] < found[0] - FALL:
+            found = better
+        out[round(found[0], 3)] = found
+    return [(mean, inverse.ravel()) for _, mean, inverse in out.values()]
+
+
+def sampled_starts(rows: DataFrame) -> DataFrame:
+    """Starts of each group from about SAMPLE of its rows, chosen by their hash."""
+
+    def search(key, frame):
+        found = best_of_sample(frame[DIMENSIONS].to_numpy())
+        return pd.DataFrame({
+            "_group": [key[0]] * len(found), "_start": range(1, len(found) + 1),
+            "centre": [c for c, _ in found], "inverse": [i for _, i in found],
+        })
+
+    sizes = rows.groupBy("_group").agg(F.count("*").alias("n"))
+    chosen = rows.join(broadcast_if_small(sizes), "_group").where(
+        F.pmod(F.xxhash64(*DIMENSIONS), F.col("n")) < SAMPLE
     )
+    return chosen.select("_group", *DIMENSIONS).groupBy("_group").applyInPandas(search, ESTIMATE)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(_group, centre, inverse) after STEPS concentration steps over rows (_group, DIMENSIONS)."""
-    found = written(started(rows), "mcd")
-    for _ in range(STEPS):
-        near = rows.join(broadcast_if_small(found), "_group").withColumn("_d", distance())
-        limits = near.groupBy("_group").agg(F.percentile_approx("_d", COVERAGE, ACCURACY).alias("_limit"))
-        limited = found.join(limits, "_group")
+    """(_group, centre, inverse) of the least determinant found over rows (_group, DIMENSIONS).
+
+    Every start takes concentration steps over all rows until its determinant stops falling. Equal rows
+    count once: copies of a text tell nothing about the spread, and a point that holds many rows would
+    make the determinant small wherever it lies.
+    """
+    rows = written(rows.select("_group", *DIMENSIONS).distinct(), "mcd-rows")
+    starts = started(rows).unionByName(sampled_starts(rows))
+    found = written(starts.select("*", F.lit(math.inf).alias("log_det"), F.lit(True).alias("falls")), "mcd")
+    while not found.where("falls").isEmpty():
+        falling = found.where("falls").select(*KEYS, "centre", "inverse")
+        near = rows.join(broadcast_if_small(falling), "_group").withColumn("_d", distance())
+        limits = near.groupBy(*KEYS).agg(F.percentile_approx("_d", COVERAGE, ACCURACY).alias("_limit"))
+        limited = falling.join(limits, KEYS)
         kept = (
             rows.join(broadcast_if_small(written(limited, "mcd-limits")), "_group")
             .withColumn("_d", distance())
             .where("_d <= _limit")
         )
-        found = written(inverted(product_sums(kept)), "mcd")
-    return found
+        stepped = inverted(product_sums(kept))
+        better = F.coalesce(F.col("s.log_det") < F.col("f.log_det") - FALL, F.lit(False))
+        found = written(
+            found.alias("f").join(stepped.alias("s"), KEYS, "left").select(
+                *KEYS, *[F.when(better, F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c)
+                         for c in ("centre", "inverse", "log_det")],
+                better.alias("falls"),
+            ),
+            "mcd",
+        )
+    least = found.groupBy("_group").agg(F.min_by(F.struct("centre", "inverse"), F.struct("log_det", "_start")).alias("_e"))
+    return written(least.select("_group", "_e.centre", "_e.inverse"), "mcd")
 
 
 def grouped(judged: DataFrame) -> DataFrame:
