@@ -1,7 +1,7 @@
 """Quality rules: fixed base rules, then robust multivariate outliers per language and source.
 
 Each text gives a vector of transformed shares. For each (lang, source) the minimum covariance
-determinant is approached by concentration steps (keep the COVERAGE share of distinct vectors nearest by
+determinant is approached by concentration steps (keep the COVERAGE share of different texts nearest by
 Mahalanobis distance, take their mean and covariance, repeat while the determinant falls) from several
 starts: coordinatewise medians and spreads, and the best of TRIES random subsets of a sample. The start
 with the least determinant gives the estimate. A document is rejected when its squared distance from it
@@ -37,7 +37,8 @@ SAMPLE = 1000  # rows of a group among which starts are sought
 TRIES = 200
 STARTS = 3  # of these that go over all rows, beside the one of medians
 FALL = 1e-4  # less is no fall of a log determinant
-MIN_GROUP = 100  # smaller groups share their language's estimate, then one for all
+MIN_GROUP = 100  # smaller groups share their language's estimate, then one for the rest, then that of all
+ALL = "all"
 CUT = 22.46  # 99.9 % quantile of chi2(6)
 ACCURACY = 2000
 KEYS = ["_group", "_start"]
@@ -256,19 +257,19 @@ def sampled_starts(rows: DataFrame) -> DataFrame:
 
     sizes = rows.groupBy("_group").agg(F.count("*").alias("n"))
     chosen = rows.join(broadcast_if_small(sizes), "_group").where(
-        F.pmod(F.xxhash64(*DIMENSIONS), F.col("n")) < SAMPLE
+        F.pmod(F.xxhash64("_copy"), F.col("n")) < SAMPLE
     )
     return chosen.select("_group", *DIMENSIONS).groupBy("_group").applyInPandas(search, ESTIMATE)
 
 
 def estimates(rows: DataFrame) -> DataFrame:
-    """(_group, centre, inverse) of the least determinant found over rows (_group, DIMENSIONS).
+    """(_group, centre, inverse) of the least determinant found over rows (_group, _copy, DIMENSIONS).
 
-    Every start takes concentration steps over all rows until its determinant stops falling. Equal rows
-    count once: copies of a text tell nothing about the spread, and a point that holds many rows would
-    make the determinant small wherever it lies.
+    Every start takes concentration steps over all rows until its determinant stops falling. Rows of one
+    `_copy` count once in a group: copies of a text tell nothing about the spread, and a point that holds
+    many rows would make the determinant small wherever it lies.
     """
-    rows = written(rows.select("_group", *DIMENSIONS).distinct(), "mcd-rows")
+    rows = written(rows.select("_group", "_copy", *DIMENSIONS).distinct(), "mcd-rows")
     starts = started(rows).unionByName(sampled_starts(rows))
     found = written(starts.select("*", F.lit(math.inf).alias("log_det"), F.lit(True).alias("falls")), "mcd")
     while not found.where("falls").isEmpty():
@@ -295,39 +296,56 @@ def estimates(rows: DataFrame) -> DataFrame:
     return written(least.select("_group", "_e.centre", "_e.inverse"), "mcd")
 
 
-def grouped(judged: DataFrame) -> DataFrame:
-    """Add _group: language and source; for few documents the language's rest; for few again the rest of all."""
+def grouped(rows: DataFrame) -> DataFrame:
+    """Add _group: language and source; for few texts the language's rest; for few again the rest of all.
+
+    Sizes are those of what an estimate is made from, the different texts that passed the base rules. Where the rest of all is too small as well, its documents are of the group of ALL.
+    """
 
     def named(*columns):
         return F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("")) for c in columns]))
 
-    narrow = judged.withColumn("_own", named("lang", "source"))
-    sizes = narrow.groupBy("lang", "_own").agg(F.count("*").alias("n"))
-    first = sizes.withColumn(
-        "_pool", F.when(F.col("n") >= MIN_GROUP, F.col("_own")).otherwise(named("lang"))
-    )
-    pools = first.groupBy("_pool").agg(F.sum("n").alias("all"))
-    named_pools = first.join(pools, "_pool").select(
-        "_own", F.when(F.col("all") >= MIN_GROUP, F.col("_pool")).otherwise("rest").alias("_group")
-    )
-    return narrow.join(broadcast_if_small(written(named_pools, "mcd-groups"), "_own"), "_own", "left").drop("_own")
+    narrow = rows.withColumn("_own", named("lang", "source")).withColumn("_lang", named("lang"))
+    sound = narrow.where("NOT base_failed")
+
+    def large(texts, by):
+        sizes = texts.select(by, "_copy").distinct().groupBy(by).agg(F.count("*").alias("n"))
+        return written(sizes.where(F.col("n") >= MIN_GROUP).select(by, F.lit(True).alias(f"{by}_large")), "mcd-groups")
+
+    def with_flag(df, sizes, by):
+        return df.join(broadcast_if_small(sizes, by), by, "left")
+
+    owns = large(sound, "_own")
+    pooled = with_flag(sound, owns, "_own").where("_own_large IS NULL")
+    langs = large(pooled, "_lang")
+    rest = with_flag(pooled, langs, "_lang").where("_lang_large IS NULL")
+    enough = rest.select("_copy").distinct().limit(MIN_GROUP).count() == MIN_GROUP
+    flagged = with_flag(with_flag(narrow, owns, "_own"), langs, "_lang")
+    return flagged.withColumn(
+        "_group",
+        F.when(F.col("_own_large"), F.col("_own")).when(F.col("_lang_large"), F.col("_lang"))
+        .otherwise(F.lit("rest" if enough else ALL)),
+    ).drop("_own", "_lang", "_own_large", "_lang_large")
 
 
 def judged(docs: DataFrame) -> DataFrame:
     """doc_id, base counts, base_failed, kept, distance of every document.
 
     Null texts have no words and fail the base rules; null languages and sources are groups of their
-    own; groups with fewer than MIN_GROUP documents pool (see `grouped`), and where even the pool of all
-    is smaller, only the base rules apply. Repeated rows are judged each; an empty table gives no rows;
-    columns other than doc_id, text, lang and source are not read.
+    own; groups with fewer than MIN_GROUP texts pool (see `grouped`), and what still falls short is
+    judged by all sound rows of the corpus; only where these are fewer, the base rules alone apply.
+    Repeated rows are judged each; an empty table gives no rows; columns other than doc_id, text, lang
+    and source are not read.
     """
-    base = docs.select("doc_id", "lang", "source", "text")
-    stats = written(measured(base, ["doc_id", "lang", "source"]), "quality-stats")
+    base = docs.select("doc_id", "lang", "source", "text", F.xxhash64("text").alias("_copy"))
+    stats = written(measured(base, ["doc_id", "lang", "source", "_copy"]), "quality-stats")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     rows = grouped(stats.withColumn("base_failed", failed))
-    sound = rows.where(~F.col("base_failed")).select("_group", *DIMENSIONS)
-    enough = sound.groupBy("_group").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_GROUP).select("_group")
-    members = sound.join(broadcast_if_small(enough, "_group"), "_group", "left_semi")
+    sound = rows.where(~F.col("base_failed")).select("_group", "_copy", *DIMENSIONS)
+    members = sound.where(F.col("_group") != ALL)
+    short = not sound.where(F.col("_group") == ALL).isEmpty()
+    if short and sound.select("_copy").distinct().limit(MIN_GROUP).count() == MIN_GROUP:
+        members = members.unionByName(sound.withColumn("_group", F.lit(ALL)))
     found = broadcast_if_small(estimates(members))
     scored = rows.join(found, "_group", "left").withColumn("distance", distance())
     return scored.select(
