@@ -3,7 +3,8 @@
 The cost of a value is the least total, over all ways to cut it into spans, of the log10 guesses that
 each span takes: dictionary words by rank, dates, repeats, keyboard walks and runs, else brute force by
 character class. A value that stands in a credential context and costs GUESSES or more is a span of kind
-`guess`; so keys in free formats are found while placeholders are left alone.
+`guess`; so keys in free formats are found while placeholders are left alone. Where a blank alone parts
+name and value, what has the shape of a word is prose unless it costs PROSE, and PER_LETTER for each letter.
 """
 
 import functools
@@ -22,6 +23,8 @@ from quality_probe.llm import words as W
 KINDS = ["assign", "access", "hex", "guess"]
 LEAST = {"assign": 6, "access": 20, "hex": 24}
 GUESSES = 10.0
+PROSE = 20.0
+PER_LETTER = 1.25  # random letters cost 1.41, long words and compounds less
 MASK = "[SECRET]"
 
 # The base patterns.
@@ -168,6 +171,15 @@ def base_spans(text: str, raw: bytes) -> list:
     return out
 
 
+def is_secret(value: str, bare: bool, words: dict) -> bool:
+    """Whether the cost of `value` makes it a span; `bare`: a blank alone stands before it."""
+    cost = guess_cost(value, words)
+    if bare and value.isalpha() and value in (value.lower(), value.upper(), value.capitalize()):
+        # words of other alphabets cannot be told from credentials by cost
+        return value.isascii() and cost >= max(PROSE, PER_LETTER * len(value))
+    return cost >= GUESSES
+
+
 def guess_spans(text: str, words: dict) -> list:
     low = text.lower()
     if not any(word in low for word in CONTEXT_WORDS):
@@ -175,7 +187,8 @@ def guess_spans(text: str, words: dict) -> list:
     out = []
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?")
-        if len(value) >= 4 and guess_cost(value, words) >= GUESSES and not value.isalpha():
+        bare = not {":", "="} & set(text[m.start() : m.start(1)])
+        if len(value) >= 4 and is_secret(value, bare, words):
             out.append((m.start(1), m.start(1) + len(value), 3))
     return out
 
