@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 
 from quality_probe.llm import (
+    bpe,
     lm_score,
     mixing,
     ngram_join,
@@ -17,6 +18,7 @@ from quality_probe.llm import (
 
 SHARDS = 24
 TOKENIZER = "word_bpe_49k.json"
+BYTE_TOKENIZER = "byte_bpe_50k.json"
 
 
 def tokenizer_path(name: str = TOKENIZER) -> str:
@@ -73,6 +75,10 @@ def op10_url_rules(spark: SparkSession, folder: str) -> DataFrame:
     return url_rules.judge(table(spark, folder, "pages"))
 
 
+def op11_bpe_pair_index(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.digests(documents(spark, folder), tokenizer_path(BYTE_TOKENIZER))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +92,7 @@ QUERIES = {
         op8_mcd_quality,
         op9_feistel_shards,
         op10_url_rules,
+        op11_bpe_pair_index,
     )
 }
 
