@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from quality_probe.llm import words as W
 
-BLOCK = 8 << 20  # bytes of text
-JOINED = 1 << 20  # bytes of distinct chunks that are cut in one call
+BLOCK = 4 << 20  # bytes of text
+JOINED = 1 << 16  # bytes of distinct chunks that are cut in one call
 IDS = np.dtype("<u4")
 
 # Fixed values of byte-level files: bytes that stand for themselves, as first and last one of each range.
@@ -280,13 +280,14 @@ def fields_of(docs: DataFrame, keep: list) -> list:
     return [f"`{name}` {docs.schema[name].dataType.simpleString()}" for name in keep]
 
 
-def encoded(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text") -> DataFrame:
+def encoded(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text", back: str = None) -> DataFrame:
     """The columns `keep`, n_tokens, and ids: token ids as little-endian unsigned 32-bit integers.
 
     The ids are those of the tokenizers library for the file at `path` without added special tokens; a special
-    token's string in a text is that token. Null texts are empty and have no ids. Repeated rows and equal keys
-    are encoded row by row, an empty table gives no rows, other columns are not read. A text of any length is
-    one block at most; no row is moved.
+    token's string in a text is that token. `back` names a column for the text decoded from these ids, block by
+    block in the same worker. Null texts are empty and have no ids. Repeated rows and equal keys are encoded row
+    by row, an empty table gives no rows, other columns are not read. A text of any length is one block at most;
+    no row is moved.
     """
     keep = list(keep)
 
@@ -299,10 +300,12 @@ def encoded(docs: DataFrame, path: str, keep=("doc_id",), text: str = "text") ->
                     "n_tokens": pa.array(np.diff(borders)),
                     "ids": binaries(ids.astype(IDS).view(np.uint8), borders * IDS.itemsize).cast(pa.binary()),
                 }
+                if back:
+                    made[back] = strings(*tokenizer.decode(ids, borders))
                 yield with_columns(batch, keep, row, len(part), made)
 
-    shape = ", ".join([*fields_of(docs, keep), "n_tokens bigint, ids binary"])
-    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(encode, shape)
+    shape = [*fields_of(docs, keep), "n_tokens bigint", "ids binary", *([f"`{back}` string"] if back else [])]
+    return docs.select(*keep, F.col(text).alias("_text")).mapInArrow(encode, ", ".join(shape))
 
 
 def decoded(rows: DataFrame, path: str, keep=("doc_id", "n_tokens", "ids"), ids: str = "ids") -> DataFrame:
@@ -337,8 +340,7 @@ def strings(data: np.ndarray, borders: np.ndarray) -> pa.Array:
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256: the documents encoded, and decoded from their ids."""
-    back = decoded(encoded(docs, path), path)
-    return back.select(
+    return encoded(docs, path, back="text").select(
         "doc_id",
         "n_tokens",
         F.sha2("ids", 256).alias("ids_sha256"),

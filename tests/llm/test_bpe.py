@@ -49,6 +49,13 @@ def test_decodes_bytes_that_are_no_text(spark):
     assert [r["text"] for r in bpe.decoded(rows, PATH, keep=()).collect()] == ["�", "a��b", "", ""]
 
 
+def test_decodes_stored_ids(docs):
+    stored = bpe.encoded(docs.repartition(3), PATH)
+    expected = sorted((r["doc_id"], r["text"] or "") for r in docs.fillna(-1, "doc_id").collect())
+    found = bpe.decoded(stored.fillna(-1, "doc_id"), PATH)
+    assert sorted((r["doc_id"], r["text"]) for r in found.collect()) == expected
+
+
 def test_empty_table(docs):
     assert bpe.digests(docs.limit(0), PATH).collect() == []
 
