@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quality_probe.llm import (
     bpe,
+    conversation_trie,
     lm_score,
     mixing,
     ngram_join,
@@ -12,6 +13,7 @@ from quality_probe.llm import (
     quality,
     secrets,
     sharding,
+    spelling,
     suffix_dedup,
     url_rules,
 )
@@ -79,6 +81,14 @@ def op11_bpe_pair_index(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.digests(documents(spark, folder), tokenizer_path(BYTE_TOKENIZER))
 
 
+def op12_kd_spelling(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.grouped(documents(spark, folder))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation_trie.trie(table(spark, folder, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,7 +103,13 @@ QUERIES = {
         op9_feistel_shards,
         op10_url_rules,
         op11_bpe_pair_index,
+        op12_kd_spelling,
+        op13_prefix_trie,
     )
 }
 
-STATEMENTS = {"op10_url_rules": url_rules.judge_sql()}
+STATEMENTS = {
+    "op10_url_rules": url_rules.judge_sql(),
+    "op12_kd_spelling": spelling.grouped_sql(),
+    "op13_prefix_trie": conversation_trie.trie_sql(),
+}

@@ -20,6 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quality_probe.llm.crc_sql import CRC_TABLE, crc32
 from quality_probe.scratch import written
 
 # Fixed values of the contract.
@@ -333,3 +334,49 @@ def grouped(docs: DataFrame) -> DataFrame:
     return words.join(roots, "word", "left").select(
         "word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n"
     )
+
+
+def grouped_sql() -> str:
+    """The rows of `grouped` in DuckDB SQL: near words share a text with one letter masked, or left out."""
+    letters = f"A-Za-z{chr(BEYOND[0])}-{chr(BEYOND[1])}"
+    return f"""
+WITH RECURSIVE {CRC_TABLE},
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '[{letters}]{{{LEAST_LETTERS},}}')) AS raw FROM documents),
+pairs AS (SELECT doc_id, translate(raw, '{CAPITALS}', '{SMALL}') AS run, count(*) AS n FROM runs GROUP BY ALL),
+drawn AS (SELECT run, n, {crc32("doc_id::VARCHAR || ':' || run")} AS h FROM pairs, crc_table),
+changed AS (
+    SELECT n, CASE WHEN h % {DELETE_EVERY} = 0
+        THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word
+    FROM drawn
+),
+vocabulary AS (
+    SELECT word, sum(n)::BIGINT AS n FROM changed WHERE length(word) >= {LEAST_LETTERS}
+    GROUP BY word HAVING sum(n) >= {LEAST_COUNT}
+),
+places AS (SELECT word, n, unnest(range(length(word))) AS i FROM vocabulary),
+masked AS (SELECT word, n, left(word, i) || '_' || substr(word, i + 2) AS mask FROM places),
+shorter AS (SELECT DISTINCT word, n, left(word, i) || substr(word, i + 2) AS less FROM places),
+pairs_near AS (
+    SELECT a.word, b.word AS other, b.n AS other_n FROM masked a JOIN masked b USING (mask) WHERE a.word <> b.word
+    UNION ALL SELECT s.word, v.word, v.n FROM shorter s JOIN vocabulary v ON v.word = s.less
+    UNION ALL SELECT v.word, s.word, s.n FROM shorter s JOIN vocabulary v ON v.word = s.less
+),
+placed AS (
+    SELECT *, row_number() OVER (PARTITION BY word ORDER BY other_n DESC, other) AS place,
+        count(*) OVER (PARTITION BY word) AS n_near
+    FROM pairs_near
+),
+judged AS (
+    SELECT v.word, v.n, coalesce(p.n_near, 0) AS n_near,
+        CASE WHEN p.other_n >= {FORM_TIMES} * v.n THEN p.other END AS form,
+        CASE WHEN p.other_n >= {FORM_TIMES} * v.n THEN p.other_n END AS form_n
+    FROM vocabulary v LEFT JOIN placed p ON p.word = v.word AND p.place = 1
+),
+followed AS (
+    SELECT word, word AS root, 0 AS step FROM judged
+    UNION ALL SELECT f.word, j.form, f.step + 1 FROM followed f JOIN judged j ON j.word = f.root
+    WHERE j.form IS NOT NULL
+),
+roots AS (SELECT word, arg_max(root, step) AS root FROM followed GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN roots USING (word)
+"""
