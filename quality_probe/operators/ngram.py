@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quality_probe.functions import text as T
-from quality_probe.functions.heads import MICRO
-from quality_probe.operators.sizes import BROADCAST_BYTES, BROADCAST_ROWS
+from quality_probe.functions.heads import MICRO, exact_ratio
+from quality_probe.operators import bloom
+from quality_probe.operators.sizes import BROADCAST_BYTES, BROADCAST_ROWS, is_small
 from quality_probe.scratch import written
 
 # Label cells: count columns of a gram in documents of (quality, toxic).
@@ -51,7 +52,7 @@ NO_CHUNK = -1  # segment of a pair of words over the border of two chunks
 # At most so many frequent grams, none longer than so many bytes, are sent out of a larger vocabulary.
 HOT_GRAMS = 2_000_000
 HOT_BYTES = 128
-SALTS = 32  # shares of a gram that is hot in the corpus
+HOTTEST = 100_000  # at most so many grams that are hot in what is left
 
 
 def tokens(text: Column) -> Column:
@@ -104,9 +105,15 @@ class NgramModel:
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id") -> NgramModel:
     """Count the grams of the labelled documents in the four label cells.
 
-    Counts are combined inside each task before the shuffle, so a frequent gram costs one row a task.
+    Counts are combined inside each task before the shuffle, so a frequent gram costs one row a task. Labels within
+    the bounds are sent out; of more, a Bloom filter of their keys is, so that hardly any other text moves.
     """
-    labelled = docs.select(key, "text").join(labels.select(key, "quality", "toxic"), key)
+    marks, texts = labels.select(key, "quality", "toxic"), docs.select(key, "text")
+    if is_small(marks):
+        labelled = texts.join(F.broadcast(marks), key)
+    else:
+        keys = bloom.filter_of(marks, key, marks.count())
+        labelled = bloom.marked(texts, key, keys, "_maybe").filter("_maybe").drop("_maybe").join(marks, key)
     exploded = labelled.select("quality", "toxic", tokens("text").alias("words")).select(
         "quality", "toxic", F.expr(f"explode({grams('words')})").alias("gram")
     )
@@ -152,32 +159,65 @@ def frequent_from(cells: DataFrame, limit: int) -> int:
     return 1 << power
 
 
-def with_weights(rows: DataFrame, model: NgramModel, names: list, key: str, broadcastable: bool) -> DataFrame:
-    """Look up the weights of each occurrence.
+def looked_up(docs: DataFrame, model: NgramModel, names: list, key: str) -> DataFrame:
+    """Sums and gram counts of each segment, by a vocabulary within the bounds that is sent to every task."""
+    rows = occurrences(docs, key).join(F.broadcast(model.lifts(names)), "gram", "left")
+    return rows.groupBy(key, "segment").agg(*gram_counts(), *[F.sum(n).alias(n) for n in names])
 
-    A vocabulary within the bounds is sent to every task, and no gram is shuffled. A larger one is
-    split: its frequent grams, which make up most occurrences, are sent out; the others meet their
-    occurrences in a salted join.
+
+def gram_counts() -> list:
+    return [F.expr(f"{sql} AS {name}") for name, sql in (
+        (ALL, "count(gram)"), (BIGRAMS, "count_if(is_pair = 1)"), (UNIGRAMS, "count_if(is_pair = 0)")
+    )]
+
+
+def split_looked_up(docs: DataFrame, model: NgramModel, names: list, key: str) -> DataFrame:
+    """The same sums by a vocabulary of any size; texts are read once.
+
+    Where an occurrence is made, its gram is looked up among the frequent ones, which are sent out, and unknown
+    grams fall to a Bloom filter: they count, but add nothing to a sum. Only what is left open is written, and
+    looked up by a join. Of that, grams that are hot by their count in it are few, so they are sent out too.
     """
-    weights = model.lifts(names)
-    if broadcastable:
-        return rows.join(F.broadcast(weights), "gram", "left")
     frequent = f"{' + '.join(CELLS)} >= {frequent_from(model.cells, HOT_GRAMS)} AND octet_length(gram) <= {HOT_BYTES}"
-    hot = written(NgramModel(model.cells.filter(frequent), model.totals).lifts(names), "hot-grams")
-    marked = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "gram", "left")
-    salt = F.pmod(F.xxhash64(key), F.lit(SALTS))
-    cold = NgramModel(model.cells.filter(f"NOT ({frequent})"), model.totals).lifts(names).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint")))
+    known = written(NgramModel(model.cells.filter(frequent), model.totals).lifts(names), "frequent-grams")
+    others = NgramModel(model.cells.filter(f"NOT ({frequent})"), model.totals)
+    found = occurrences(docs, key).join(F.broadcast(known.withColumn("_known", F.lit(True))), "gram", "left")
+    vocabulary = bloom.filter_of(others.cells, "gram", model.totals[ALL]["vocabulary"])
+    maybe = bloom.marked(found, "gram", vocabulary, "_maybe")
+    left_open = F.when(F.col("_known").isNull() & F.col("_maybe"), F.col("gram"))
+    settled = written(
+        maybe.groupBy(key, "segment").agg(
+            *gram_counts(), *[F.sum(n).alias(n) for n in names], F.collect_list(left_open).alias("_open")
+        ),
+        "settled-segments",
+    )
+    rows = settled.select(key, "segment", F.explode("_open").alias("gram"))
+    total = settled.agg(F.sum(F.size("_open"))).first()[0] or 0
+    often = rows.groupBy("gram").count().filter(F.col("count") > total // HOTTEST)  # fewer than HOTTEST
+    lifts = others.lifts(names)
+    hot = written(lifts.join(F.broadcast(often.select("gram")), "gram", "left_semi"), "hot-grams")
+    sent = rows.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), "gram", "left")
+    joined = sent.filter("_hot IS NULL").select(key, "segment", "gram").join(lifts, "gram")
+    summed = [F.sum(n).alias(n) for n in names]
+    late = sent.filter("_hot").select(key, "segment", *names).unionByName(joined.select(key, "segment", *names))
+    late = late.groupBy(key, "segment").agg(*summed)
+    counts = [ALL, BIGRAMS, UNIGRAMS]
+    return settled.drop("_open").unionByName(late, allowMissingColumns=True).groupBy(key, "segment").agg(
+        *[F.sum(c).alias(c) for c in counts], *summed
     )
-    rest = marked.filter(F.col("_hot").isNull()).select(*rows.columns, salt.alias("_salt"))
-    looked_up = rest.join(cold, ["gram", "_salt"], "left").select(*rows.columns, *names)
-    return marked.filter("_hot").select(*rows.columns, *names).unionByName(looked_up)
+
+
+def ratio_columns(signals) -> list:
+    """The exact ratio behind each signal: its parts, and its sortable key."""
+    return [f"{s}_{part}" for s in signals for part in ("total", "grams", "high", "low")]
 
 
 def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), carry=("id",),
-                  max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+                  max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES, exact: bool = False) -> DataFrame:
     """Mean log-odds per gram of each document, one BIGINT column per signal; null without grams.
 
+    With `exact`, the columns of `ratio_columns` too.
+
     Texts are read once for all signals; occurrences are summed in the task that made them, under
     one narrow key (`doc_pos`, else the first of `carry`). The other columns to carry are joined to
     the sums, one row per document.
@@ -185,29 +225,36 @@ def score_signals(docs: DataFrame, model: NgramModel, signals=tuple(SIGNALS), ca
     key = "doc_pos" if "doc_pos" in docs.columns else carry[0]
     size = model.totals[ALL]
     broadcastable = size["vocabulary"] <= max_rows and size["bytes"] <= max_bytes
-    found = summed_signals(docs, model, signals, key, broadcastable)
+    made = [*signals, *(ratio_columns(signals) if exact else [])]
+    found = summed_signals(docs, model, signals, key, broadcastable).select(key, *made)
     if list(carry) == [key]:
         return found
-    return docs.select(*dict.fromkeys([key, *carry])).join(found, key).select(*carry, *signals)
+    return docs.select(*dict.fromkeys([key, *carry])).join(found, key).select(*carry, *made)
 
 
 def summed_signals(docs: DataFrame, model: NgramModel, signals, key: str, broadcastable: bool) -> DataFrame:
     names = list(dict.fromkeys(SIGNALS[s][1] for s in signals))
-    rows = with_weights(occurrences(docs, key), model, names, key, broadcastable)
-    counts = [f"count(gram) AS {ALL}", f"count_if(is_pair = 1) AS {BIGRAMS}", f"count_if(is_pair = 0) AS {UNIGRAMS}"]
-    by_segment = rows.groupBy(key, "segment").agg(*[F.expr(c) for c in counts], *[F.sum(n).alias(n) for n in names])
+    by_segment = (looked_up if broadcastable else split_looked_up)(docs, model, names, key)
     unseen = [f"{model.unseen(n)} AS unseen_{n}" for n in names]
-    sums = []
+    sums, parts = [], []
     for signal in signals:
         view, weight = SIGNALS[signal]
         used = WEIGHTS[weight][0]
         if view == FULL:
             total, count = f"coalesce(sum({weight}), 0)", f"sum(`{used}`)"
-            mean = f"CASE WHEN {count} > 0 THEN ({total} + {count} * max(unseen_{weight})) div {count} END"
+            sums.append(F.expr(f"{total} + {count} * max(unseen_{weight}) AS {signal}_total"))
+            sums.append(F.expr(f"{count} AS {signal}_grams"))
+            parts += [f"{signal}_total", f"{signal}_grams"]
         else:  # the best chunk
-            mean = (
-                f"max(CASE WHEN segment <> {NO_CHUNK} AND `{used}` > 0 "
-                f"THEN (coalesce({weight}, 0) + `{used}` * unseen_{weight}) div `{used}` END)"
-            )
-        sums.append(F.expr(f"{mean} AS {signal}"))
-    return by_segment.selectExpr("*", *unseen).groupBy(key).agg(*sums)
+            total = f"(coalesce({weight}, 0) + `{used}` * unseen_{weight})"
+            high, low = exact_ratio(total, f"`{used}`")
+            best = f"named_struct('high', {high}, 'low', {low}, 'total', {total}, 'grams', `{used}`)"
+            sums.append(F.expr(f"max(CASE WHEN segment <> {NO_CHUNK} AND `{used}` > 0 THEN {best} END) AS {signal}_best"))
+            parts += [f"{signal}_best.total AS {signal}_total", f"{signal}_best.grams AS {signal}_grams"]
+    summed = by_segment.selectExpr("*", *unseen).groupBy(key).agg(*sums).selectExpr(key, *parts)
+    made = []
+    for signal in signals:
+        high, low = exact_ratio(f"{signal}_total", f"{signal}_grams")
+        made += [f"{signal}_total div nullif({signal}_grams, 0) AS {signal}", f"{signal}_total", f"{signal}_grams",
+                 f"{high} AS {signal}_high", f"{low} AS {signal}_low"]
+    return summed.selectExpr(key, *made)

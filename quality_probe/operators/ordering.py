@@ -49,8 +49,9 @@ def without_slices(df: DataFrame) -> DataFrame:
     return df.drop(SLICE)
 
 
-def min_ranks(numbered: DataFrame, by: list, value: str, number: str = "row_number", name: str = "rank") -> DataFrame:
-    """Add the rank that equal values share (the lowest row number among them).
+def min_ranks(numbered: DataFrame, by: list, value: str, number: str = "row_number", name: str = "rank",
+              worst: str = None) -> DataFrame:
+    """Add the rank that equal values share (the lowest row number among them); `worst` adds the group's largest one.
 
     `numbered` comes from number_rows(..., order=[desc(value), ...]). Inside a slice the rank is a
     window; a value that began in an earlier slice takes its start from the slices' edge rows.
@@ -64,6 +65,9 @@ def min_ranks(numbered: DataFrame, by: list, value: str, number: str = "row_numb
         F.min(f"_bottom.{number}").alias("_begun")
     )
     starts = edges.join(begun, [*by, "_top"], "left").select(*by, SLICE, "_top", "_begun", "_start")
+    if worst:  # that of the lowest value, known from the slices' edge rows
+        lowest = edges.groupBy(*by).agg(F.min("_bottom").alias("_lowest"))
+        starts = starts.join(lowest.select(*by, F.col(f"_lowest.{number}").alias(worst)), by)
     inside = F.rank().over(Window.partitionBy(*by, SLICE).orderBy(F.desc(value)))
     carried = (F.col(value) == F.col("_top")) & F.col("_begun").isNotNull()
     return (

@@ -2,7 +2,7 @@
 
 Two definitions live side by side. The report ranks 1..N with ties broken by id and gives
 (N - rank) / N * 100; the view lets ties share the best rank and gives
-(worst rank - rank + 1) / worst rank * 100.
+(worst rank - rank + 1) / worst rank * 100. Both order by the shown score and then by its exact rank key.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -12,6 +12,7 @@ from quality_probe.operators.ordering import SLICE, min_ranks, number_rows, with
 from quality_probe.schemas import DOCUMENT_KEYS
 
 BY = ["classifier"]
+RANK_KEYS = ["rank_high", "rank_low"]
 
 
 def scored(scores: DataFrame) -> DataFrame:
@@ -34,28 +35,32 @@ def percentile_of(rank: Column, total: Column) -> Column:
     return (total - rank) / total * 100
 
 
+def with_rank_keys(scores: DataFrame) -> DataFrame:
+    """Null rank keys where a scorer or a store has none; then the shown score alone ranks."""
+    lacking = [c for c in RANK_KEYS if c not in scores.columns]
+    return scores.withColumns({c: F.lit(None).cast("long") for c in lacking})
+
+
+def best_first() -> list:
+    """Order of a scorer's documents: what the shown score rounds to one value is told apart by the exact key."""
+    return [F.desc("score"), *[F.desc(c) for c in RANK_KEYS], F.col("id")]
+
+
 def ordinal_ranks(scores: DataFrame) -> DataFrame:
     """Report rank of every scored document, with `total` documents per scorer."""
-    kept = scored(scores).select(*BY, *DOCUMENT_KEYS, "score")
-    return number_rows(kept, BY, [F.desc("score"), "id"], "rank", "total")
+    kept = with_rank_keys(scored(scores)).select(*BY, *DOCUMENT_KEYS, "score", *RANK_KEYS)
+    return number_rows(kept, BY, best_first(), "rank", "total").drop(*RANK_KEYS)
 
 
 def shared_ranks(scores: DataFrame) -> DataFrame:
     """View rank and percentile of every document; an unscored one keeps its place without them."""
-    kept = scores.select(*BY, *DOCUMENT_KEYS, coerced("score").alias("score"))
-    numbered = number_rows(kept.dropna(subset=["score"]), BY, [F.desc("score"), "id"], "row_number")
-    ranked = min_ranks(numbered, BY, "score").drop("row_number", SLICE)
-    worst = numbered_worst(ranked)
-    ranked = ranked.join(F.broadcast(worst), BY).withColumn(
-        "percentile", (F.col("_worst") - F.col("rank") + 1) / F.col("_worst") * 100
-    ).drop("_worst")
-    missing = kept.filter(F.col("score").isNull())
-    return ranked.unionByName(missing, allowMissingColumns=True)
-
-
-def numbered_worst(ranked: DataFrame) -> DataFrame:
-    """The largest rank value of each scorer."""
-    return ranked.groupBy(*BY).agg(F.max("rank").alias("_worst"))
+    kept = with_rank_keys(scores).select(*BY, *DOCUMENT_KEYS, coerced("score").alias("score"), *RANK_KEYS)
+    numbered = number_rows(kept.dropna(subset=["score"]), BY, best_first(), "row_number")
+    value = F.struct("score", *[F.coalesce(c, F.lit(0)).alias(c) for c in RANK_KEYS])
+    ranked = min_ranks(numbered.withColumn("_value", value), BY, "_value", worst="_worst")
+    ranked = ranked.withColumn("percentile", (F.col("_worst") - F.col("rank") + 1) / F.col("_worst") * 100)
+    missing = kept.filter(F.col("score").isNull()).drop(*RANK_KEYS)
+    return ranked.drop("row_number", SLICE, "_value", "_worst", *RANK_KEYS).unionByName(missing, allowMissingColumns=True)
 
 
 def needle_ranks(scores: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quality_probe.operators.ordering import number_rows, order_statistics
-from quality_probe.operators.ranking import BY, needles, scored
+from quality_probe.operators.ranking import BY, RANK_KEYS, best_first, needles, scored, with_rank_keys
 from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.sources.benchmarks import BENCHMARKS
 from quality_probe.sources.web import WEB
@@ -161,8 +161,9 @@ def preset_position(column, preset: list) -> Column:
 
 def top_documents(scores: DataFrame, top_n: int) -> DataFrame:
     """The `top_n` best documents of each scorer; every task keeps at most `top_n` per scorer."""
-    order = Window.partitionBy(*BY).orderBy(F.desc("score"), "id")
-    best = scored(scores).select(*BY, *DOCUMENT_KEYS, "score").withColumn("top_rank", F.row_number().over(order))
+    order = Window.partitionBy(*BY).orderBy(*best_first())
+    kept = with_rank_keys(scored(scores)).select(*BY, *DOCUMENT_KEYS, "score", *RANK_KEYS)
+    best = kept.withColumn("top_rank", F.row_number().over(order)).drop(*RANK_KEYS)
     return best.filter(F.col("top_rank") <= top_n)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quality_probe.functions import heads
 from quality_probe.operators.ngram import NgramModel, score_signals
-from quality_probe.schemas import DOCUMENT_KEYS, SCORE, SCORE_FIELDS, names
+from quality_probe.schemas import DOCUMENT_KEYS, SCORE_FIELDS
 
 
 @dataclass(frozen=True)
@@ -72,7 +72,7 @@ def enabled(config: list) -> list:
 def score_native(docs: DataFrame, model: NgramModel, scorers: list, carry=tuple(DOCUMENT_KEYS)) -> DataFrame:
     """Long form: one row per document and scorer, from one pass over the texts."""
     signals = list(dict.fromkeys(s for scorer in scorers for s in scorer.signals))
-    summed = score_signals(docs, model, signals, carry)
+    summed = score_signals(docs, model, signals, carry, exact=True)
     return summed.selectExpr(*carry, f"inline(array({', '.join(s.fields() for s in scorers)}))")
 
 
@@ -120,7 +120,3 @@ def score_corpus(docs: DataFrame, model: NgramModel, scorers=None, carry=tuple(D
     parts = [score_native(docs, model, native, carry)] if native else []
     parts += [score_external(docs, s, carry) for s in listed if isinstance(s, ExternalScorer)]
     return reduce(DataFrame.unionByName, parts)
-
-
-def score_columns(df: DataFrame) -> DataFrame:
-    return df.select(names(SCORE))

@@ -193,6 +193,16 @@ def mean(weight: str, used: str) -> str:
     return f"CASE WHEN count(g.gram) FILTER ({used}) > 0 THEN {total} // (count(g.gram) FILTER ({used})) END"
 
 
+UNIT = 2**62  # of exact ratios
+
+
+def exact(weight: str, used: str, sign: str = "") -> str:
+    """Mean weight of the grams in use, in whole 2^-62ths, rounded down."""
+    total = f"({sign}(sum(coalesce(w.{weight}, u.{weight})) FILTER ({used})))::HUGEINT * {UNIT}::HUGEINT"
+    n = f"(count(g.gram) FILTER ({used}))::HUGEINT"
+    return f"CASE WHEN {n} > 0 THEN ({total} - (({total} % {n}) + {n}) % {n}) // {n} END"
+
+
 ANY, WORD, PAIR = "g.gram IS NOT NULL", "NOT contains(g.gram, ' ')", "contains(g.gram, ' ')"
 
 MEANS = f"""corpus_words AS MATERIALIZED (SELECT id, {words('lower(text)')} AS w FROM corpus),
@@ -203,19 +213,23 @@ view_words AS (
   UNION ALL SELECT id, 'chunk', chunk_no, w[chunk_no * 2046 + 1:(chunk_no + 1) * 2046] FROM chunk_numbers),
 view_grams AS (SELECT id, view, chunk_no, unnest({grams('w')}) AS gram FROM view_words),
 view_means AS MATERIALIZED (
-  SELECT id, view, chunk_no, {', '.join(f"{mean(n, {'word': WORD, 'pair': PAIR}.get(n.split('_')[0], ANY))} AS {n}" for n in WEIGHTS)}
+  SELECT id, view, chunk_no, {', '.join(f"{mean(n, {'word': WORD, 'pair': PAIR}.get(n.split('_')[0], ANY))} AS {n}" for n in WEIGHTS)},
+         {', '.join(f"{exact(n, {'word': WORD, 'pair': PAIR}.get(n.split('_')[0], ANY))} AS {n}_x" for n in WEIGHTS)},
+         {exact('quality', ANY, 'abs')} AS quality_abs
   FROM view_grams g LEFT JOIN weights w USING (gram), unseen u
   GROUP BY id, view, chunk_no),
 signals AS MATERIALIZED (
   SELECT c.doc_pos, {', '.join('c.' + m for m in META.split(', '))},
-         f.quality AS full_quality, h.quality AS head_quality, h.toxic AS head_toxic, h.good AS head_good,
+         f.quality AS full_quality, f.quality_x, f.quality_abs, h.quality_x AS head_x,
+         k.word_quality_x, k.pair_quality_x, k.word_toxic_x, h.quality AS head_quality, h.toxic AS head_toxic, h.good AS head_good,
          h.poor AS head_poor, h.mixed AS head_mixed, k.word_quality AS chunk_word_quality,
          k.pair_quality AS chunk_pair_quality, k.word_toxic AS chunk_word_toxic
   FROM corpus c
   LEFT JOIN (FROM view_means WHERE view = 'full') f USING (id)
   LEFT JOIN (FROM view_means WHERE view = 'head') h USING (id)
   LEFT JOIN (SELECT id, max(word_quality) AS word_quality, max(pair_quality) AS pair_quality,
-                    max(word_toxic) AS word_toxic
+                    max(word_toxic) AS word_toxic, max(word_quality_x) AS word_quality_x,
+                    max(pair_quality_x) AS pair_quality_x, max(word_toxic_x) AS word_toxic_x
              FROM view_means WHERE view = 'chunk' GROUP BY id) k USING (id))"""
 
 
@@ -237,7 +251,8 @@ def nearest(value: str) -> str:
 
 TOP = "greatest(head_good, head_poor, head_mixed)"
 E = {c: f"exp((head_{c} - {TOP})::DOUBLE / 1000000.0::DOUBLE)" for c in ("good", "poor", "mixed")}
-THREE = f"round(({E['good']} + 0.5::DOUBLE * {E['mixed']}) / ({E['good']} + {E['poor']} + {E['mixed']}), 6)"
+SHARE = f"(({E['good']} + 0.5::DOUBLE * {E['mixed']}) / ({E['good']} + {E['poor']} + {E['mixed']}))"
+THREE = f"round({SHARE}, 6)"
 P = probability("full_quality")
 
 # Scorer -> score, int_score, label, binary_pred, prob.
@@ -273,6 +288,22 @@ SCORERS = {
 }
 
 
+REACH = f"{2_500_000 * UNIT}::HUGEINT"
+
+# Scorer -> what ranks its documents: the unrounded ratio, but one value beyond the ends of a clamped range.
+RANK_KEYS = {
+    "binary_ngram": "quality_x",
+    "top_label": "quality_abs",
+    "edu_regression": f"greatest(-{REACH}, least({REACH}, quality_x))",
+    "three_class": f"floor({SHARE} * 1000000000000)",
+    "chunk_edu": "word_quality_x",
+    "chunk_edu_v2": "pair_quality_x",
+    "chunk_binary": "word_toxic_x",
+    "edu_binary": f"greatest(-{REACH}, least({REACH}, head_x))",
+    "dual_head": f"greatest(-{REACH}, least({REACH}, head_x))",
+}
+
+
 def scores(names=None) -> str:
     """Long form of the scorers' results over `corpus`."""
     kinds = ("DOUBLE", "INT", "VARCHAR", "INT", "DOUBLE")
@@ -280,7 +311,8 @@ def scores(names=None) -> str:
     parts = []
     for name in names or SCORERS:
         made = ", ".join(f"({v or 'NULL'})::{k} AS {c}" for v, k, c in zip(SCORERS[name], kinds, columns))
-        parts.append(f"SELECT doc_pos, {META}, '{name}' AS classifier, {made} FROM signals")
+        key = f"CASE WHEN score IS NOT NULL THEN ({RANK_KEYS[name]})::HUGEINT END AS rank_key"
+        parts.append(f"SELECT doc_pos, {META}, '{name}' AS classifier, {made}, {key} FROM signals")
     return "scores AS MATERIALIZED (\n  " + "\n  UNION ALL ".join(parts) + ")"
 
 
@@ -290,7 +322,7 @@ def scored(*more: str, select: str, names=None, corpus=APART) -> str:
 
 
 ORDINAL = """ordinal AS MATERIALIZED (
-  SELECT *, row_number() OVER (PARTITION BY classifier ORDER BY score DESC, id) AS rank,
+  SELECT *, row_number() OVER (PARTITION BY classifier ORDER BY rank_key DESC, id) AS rank,
          count(*) OVER (PARTITION BY classifier) AS total
   FROM scores WHERE score IS NOT NULL),
 report AS MATERIALIZED (
@@ -298,7 +330,7 @@ report AS MATERIALIZED (
 
 SHARED = """ranked AS (
   SELECT *, CASE WHEN score IS NOT NULL
-                 THEN rank() OVER (PARTITION BY classifier ORDER BY score DESC NULLS LAST) END AS rank
+                 THEN rank() OVER (PARTITION BY classifier ORDER BY rank_key DESC NULLS LAST) END AS rank
   FROM scores),
 shared AS MATERIALIZED (
   SELECT *, (worst - rank + 1) / worst * 100 AS percentile
@@ -356,7 +388,7 @@ def quantile(share: float) -> str:
 ACCEPTED = f"""accepted AS (
   SELECT doc_pos, {P} AS original_score,
          row_number() OVER (ORDER BY doc_pos) AS accepted
-  FROM signals WHERE {P} >= 0.7),
+  FROM signals WHERE quality_x::DOUBLE / {UNIT}::DOUBLE >= 1000000 * ln(0.7::DOUBLE / 0.3::DOUBLE)),
 quarter AS (SELECT count(*) // 4 AS n, count(*) AS documents FROM documents)"""
 
 

@@ -14,7 +14,7 @@ from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.scratch import written
 from quality_probe.sources.benchmarks import sampled_items
 from quality_probe.sources.stores import ScoreStore, TextStore, default_dataset, score_with_store
-from quality_probe.sources.web import first_documents, prefiltered, prefiltered_documents, web_documents
+from quality_probe.sources.web import QUALITY, first_documents, prefiltered, prefiltered_documents, web_documents
 
 DEFAULTS = {
     "experiment": {"seed": 42, "inject_inside": False},
@@ -45,9 +45,9 @@ class Corpus:
 
 
 def quality_scores(docs: DataFrame, model: NgramModel, carry: list) -> DataFrame:
-    """`carry` and the quality probability as `original_score`."""
-    return score_signals(docs, model, ["full_quality"], carry).select(
-        *carry, F.expr(heads.probability("full_quality")).alias("original_score")
+    """`carry`, the quality probability as `original_score`, and the exact key of the ratio behind it."""
+    return score_signals(docs, model, [QUALITY], carry, exact=True).select(
+        *carry, F.expr(heads.probability(QUALITY)).alias("original_score"), f"{QUALITY}_high", f"{QUALITY}_low"
     )
 
 
@@ -120,7 +120,7 @@ def run(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dict, store:
 def reanalyze(store: ScoreStore, dataset: str = None) -> tuple:
     """Needle ranks over everything stored for a dataset, and its name."""
     dataset = dataset or default_dataset(store)
-    scores = store.read(dataset).select(*DOCUMENT_KEYS, "classifier", "score")
+    scores = store.read(dataset).select(*DOCUMENT_KEYS, "classifier", "score", *ranking.RANK_KEYS)
     return ranking.needle_ranks(scores), dataset
 
 

@@ -38,11 +38,12 @@ POSITION = struct(doc_id=S, doc_index=L, benchmark_type=S, index=I, subject=S)
 # What a scorer keeps from the document it scored.
 DOCUMENT_KEYS = ["id", "source", "contains_benchmark", "benchmark_type", "benchmark_index"]
 
-SCORE_FIELDS = struct(score=D, int_score=I, label=S, binary_pred=I, prob=D)
+# The two rank fields tell apart what the shown score rounds to one value; both null for models without them.
+SCORE_FIELDS = struct(score=D, int_score=I, label=S, binary_pred=I, prob=D, rank_high=L, rank_low=L)
 
 SCORE = struct(
     id=S, source=S, contains_benchmark=B, benchmark_type=S, benchmark_index=I, classifier=S,
-    score=D, int_score=I, label=S, binary_pred=I, prob=D,
+    **{field.name: field.dataType for field in SCORE_FIELDS.fields},
 )
 
 STORE = StructType([StructField("doc_hash", S, True), *SCORE.fields, StructField("dataset", S, True)])

@@ -140,7 +140,7 @@ FAIL = {"mode": "FAILFAST"}
 
 SCORE_DDL = (
     "id: string, source: string, contains_benchmark: boolean, benchmark_type: string, benchmark_index: int, "
-    "score: double, int_score: int, label: string, binary_pred: int, prob: double"
+    "score: double, int_score: int, label: string, binary_pred: int, prob: double, rank_high: bigint, rank_low: bigint"
 )
 
 

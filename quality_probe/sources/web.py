@@ -3,10 +3,12 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quality_probe.functions import heads
 from quality_probe.operators.ordering import number_rows, without_slices
 from quality_probe.schemas import DOCUMENT, names
 
 WEB = "web"
+QUALITY = "full_quality"  # signal that lets documents in
 DEFAULT_SUBSET = "sample-10BT"
 
 
@@ -85,10 +87,11 @@ def web_documents(docs: DataFrame, num_docs: int = None, subset=None, key: str =
 def prefiltered(scores: DataFrame, min_score: float, num_docs: int = None, key: str = "doc_id") -> DataFrame:
     """Accepted documents: `key`, position among the accepted, source position and score.
 
-    `scores` holds `key`, `doc_pos` and `original_score`; only these narrow rows are numbered.
+    `scores` holds `key`, `doc_pos`, `original_score` and the exact key of QUALITY, which decides; only narrow rows
+    are numbered.
     """
     accepted = number_rows(
-        scores.filter(F.col("original_score") >= min_score).select(key, "doc_pos", "original_score"),
+        scores.filter(heads.reaches(QUALITY, min_score)).select(key, "doc_pos", "original_score"),
         [],
         ["doc_pos"],
         "accepted",

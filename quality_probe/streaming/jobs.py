@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from quality_probe.functions import heads
 from quality_probe.operators.ngram import NgramModel, score_signals
 from quality_probe.sources.stores import ScoreStore, score_unseen
-from quality_probe.sources.web import as_documents
+from quality_probe.sources.web import QUALITY, as_documents
 
 
 def document_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet", files: int = 100) -> DataFrame:
@@ -31,10 +31,10 @@ def run(stream: DataFrame, each, checkpoint: str) -> None:
 
 def accepted(docs: DataFrame, model: NgramModel, min_score: float, key: str = "doc_id") -> DataFrame:
     """Documents whose quality probability reaches `min_score`; each is judged by itself."""
-    scores = score_signals(docs, model, ["full_quality"], [key]).select(
-        key, F.expr(heads.probability("full_quality")).alias("original_score")
+    scores = score_signals(docs, model, [QUALITY], [key], exact=True).filter(heads.reaches(QUALITY, min_score)).select(
+        key, F.expr(heads.probability(QUALITY)).alias("original_score")
     )
-    return docs.join(scores.filter(F.col("original_score") >= min_score), key)
+    return docs.join(scores, key)
 
 
 def prefilter_stream(stream: DataFrame, model: NgramModel, sink: str, checkpoint: str, min_score: float,

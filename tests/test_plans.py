@@ -2,7 +2,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from quality_probe.oracle.sql import STATEMENTS
 from quality_probe.plans import experiment
+from quality_probe.plans.queries import REGISTRY
 from quality_probe.sources import items
 from quality_probe.sources.stores import ScoreStore, TextStore
 
@@ -11,7 +13,7 @@ COUNTS = {n: {"count": 2, "subjects": items.SUBJECTS[:3]} for n in ("gsm8k", "pi
 
 
 def test_every_query_has_a_statement():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(REGISTRY) == set(STATEMENTS)
 
 
 @pytest.mark.parametrize(

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from quality_probe.operators import ngram, scoring
+from quality_probe.functions import heads
+from quality_probe.operators import ngram, ranking, scoring
 from quality_probe.operators.ngram import SIGNALS, WEIGHTS, score_signals
 from quality_probe.sources.web import as_documents, web_documents
 
@@ -96,14 +97,71 @@ def test_each_signal_alone_gives_the_same(spark, raw, model, tricky):
         assert together.select("doc_id", signal).exceptAll(alone).isEmpty(), signal
 
 
-def test_large_vocabulary_takes_the_salted_join(raw, model, monkeypatch):
+@pytest.mark.parametrize("frequent, hottest", [(0, 1), (0, 10), (20, 5), (20, 10**9), (10**9, 10)])
+def test_large_vocabulary_gives_the_same(raw, model, monkeypatch, frequent, hottest):
     docs, rows = web_documents(raw)
-    small = score_signals(docs, model, carry=("id", "source"))
-    for limit in (0, 20, 10**9):
-        monkeypatch.setattr(ngram, "HOT_GRAMS", limit)
-        large = score_signals(docs, model, carry=("id", "source"), max_rows=50)
-        assert "_salt" in large._jdf.queryExecution().optimizedPlan().toString()
-        assert small.exceptAll(large).isEmpty() and large.count() == rows
+    small = score_signals(docs, model, carry=("id", "source"), exact=True)
+    monkeypatch.setattr(ngram, "HOT_GRAMS", frequent)
+    monkeypatch.setattr(ngram, "HOTTEST", hottest)
+    large = score_signals(docs, model, carry=("id", "source"), max_rows=50, exact=True)
+    assert small.exceptAll(large).isEmpty() and large.count() == rows
+
+
+def test_large_vocabulary_moves_no_unknown_gram(raw, model, monkeypatch):
+    tables = {}
+    true_written = ngram.written
+    monkeypatch.setattr(ngram, "written", lambda df, name: tables.setdefault(name, true_written(df, name)))
+    monkeypatch.setattr(ngram, "HOT_GRAMS", 20)
+    docs = raw.withColumn("text", F.concat(F.lit("unheard of grams beforehand "), "text"))
+    ngram.split_looked_up(docs, model, ["quality"], "doc_id")
+    left = tables["settled-segments"].select(F.explode("_open").alias("gram"))
+    unknown = left.join(model.cells, "gram", "left_anti").count()
+    assert left.count() > 100 and unknown < left.count() / 100
+
+
+def test_many_labels_give_the_same_model(raw, labels, model, monkeypatch):
+    monkeypatch.setattr(ngram, "is_small", lambda *a: False)
+    large = ngram.train(web_documents(raw)[0], labels)
+    assert large.totals == model.totals and large.cells.exceptAll(model.cells).isEmpty()
+
+
+def test_exact_ratios(spark):
+    pairs = [(7, 3), (-7, 3), (0, 5), (10**12 + 1, 2**31 - 1), (-(10**12) - 1, 2**31 - 2), (-1, 10**9), (5, 0)]
+    df = spark.createDataFrame(pairs, "t bigint, n bigint")
+    high, low = heads.exact_ratio("t", "n")
+    for (t, n), row in zip(pairs, df.selectExpr(f"{high} AS h", f"{low} AS l").collect(), strict=True):
+        assert (row.h, row.l) == ((None, None) if n == 0 else divmod(t * 2**62 // n, 2**62))
+
+
+def test_shares_are_reached_by_the_exact_ratio(spark):
+    """A logit just below that of 0.7 rounds to 0.7 and still lies below it."""
+    found = spark.sql("SELECT 847297L AS q_high, 0L AS q_low UNION ALL SELECT 847298L, 0L UNION ALL SELECT NULL, NULL")
+    shown = found.selectExpr(heads.probability("q_high") + " AS p", heads.reaches("q", 0.7) + " AS r").collect()
+    assert [(row.p, row.r) for row in shown] == [(0.7, False), (0.7, True), (None, None)]
+    assert found.filter(heads.reaches("q", 0)).count() == 2 and found.filter(heads.reaches("q", 1)).isEmpty()
+
+
+def test_scores_that_round_to_one_are_told_apart(spark, model):
+    """Two texts of unlike ratio but one shown score take unlike ranks; equal ratios share theirs."""
+    rows = [(i, f"w{i}", total, grams) for i, (total, grams) in enumerate([(1, 3), (1, 2), (2, 6), (-1, 3)])]
+    df = spark.createDataFrame(rows, "doc_pos bigint, id string, q_total bigint, q_grams bigint")
+    high, low = heads.exact_ratio("q_total", "q_grams")
+    keyed = df.selectExpr("*", "0L AS q", f"{high} AS q_high", f"{low} AS q_low")
+    made = []
+    for name, head in (("plain", heads.binary), ("label", heads.top_label), ("clamped", heads.edu_regression)):
+        record = ", ".join(f"cast({v} AS {'double' if k == 'score' else 'bigint'}) AS {k}"
+                           for k, v in head("q").items() if k in ("score", "rank_high", "rank_low"))
+        made.append(keyed.selectExpr(f"'{name}' AS classifier", "id", "'web' AS source", "true AS contains_benchmark",
+                                     "'t' AS benchmark_type", "1 AS benchmark_index", *record.split(", cast")[:1],
+                                     *["cast" + part for part in record.split(", cast")[1:]]))
+    scores = made[0].unionByName(made[1]).unionByName(made[2])
+    assert scores.select("classifier", "score").distinct().count() == 3
+    shared = {(r.classifier, r.id): r["rank"] for r in ranking.shared_ranks(scores).collect()}
+    assert [shared["plain", f"w{i}"] for i in range(4)] == [2, 1, 2, 4]
+    assert [shared["label", f"w{i}"] for i in range(4)] == [2, 1, 2, 2]
+    assert [shared["clamped", f"w{i}"] for i in range(4)] == [2, 1, 2, 4]
+    ordinal = {(r.classifier, r.id): r["rank"] for r in ranking.ordinal_ranks(scores).collect()}
+    assert [ordinal["plain", f"w{i}"] for i in range(4)] == [2, 1, 3, 4]
 
 
 def test_frequent_grams_stay_within_the_limit(model):
