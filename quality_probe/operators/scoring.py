@@ -76,32 +76,42 @@ def score_native(docs: DataFrame, model: NgramModel, scorers: list, carry=tuple(
     return summed.selectExpr(*carry, f"inline(array({', '.join(s.fields() for s in scorers)}))")
 
 
+def isolated(predict: Callable, model, texts: list) -> list:
+    """(score, error) of each text: a failing batch is halved until the failing texts stand alone."""
+    try:
+        scores = [float(s) for s in predict(model, texts)]
+        if len(scores) != len(texts):
+            raise ValueError(f"{len(scores)} scores for {len(texts)} texts")
+        return [(score, None) for score in scores]
+    except Exception as error:
+        if len(texts) == 1:
+            return [(None, f"{type(error).__name__}: {error}")]
+        half = len(texts) // 2
+        return isolated(predict, model, texts[:half]) + isolated(predict, model, texts[half:])
+
+
 def score_external(docs: DataFrame, scorer: ExternalScorer, carry=tuple(DOCUMENT_KEYS)) -> DataFrame:
-    """Score with a model inside the Python workers; a batch that fails is tried text by text, and only failing texts get null."""
+    """Score with a model inside the Python workers. Texts that fail get null and an `error`, all others their score.
+
+    One failing text among n costs about 2 log n calls more.
+    """
     carry = list(carry)
     kept = docs.select(*carry, "text")
     load, predict, size = scorer.load, scorer.predict, scorer.batch_size
 
-    def alone(model, text):
-        try:
-            return float(predict(model, [text])[0])
-        except Exception:
-            return None
-
     def scored(frames):
         model = load()
         for frame in frames:
-            scores = []
+            found = []
             for start in range(0, len(frame), size):
-                texts = frame["text"].iloc[start : start + size].tolist()
-                try:
-                    scores.extend([float(s) for s in predict(model, texts)])
-                except Exception:
-                    scores.extend(alone(model, text) for text in texts)
-            yield frame.drop(columns="text").assign(score=pd.array(scores, dtype="Float64"))
+                found.extend(isolated(predict, model, frame["text"].iloc[start : start + size].tolist()))
+            yield frame.drop(columns="text").assign(
+                score=pd.array([score for score, _ in found], dtype="Float64"),
+                error=pd.array([error for _, error in found], dtype="string"),
+            )
 
     fields = [f for f in kept.schema.fields if f.name != "text"]
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", score double, error string"
     rows = kept.mapInPandas(scored, schema).withColumn("classifier", F.lit(scorer.name))
     return rows.select(
         *carry,
@@ -110,6 +120,7 @@ def score_external(docs: DataFrame, scorer: ExternalScorer, carry=tuple(DOCUMENT
             F.col("score") if f.name == "score" else F.lit(None).cast(f.dataType).alias(f.name)
             for f in SCORE_FIELDS.fields
         ],
+        "error",
     )
 
 
@@ -118,5 +129,5 @@ def score_corpus(docs: DataFrame, model: NgramModel, scorers=None, carry=tuple(D
     listed = chosen(scorers)
     native = [s for s in listed if isinstance(s, Scorer)]
     parts = [score_native(docs, model, native, carry)] if native else []
-    parts += [score_external(docs, s, carry) for s in listed if isinstance(s, ExternalScorer)]
+    parts += [score_external(docs, s, carry).drop("error") for s in listed if isinstance(s, ExternalScorer)]
     return reduce(DataFrame.unionByName, parts)

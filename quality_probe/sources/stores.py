@@ -1,19 +1,28 @@
-"""The score store and the text store: keyed parquet tables that grow by unseen rows only."""
+"""The score store and the text store: keyed tables that grow by committed parts of unseen rows only."""
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quality_probe.functions.text import doc_hash
+from quality_probe.operators import bloom
 from quality_probe.operators.ngram import NgramModel
 from quality_probe.operators.reports import merged_texts, top_texts
-from quality_probe.operators.scoring import score_corpus
+from quality_probe.operators.scoring import Scorer, chosen, score_external, score_native
 from quality_probe.operators.sizes import is_small
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, STORE, TEXTS, names
 from quality_probe.scratch import written
+from quality_probe.sources.commits import CommittedTable, Conflict
 
 SKIPPED_DATASET = "old"
 
+PREFIX = "hash_prefix"
+PREFIX_DIGITS = 2  # of a document's hash: 256 folders a scorer once rows are merged
+UNSORTED = "any"  # folder of rows that are not merged yet
+FAN = 8  # parts of a level that are merged into one of the next
+ATTEMPTS = 5  # of a commit, if others commit in between
+
 
 def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
     try:
@@ -25,28 +34,82 @@ def read_or_empty(spark: SparkSession, path: str, schema) -> DataFrame:
 
 
 class ScoreStore:
-    """Scores by content hash, in folders per dataset and scorer."""
+    """Scores by content hash, in folders per dataset, scorer and hash prefix.
+
+    New rows come as small parts; FAN parts of a level are merged into one of the next level, so there are few parts
+    at any size and a row is rewritten a logarithmic number of times. Merged rows lie in folders by hash prefix, and
+    a lookup reads the prefixes of its documents only.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        schema = StructType([*STORE.fields, StructField(PREFIX, StringType())])
+        self.table = CommittedTable(spark, path, schema, ["dataset", "classifier", PREFIX])
 
-    def read(self, dataset: str = None, scorers: list = None) -> DataFrame:
-        """Stored records; both filters select folders."""
-        rows = read_or_empty(self.spark, self.path, STORE)
+    def read(self, dataset: str = None, scorers: list = None, prefixes: list = None, parts: list = None) -> DataFrame:
+        """Stored records; all filters select folders."""
+        rows = self.table.rows(parts)
         if dataset is not None:
             rows = rows.filter(F.col("dataset") == dataset)
-        return rows if scorers is None else rows.filter(F.col("classifier").isin(scorers))
+        if scorers is not None:
+            rows = rows.filter(F.col("classifier").isin(scorers))
+        if prefixes is not None:
+            rows = rows.filter(F.col(PREFIX).isin([*prefixes, UNSORTED]))
+        return rows.select(names(STORE))
 
-    def append(self, scores: DataFrame, dataset) -> None:
-        """Add records with `doc_hash`; `dataset` is a name or a Column."""
+    def append(self, scores: DataFrame, dataset, state: tuple = None) -> None:
+        """Commit records with `doc_hash`; `dataset` is a name or a Column.
+
+        With the `state` that the records were chosen by, another commit since then raises a Conflict.
+        """
         column = F.lit(dataset) if isinstance(dataset, str) else dataset
-        rows = scores.withColumn("dataset", column).select(names(STORE))
-        rows.write.mode("append").partitionBy("dataset", "classifier").parquet(self.path)
+        rows = scores.withColumn("dataset", column).select(names(STORE)).withColumn(PREFIX, F.lit(UNSORTED))
+        part = {"name": self.table.stage(rows), "level": 0}
+        if state is not None:
+            self.table.commit(state[0], [*state[1], part])
+        else:
+            self._committed(lambda parts: [*parts, part])
+        self.merge()
+
+    def _committed(self, change) -> None:
+        for _ in range(ATTEMPTS):
+            number, parts = self.table.state()
+            try:
+                return self.table.commit(number, change(parts))
+            except Conflict:
+                continue
+        raise Conflict(f"{self.path}: no commit in {ATTEMPTS} attempts")
+
+    def merge(self, fan: int = FAN) -> None:
+        """Merge the parts of each level that has `fan` of them."""
+        while True:
+            _, parts = self.table.state()
+            levels = {}
+            for part in parts:
+                levels.setdefault(part["level"], []).append(part)
+            full = [level for level, found in levels.items() if len(found) >= fan]
+            if not full:
+                return
+            merged = levels[min(full)]
+            rows = self.table.rows(merged).dropDuplicates(["dataset", "classifier", "doc_hash"])
+            prefix = F.left("doc_hash", F.lit(PREFIX_DIGITS))
+            new = {"name": self.table.stage(rows.withColumn(PREFIX, prefix)), "level": min(full) + 1}
+            gone = {part["name"] for part in merged}
+            try:
+                self._committed(lambda parts, gone=gone, new=new: replaced_parts(parts, gone, new))
+            except LookupError:  # another writer has merged them
+                return
 
     def datasets(self) -> DataFrame:
         return self.read().select("dataset").distinct()
 
 
+def replaced_parts(parts: list, gone: set, new: dict) -> list:
+    if not gone <= {part["name"] for part in parts}:
+        raise LookupError("parts to be merged are no longer in use")
+    return [*[part for part in parts if part["name"] not in gone], new]
+
+
 def default_dataset(store: ScoreStore):
     """First dataset by name, but never the folder of old results."""
     row = store.datasets().filter(F.col("dataset") != SKIPPED_DATASET).agg(F.min("dataset")).first()
@@ -67,14 +130,6 @@ def misses(docs: DataFrame, stored: DataFrame) -> DataFrame:
     return docs.join(stored.select("doc_hash"), "doc_hash", "left_anti")
 
 
-def unseen(docs: DataFrame, known: DataFrame) -> DataFrame:
-    """Documents whose hash is not `known`. While these are few, their hashes are sent out and no text moves."""
-    missing = written(misses(docs.select("doc_hash"), known), "missing")
-    if is_small(missing, "doc_hash"):
-        return docs.join(F.broadcast(missing), "doc_hash", "left_semi")
-    return misses(docs, known)
-
-
 def hit_counts(docs: DataFrame, stored: DataFrame) -> DataFrame:
     """Hits and misses of the documents against the store."""
     known = stored.select("doc_hash").distinct().withColumn("_known", F.lit(True))
@@ -83,21 +138,98 @@ def hit_counts(docs: DataFrame, stored: DataFrame) -> DataFrame:
     )
 
 
-def score_unseen(docs: DataFrame, store: ScoreStore, dataset: str, scorers: list, model: NgramModel) -> None:
-    """Score what the store lacks and append it; a repeated call adds nothing.
+def listed_keys(docs: DataFrame) -> DataFrame:
+    """doc_pos, doc_hash and metadata of each document, from one pass over the texts."""
+    return written(hashed(docs).select("doc_pos", "doc_hash", *DOCUMENT_KEYS), "document-keys")
+
 
-    Documents that lack any scorer are scored again, but only the missing records are added.
+def prefixes_of(keys: DataFrame) -> list:
+    """The hash prefixes of the documents, 256 at most."""
+    return [r[0] for r in keys.select(F.left("doc_hash", F.lit(PREFIX_DIGITS))).distinct().collect()]
+
+
+def lacking(keys: DataFrame, stored: DataFrame, scorers: list) -> DataFrame:
+    """doc_hash, doc_pos, missing: one document for each hash that lacks scorers, whose bits are set in `missing`.
+
+    Only the stored rows of these documents are grouped.
     """
-    stored = store.read(dataset, scorers)
-    complete = stored.groupBy("doc_hash").agg(F.count_distinct("classifier").alias("_n")).filter(
-        F.col("_n") == len(scorers)
+    wanted = keys.groupBy("doc_hash").agg(F.min("doc_pos").alias("doc_pos"))
+    hashes = wanted.select("doc_hash")
+    if is_small(hashes, "doc_hash"):
+        hashes = F.broadcast(hashes)
+    bit = F.element_at(F.create_map(*[F.lit(v) for i, s in enumerate(scorers) for v in (s, 1 << i)]), F.col("classifier"))
+    known = stored.join(hashes, "doc_hash", "left_semi").groupBy("doc_hash").agg(F.bit_or(bit).alias("known"))
+    everything = F.lit((1 << len(scorers)) - 1)
+    missing = everything.bitwiseAND(F.bitwise_not(F.coalesce("known", F.lit(0))))
+    return written(
+        wanted.join(known, "doc_hash", "left").select("doc_hash", "doc_pos", missing.alias("missing")).filter("missing > 0"),
+        "lacking",
     )
-    keyed = hashed(docs)
-    if not complete.isEmpty():
-        keyed = unseen(keyed, complete)
-    fresh = score_corpus(keyed, model, scorers, [*DOCUMENT_KEYS, "doc_hash"])
-    keys = ["doc_hash", "classifier"]
-    store.append(fresh.dropDuplicates(keys).join(stored.select(keys), keys, "left_anti"), dataset)
+
+
+def fresh_scores(docs: DataFrame, wanted: DataFrame, scorers: list, model: NgramModel) -> DataFrame:
+    """Records of the missing scorers alone, with `doc_hash`; failed texts give none.
+
+    The native scorers share one pass over the documents that lack any of them, an external one meets only those
+    that lack it. No text is moved: few documents are picked by a broadcast, many by a Bloom filter, and the narrow
+    results are then matched exactly.
+    """
+    listed = chosen(scorers)
+    bits = {scorer.name: 1 << i for i, scorer in enumerate(listed)}
+    native = [s for s in listed if isinstance(s, Scorer)]
+    groups = [native] if native else []
+    groups += [[s] for s in listed if not isinstance(s, Scorer)]
+    found = []
+    for group in groups:
+        mask = sum(bits[s.name] for s in group)
+        some = wanted.filter(F.col("missing").bitwiseAND(F.lit(mask)) > 0)
+        needed = {r["missing"] for r in some.select("missing").distinct().collect()}  # as many as sets of scorers
+        group = [s for s in group if any(bits[s.name] & m for m in needed)]
+        if not group:
+            continue
+        picked = matching(docs, some.select("doc_pos"))
+        carry = ["doc_pos", *DOCUMENT_KEYS]
+        if group[0] in native:
+            scores = score_native(picked, model, group, carry)
+        else:
+            scores = score_external(picked, group[0], carry).filter("error IS NULL").drop("error")
+        bit = F.element_at(F.create_map(*[F.lit(v) for s in group for v in (s.name, bits[s.name])]), F.col("classifier"))
+        missing = F.col("missing").bitwiseAND(bit) > 0
+        found.append(scores.join(some, "doc_pos").filter(missing).select("doc_hash", *names(SCORE)))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def matching(docs: DataFrame, positions: DataFrame) -> DataFrame:
+    """The documents at these positions, and perhaps a few more."""
+    if is_small(positions):
+        return docs.join(F.broadcast(positions), "doc_pos", "left_semi")
+    built = bloom.filter_of(positions, "doc_pos", positions.count())
+    return bloom.marked(docs, "doc_pos", built, "_maybe").filter("_maybe").drop("_maybe")
+
+
+def score_unseen(docs: DataFrame, store: ScoreStore, dataset: str, scorers: list, model: NgramModel,
+                 keys: DataFrame = None) -> None:
+    """Score what the store lacks and commit it; a repeated call adds nothing.
+
+    Only the missing scorers of a document run, and one of equal documents is scored. Texts on which an external
+    model failed are not stored, so the next call tries them again. If another writer commits meanwhile, what is
+    lacking is determined anew.
+    """
+    keys = listed_keys(docs) if keys is None else keys
+    prefixes = prefixes_of(keys)
+    for _ in range(ATTEMPTS):
+        state = store.table.state()
+        wanted = lacking(keys, store.read(dataset, scorers, prefixes, state[1]), scorers)
+        if wanted.isEmpty():
+            return
+        try:
+            return store.append(fresh_scores(docs, wanted, scorers, model), dataset, state)
+        except Conflict:
+            continue
+    raise Conflict(f"{store.path}: no commit in {ATTEMPTS} attempts")
 
 
 def score_with_store(docs: DataFrame, store: ScoreStore, dataset: str, scorers: list, model: NgramModel) -> DataFrame:
@@ -105,11 +237,11 @@ def score_with_store(docs: DataFrame, store: ScoreStore, dataset: str, scorers:
 
     Only hash and scores come from the store; the metadata is that of the current documents.
     """
-    score_unseen(docs, store, dataset, scorers, model)
+    keys = listed_keys(docs)
+    score_unseen(docs, store, dataset, scorers, model, keys)
     kept = [c for c in names(SCORE) if c not in DOCUMENT_KEYS]
-    stored = store.read(dataset, scorers).select("doc_hash", *kept)
-    current = hashed(docs).select("doc_hash", *DOCUMENT_KEYS)
-    return current.join(stored, "doc_hash").select("doc_hash", *names(SCORE))
+    stored = store.read(dataset, scorers, prefixes_of(keys)).select("doc_hash", *kept)
+    return keys.drop("doc_pos").join(stored, "doc_hash").select("doc_hash", *names(SCORE))
 
 
 class TextStore:

@@ -3,9 +3,10 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from quality_probe.operators import ranking, reports
+from quality_probe.operators import ranking, reports, scoring
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, names
 from quality_probe.sources import sinks, stores
+from quality_probe.sources.commits import Conflict
 from quality_probe.sources.stores import (
     ScoreStore,
     TextStore,
@@ -18,7 +19,7 @@ from quality_probe.sources.stores import (
     score_unseen,
     score_with_store,
 )
-from quality_probe.sources.web import dataset_name, web_documents
+from quality_probe.sources.web import as_documents, dataset_name, web_documents
 from quality_probe.streaming import jobs
 
 SCORERS = ["binary_ngram", "edu_binary"]
@@ -48,13 +49,103 @@ def test_current_metadata_wins_over_stored(spark, raw, model, tmp_path):
     assert found.filter("contains_benchmark").count() == found.count() == docs.count()
 
 
-def test_unseen_with_and_without_a_broadcast(spark, raw, monkeypatch):
-    docs = hashed(web_documents(raw)[0]).select("id", "doc_hash", "text")
-    known = docs.filter("id < 'web_2'").select("doc_hash")
-    small = stores.unseen(docs, known)
-    monkeypatch.setattr(stores, "is_small", lambda *a: False)
-    large = stores.unseen(docs, known)
-    assert small.count() == large.count() > 0 and small.exceptAll(large).isEmpty()
+def test_many_lacking_documents_take_the_bloom_filter(spark, raw, model, tmp_path, monkeypatch):
+    docs, rows = web_documents(raw)
+    stores_ = [ScoreStore(spark, str(tmp_path / name)) for name in ("small", "large")]
+    for store, small in zip(stores_, (True, False), strict=True):
+        score_unseen(docs.filter("doc_pos < 15"), store, "web", SCORERS[:1], model)
+        if not small:
+            monkeypatch.setattr(stores, "is_small", lambda *a: False)
+        score_unseen(docs, store, "web", SCORERS, model)
+    small, large = (store.read("web") for store in stores_)
+    assert small.count() == large.count() == 2 * rows and small.exceptAll(large).isEmpty()
+
+
+def logged(path, fails=()):
+    """An external scorer whose calls are written to a file, and which fails on some texts."""
+
+    def lengths(model, texts):
+        with open(path, "a") as log:
+            log.write(json.dumps(texts) + "\n")
+        if any(text in fails for text in texts):
+            raise ValueError("bad text")
+        return [len(text) for text in texts]
+
+    return lengths
+
+
+def test_only_the_missing_scorer_runs(spark, raw, model, tmp_path, monkeypatch):
+    docs, rows = web_documents(raw)
+    store, log = ScoreStore(spark, str(tmp_path / "scores")), tmp_path / "log"
+    score_unseen(docs, store, "web", SCORERS, model)
+    scoring.register_scorer(scoring.ExternalScorer("lengths", lambda: None, logged(str(log))))
+    monkeypatch.setattr(stores, "score_native", lambda *a: pytest.fail("no native scorer is missing"))
+    try:
+        repeated = docs.unionByName(docs.limit(3).withColumn("doc_pos", F.col("doc_pos") + 1000))
+        score_unseen(repeated, store, "web", [*SCORERS, "lengths"], model)
+        score_unseen(docs, store, "web", [*SCORERS, "lengths"], model)
+    finally:
+        del scoring.SCORERS["lengths"]
+    seen = [text for line in log.read_text().splitlines() for text in json.loads(line)]
+    assert len(seen) == rows and store.read("web").count() == 3 * rows
+
+
+def test_one_failing_text_stands_alone_and_is_tried_again(spark, tmp_path):
+    log, good = tmp_path / "log", tmp_path / "good"
+    texts = spark.createDataFrame([(i, f"text {i}") for i in range(1000)], "doc_pos bigint, text string").coalesce(1)
+    docs = as_documents(texts)
+    store = ScoreStore(spark, str(tmp_path / "scores"))
+    for path, fails, stored in ((log, ["text 617"], 999), (good, [], 1000)):
+        scoring.register_scorer(scoring.ExternalScorer("lengths", lambda: None, logged(str(path), fails), batch_size=1000))
+        try:
+            if fails:
+                found = scoring.score_external(docs, scoring.SCORERS["lengths"]).filter("error IS NOT NULL").collect()
+                assert [(r["id"], r["score"], r["error"]) for r in found] == [("web_617", None, "ValueError: bad text")]
+                assert len(log.read_text().splitlines()) <= 2 * 10 + 1
+            score_unseen(docs, store, "web", ["lengths"], None)
+        finally:
+            del scoring.SCORERS["lengths"]
+        assert store.read("web").filter("score IS NOT NULL").count() == store.read("web").count() == stored
+    assert good.read_text() == json.dumps(["text 617"]) + "\n"
+
+
+def test_batches_stay_as_cheap_as_the_first(spark, raw, model, tmp_path, monkeypatch):
+    """Over 20 batches the parts in use stay few, and merged rows are read by hash prefix."""
+    monkeypatch.setattr(stores.ScoreStore.merge, "__defaults__", (4,))
+    store = ScoreStore(spark, str(tmp_path / "scores"))
+    sizes = []
+    for i in range(20):
+        batch = as_documents(raw.limit(3).withColumn("doc_pos", F.col("doc_id") + 100 * i))
+        score_unseen(batch, store, "web", SCORERS[:1], model)
+        sizes.append(len(store.table.state()[1]))
+    rows = store.read("web")
+    assert rows.count() == rows.select("doc_hash").distinct().count() == 60
+    assert max(sizes) <= 3 * 3 and {p["level"] for p in store.table.state()[1]} == {1, 2}
+    prefix = rows.first()["doc_hash"][:2]
+    found = store.read("web", SCORERS[:1], [prefix]).collect()
+    assert found and {r["doc_hash"][:2] for r in found} == {prefix}
+    assert store.table.vacuum(older_than=0) > 5 and store.read("web").count() == 60
+
+
+def test_commits_are_whole(spark, raw, model, tmp_path):
+    docs, rows = web_documents(raw)
+    store = ScoreStore(spark, str(tmp_path / "scores"))
+    scores = hashed(docs).select("doc_hash", *DOCUMENT_KEYS).withColumns({
+        "classifier": F.lit("s"),
+        **{f.name: F.lit(None).cast(f.dataType) for f in SCORE.fields if f.name not in [*DOCUMENT_KEYS, "classifier"]},
+    })
+    state = store.table.state()
+    store.append(scores, "web", state)
+    with pytest.raises(Conflict):
+        store.append(scores, "web", state)  # its part stays unseen
+    broken = scores.withColumn("score", F.raise_error(F.lit("killed")).cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        store.append(broken, "web")
+    (tmp_path / "scores" / "_manifests" / "0000000002.json").write_text('{"parts": [{"na')  # died while writing it
+    assert store.read("web").count() == rows
+    store.append(scores.withColumn("classifier", F.lit("t")), "web")
+    assert store.read("web").count() == 2 * rows
+    assert store.table.vacuum(older_than=0) >= 1 and store.read("web").count() == 2 * rows
 
 
 def test_top_documents_are_cut_before_the_shuffle(spark):
