@@ -190,9 +190,9 @@ def top_document_cards(scores: DataFrame, texts: DataFrame, top_n: int = 10) ->
         "Top %d | %s | %s | ID: %s | Score: %.6f | Range: %.6f–%.6f%s",
         "top_rank", "classifier", kind, "id", "score", "score_min", "score_max", suffix,
     )
-    # The top rows are few, so they go to the texts.
+    # The top rows are few, so they go to the texts; how long these are is not known.
     found = texts.select("id", "text").join(F.broadcast(top.select("id").distinct()), "id", "left_semi")
-    return top.join(F.broadcast(found), "id", "left").select(
+    return top.join(found, "id", "left").select(
         *BY,
         "top_rank",
         "id",

@@ -1,7 +1,7 @@
 """Scorers: native ones built on n-gram signals, and any model through Arrow batches."""
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields, replace
 from functools import reduce
 from typing import Any
 
@@ -60,13 +60,22 @@ NATIVE = list(SCORERS)
 
 
 def chosen(scorers=None) -> list:
-    """Scorers by name, all registered native ones if none are named."""
-    return [SCORERS[s] for s in (NATIVE if scorers is None else scorers)]
+    """Scorers themselves or by name, all registered native ones if none are given."""
+    return [SCORERS[s] if isinstance(s, str) else s for s in (NATIVE if scorers is None else scorers)]
 
 
 def enabled(config: list) -> list:
-    """Names of the enabled scorers of a job."""
-    return [c["name"] for c in config if c.get("enabled", True)]
+    """The enabled scorers of a job, with the options that the job gives them."""
+    found = []
+    for entry in config:
+        if entry.get("enabled", True):
+            options = {k: v for k, v in entry.items() if k not in ("name", "enabled")}
+            scorer = SCORERS[entry["name"]]
+            known = {f.name for f in fields(scorer)}
+            if isinstance(scorer, ExternalScorer):
+                scorer = replace(scorer, **{k: v for k, v in options.items() if k in known})
+            found.append(scorer)
+    return found
 
 
 def score_native(docs: DataFrame, model: NgramModel, scorers: list, carry=tuple(DOCUMENT_KEYS)) -> DataFrame:

@@ -344,7 +344,6 @@ def top(n: int) -> str:
 PRESET_SCORERS = ["three_class", "edu_regression", "binary_ngram", "top_label"]
 PRESET_BENCHMARKS = ["mmlu", "gsm8k", "gpqa"]
 BENCHMARK_ORDER = ["gpqa", "mmlu", "gsm8k"]
-MISSING = "[Text not cached - run the experiment to store top documents]"
 SHARES = [0.1, 1, 5, 10, 25, 50, 75, 90, 95, 99, 99.9]
 
 LABELLED = "labelled AS (SELECT * FROM web WHERE doc_pos IN (SELECT doc_id FROM labels))"
@@ -556,19 +555,17 @@ UNION ALL BY NAME SELECT classifier, id, score, int_score, binary_pred, prob FRO
 UNION ALL
 SELECT id, text FROM corpus WHERE id IN (SELECT id FROM top_docs) AND id NOT IN (SELECT id FROM labelled)"""),
     "top_docs_text": scored(
-        ORDINAL, top(10), LABELLED,
-        select=f"SELECT classifier, top_rank, id, coalesce(l.text, '{MISSING}') AS text FROM top_docs "
-        "LEFT JOIN (SELECT id, text FROM labelled) l USING (id)"),
+        ORDINAL, top(10), select="SELECT classifier, top_rank, id, text FROM top_docs JOIN (SELECT id, text FROM corpus) USING (id)"),
     "top_doc_cards": scored(
-        ORDINAL, top(10), LABELLED,
+        ORDINAL, top(10),
         "extent AS (SELECT classifier, min(score) AS score_min, max(score) AS score_max FROM ordinal GROUP BY classifier)",
         select=f"""SELECT classifier, top_rank, id,
   printf('Score Range: %.6f (min) to %.6f (max)', score_min, score_max) AS score_range,
   printf('Top %d | %s | %s | ID: %s | Score: %.6f | Range: %.6f–%.6f%s', top_rank, classifier,
          CASE WHEN contains_benchmark THEN '🔴 BENCHMARK' ELSE '🟢 Regular' END, id, score, score_min, score_max,
          CASE WHEN contains_benchmark THEN ' | Type: ' || benchmark_type ELSE '' END) AS header,
-  coalesce(l.text, '{MISSING}') AS text
-FROM top_docs JOIN extent USING (classifier) LEFT JOIN (SELECT id, text FROM labelled) l USING (id)"""),
+  text
+FROM top_docs JOIN extent USING (classifier) JOIN (SELECT id, text FROM corpus) USING (id)"""),
     "rank_ordinal": scored(ORDINAL, select="SELECT classifier, id, score, rank, total FROM ordinal"),
     "needle_percentile": scored(ORDINAL, select="SELECT classifier, id, rank, total, percentile, score FROM report"),
     "needle_rank_scan": scored(ORDINAL, select="SELECT classifier, id, rank, total, percentile, score FROM report"),
@@ -607,6 +604,10 @@ FROM top_docs JOIN extent USING (classifier) LEFT JOIN (SELECT id, text FROM lab
         ORDINAL, select="SELECT id, benchmark_type, benchmark_index, classifier, rank, percentile, score FROM report"),
     "injection_effect": f"FROM ({effect('injected')}) UNION ALL BY NAME FROM ({effect('separate')})",
     "experiment_separate": scored(ORDINAL, select=f"SELECT {RANKS} FROM report"),
+    "run_reports": scored(
+        ORDINAL,
+        select="SELECT 'separate' AS mode, false AS prefiltered, (SELECT count(*) FROM corpus)::INT AS num_docs, 'web' AS dataset, "
+        "id, benchmark_type, classifier, rank, percentile, score FROM report"),
     "experiment_injected": inside_scored(
         ORDINAL, BEFORE, "after AS MATERIALIZED (SELECT id, score FROM scores WHERE classifier = 'binary_ngram')",
         select="""SELECT r.id AS doc_id, p.benchmark_type, p.benchmark_index AS "index", p.subject, r.classifier, r.rank,

@@ -8,20 +8,34 @@ from pyspark.sql import functions as F
 from quality_probe.functions import heads
 from quality_probe.operators import inject, ranking, reports
 from quality_probe.operators.ngram import NgramModel, score_signals, train
+from quality_probe.operators.ordering import without_slices
 from quality_probe.operators.scoring import NATIVE, enabled, score_corpus
 from quality_probe.operators.sizes import broadcast_if_small
 from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.scratch import written
+from quality_probe.sources import runs, sinks
 from quality_probe.sources.benchmarks import sampled_items
+from quality_probe.sources.runs import Runs
 from quality_probe.sources.stores import ScoreStore, TextStore, default_dataset, score_with_store
-from quality_probe.sources.web import QUALITY, first_documents, prefiltered, prefiltered_documents, web_documents
+from quality_probe.sources.web import (
+    QUALITY,
+    WEB,
+    dataset_name,
+    first_documents,
+    prefiltered,
+    prefiltered_documents,
+    web_documents,
+)
+
+EFFECT_SCORER = "binary_ngram"  # whose scores tell the effect of an item
 
 DEFAULTS = {
     "experiment": {"seed": 42, "inject_inside": False},
-    "dataset": {"num_docs": None, "subset": None, "prefilter_hq": False, "min_hq_score": 0.7},
+    "dataset": {"path": WEB, "part": None, "num_docs": None, "subset": None, "prefilter_hq": False, "min_hq_score": 0.7},
     "benchmarks": {},
     "classifiers": [{"name": name, "enabled": True} for name in NATIVE],
     "cache": {"top_n_documents": 100},
+    "output": {"base_dir": None},
 }
 
 
@@ -88,7 +102,7 @@ def touched(corpus: Corpus, keep: list) -> DataFrame:
     )
 
 
-def effect(corpus: Corpus, ranked: DataFrame, scorer: str = "binary_ngram") -> DataFrame:
+def effect(corpus: Corpus, ranked: DataFrame, scorer: str = EFFECT_SCORER) -> DataFrame:
     """Score of each touched document with its items against its original text's."""
     found = written(touched(corpus, ["id", "source", F.col("original_text").alias("text")]), "touched")
     originals = quality_scores(found, corpus.model, ["id"]).withColumnRenamed("original_score", "score")
@@ -104,8 +118,13 @@ class Result:
 
 
 def run(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dict, store: ScoreStore = None,
-        texts: TextStore = None, dataset: str = "web") -> Result:
-    """Build, score and rank. With a store, only unseen documents are scored."""
+        texts: TextStore = None, dataset: str = None) -> Result:
+    """Build, score, rank and report.
+
+    With a store, only unseen documents are scored; with an output folder, all reports are written and committed
+    as one run. Stores and runs go by the dataset's name, which follows from its path and part unless one is given.
+    """
+    dataset = dataset or dataset_name(config["dataset"]["path"], config["dataset"]["part"])
     corpus = build_corpus(raw, labels, item_rows, config)
     scorers = enabled(config["classifiers"])
     if store is None:
@@ -114,7 +133,29 @@ def run(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dict, store:
         scores = written(score_with_store(corpus.docs, store, dataset, scorers, corpus.model), "scores")
     if texts is not None:
         texts.save_top(scores, corpus.docs, dataset, config["cache"]["top_n_documents"])
-    return Result(corpus, scores, ranking.needle_ranks(scores))
+    result = Result(corpus, scores, ranking.needle_ranks(scores))
+    base = config["output"]["base_dir"]
+    if base is not None:
+        write_reports(Runs(raw.sparkSession, base), result, config["dataset"]["prefilter_hq"], dataset)
+    return result
+
+
+def write_reports(folder: Runs, result: Result, prefiltered: bool, dataset: str) -> str:
+    """Write and commit every report of a run; its id. The ranking is made once."""
+    ranked = written(without_slices(ranking.ordinal_ranks(result.scores)), "ranked")
+    found = ranking.needles(ranked).withColumn(
+        "percentile", ranking.percentile_of(F.col("rank"), F.col("total"))
+    )
+    outputs = {
+        runs.RANKS: lambda path: sinks.write_rank_report(reports.rank_report_json(found), path),
+        runs.SCORES: lambda path: sinks.write_sorted_scores(ranked, path),
+        runs.RANKINGS: lambda path: sinks.write_needle_rankings(found, path),
+        runs.THRESHOLDS: lambda path: sinks.write_json(reports.score_thresholds(ranked), path),
+        runs.STATS: lambda path: sinks.write_json(reports.score_stats(ranked), path),
+    }
+    if not result.scores.filter(F.col("classifier") == EFFECT_SCORER).isEmpty():
+        outputs[runs.EFFECT] = lambda path: sinks.write_json(effect(result.corpus, found), path)
+    return folder.write(outputs, result.corpus.injected, prefiltered, result.corpus.docs.count(), dataset)
 
 
 def reanalyze(store: ScoreStore, dataset: str = None) -> tuple:

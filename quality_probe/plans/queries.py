@@ -15,6 +15,7 @@ from quality_probe.plans import experiment
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, names
 from quality_probe.scratch import fresh_path, written
 from quality_probe.sources import benchmarks, items, stores, web
+from quality_probe.sources.runs import RANKS, Runs
 from quality_probe.sources.stores import (
     SKIPPED_DATASET,
     ScoreStore,
@@ -447,19 +448,25 @@ def top_text_merge(t):
     return texts.save_top(scores, corpus.docs, "web", TOP_STORED)
 
 
+def with_stored_texts(t) -> tuple:
+    """All scores, and the texts that a job stores: those of the best documents of each scorer."""
+    corpus = t.corpus()
+    scores = written(score_corpus(corpus.docs, corpus.model), "scores")
+    return scores, TextStore(t.spark, t.path("texts")).save_top(scores, corpus.docs, "web", TOP_STORED)
+
+
 @query
 def top_docs_text(t):
-    top = reports.top_documents(t.scores(), TOP_VIEW)
-    texts = t.labelled().select("id", "text")
-    found = texts.join(F.broadcast(top.select("id").distinct()), "id", "left_semi")
-    return top.join(F.broadcast(found), "id", "left").select(
+    scores, texts = with_stored_texts(t)
+    top = reports.top_documents(scores, TOP_VIEW)
+    return top.join(texts, "id", "left").select(
         "classifier", "top_rank", "id", F.coalesce("text", F.lit(reports.TEXT_MISSING)).alias("text")
     )
 
 
 @query
 def top_doc_cards(t):
-    return reports.top_document_cards(t.scores(), t.labelled(), TOP_VIEW)
+    return reports.top_document_cards(*with_stored_texts(t), TOP_VIEW)
 
 
 # --- ranks ---------------------------------------------------------------------------------------
@@ -603,6 +610,19 @@ def experiment_separate(t):
     return t.run(SEPARATE).ranks.select(*RANK_COLUMNS)
 
 
+@query
+def run_reports(t):
+    """A whole job with its reports committed, and the rank report read back from the run."""
+    base = t.path("results")
+    t.run({**SEPARATE, "output": {"base_dir": base}})
+    report = Runs(t.spark, base).read(RANKS)
+    per_scorer = F.array(*[F.struct(F.lit(s).alias("classifier"), F.col(s).alias("result")) for s in NATIVE])
+    return report.select("mode", "prefiltered", "num_docs", "dataset", "id", "benchmark_type", F.inline(per_scorer)).select(
+        "mode", "prefiltered", "num_docs", "dataset", "id", "benchmark_type", "classifier", "result.rank",
+        "result.percentile", "result.score",
+    ).dropna(subset=["rank"])
+
+
 @query
 def experiment_injected(t):
     result = t.run(INJECTED)

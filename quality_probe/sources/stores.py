@@ -167,14 +167,13 @@ def lacking(keys: DataFrame, stored: DataFrame, scorers: list) -> DataFrame:
     )
 
 
-def fresh_scores(docs: DataFrame, wanted: DataFrame, scorers: list, model: NgramModel) -> DataFrame:
+def fresh_scores(docs: DataFrame, wanted: DataFrame, listed: list, model: NgramModel) -> DataFrame:
     """Records of the missing scorers alone, with `doc_hash`; failed texts give none.
 
     The native scorers share one pass over the documents that lack any of them, an external one meets only those
     that lack it. No text is moved: few documents are picked by a broadcast, many by a Bloom filter, and the narrow
     results are then matched exactly.
     """
-    listed = chosen(scorers)
     bits = {scorer.name: 1 << i for i, scorer in enumerate(listed)}
     native = [s for s in listed if isinstance(s, Scorer)]
     groups = [native] if native else []
@@ -219,10 +218,11 @@ def score_unseen(docs: DataFrame, store: ScoreStore, dataset: str, scorers: list
     lacking is determined anew.
     """
     keys = listed_keys(docs) if keys is None else keys
-    prefixes = prefixes_of(keys)
+    prefixes, scorers = prefixes_of(keys), chosen(scorers)
+    called = [s.name for s in scorers]
     for _ in range(ATTEMPTS):
         state = store.table.state()
-        wanted = lacking(keys, store.read(dataset, scorers, prefixes, state[1]), scorers)
+        wanted = lacking(keys, store.read(dataset, called, prefixes, state[1]), called)
         if wanted.isEmpty():
             return
         try:
@@ -240,7 +240,7 @@ def score_with_store(docs: DataFrame, store: ScoreStore, dataset: str, scorers:
     keys = listed_keys(docs)
     score_unseen(docs, store, dataset, scorers, model, keys)
     kept = [c for c in names(SCORE) if c not in DOCUMENT_KEYS]
-    stored = store.read(dataset, scorers, prefixes_of(keys)).select("doc_hash", *kept)
+    stored = store.read(dataset, [s.name for s in chosen(scorers)], prefixes_of(keys)).select("doc_hash", *kept)
     return keys.drop("doc_pos").join(stored, "doc_hash").select("doc_hash", *names(SCORE))
 
 
