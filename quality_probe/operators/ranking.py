@@ -8,11 +8,15 @@ Two definitions live side by side. The report ranks 1..N with ties broken by id
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quality_probe.operators.needles import interval_ranks
 from quality_probe.operators.ordering import SLICE, min_ranks, number_rows, without_slices
+from quality_probe.operators.sizes import is_small
 from quality_probe.schemas import DOCUMENT_KEYS
+from quality_probe.scratch import written
 
 BY = ["classifier"]
 RANK_KEYS = ["rank_high", "rank_low"]
+FEW = 1_000_000  # needles times scorers
 
 
 def scored(scores: DataFrame) -> DataFrame:
@@ -64,6 +68,15 @@ def shared_ranks(scores: DataFrame) -> DataFrame:
 
 
 def needle_ranks(scores: DataFrame) -> DataFrame:
-    """Report ranks of the needles alone, taken from the ranking of all documents."""
-    ranked = without_slices(needles(ordinal_ranks(scores)))
+    """Report ranks of the needles alone.
+
+    While the needles are few, all other documents are only counted between them; many needles are taken from the
+    ranking of all documents.
+    """
+    kept = with_rank_keys(scored(scores)).select(*BY, *DOCUMENT_KEYS, "score", *RANK_KEYS)
+    found = written(needles(kept), "needles")
+    if is_small(found, "id", max_rows=FEW):
+        ranked = interval_ranks(kept, found).select(*BY, *DOCUMENT_KEYS, "score", "rank", "total")
+    else:
+        ranked = without_slices(needles(ordinal_ranks(scores)))
     return ranked.withColumn("percentile", percentile_of(F.col("rank"), F.col("total")))

@@ -487,6 +487,10 @@ STATEMENTS = {
     "json_map_explode": scored(
         select=f"SELECT {HASH} AS doc_hash, {META}, score, int_score, binary_pred, prob "
         "FROM scores JOIN (SELECT id, text FROM corpus) USING (id)", names=["dual_head"]),
+    "score_json_import": scored(
+        select=f"SELECT classifier, 'web' AS dataset, {HASH} AS doc_hash, id, source, score, int_score, binary_pred, prob "
+        "FROM scores JOIN (SELECT id, text FROM corpus) USING (id)", names=["dual_head"]),
+    "text_json_import": with_(WEB, select="SELECT 'web' AS dataset, id, coalesce(text, '') AS text FROM web"),
     "list_datasets": "SELECT DISTINCT 'web-' || lang AS dataset FROM documents WHERE lang <> 'es'",
     **{("tmpl_arc" if n == "arc_challenge" else f"tmpl_{n}"): template(n) for n in TYPES},
     "normalize_newlines": "SELECT doc_id, replace(text, chr(10), ' ') AS text FROM documents",

@@ -191,19 +191,43 @@ def score_store_read(t):
     return filled_store(t).read("web", NATIVE).select("dataset", "classifier", "doc_hash", "id", "score")
 
 
-@query
-def json_map_explode(t):
+def score_maps(t) -> DataFrame:
+    """JSON objects from hash to score record, of a thousand documents each."""
     corpus = t.corpus()
     scores = score_corpus(hashed(corpus.docs), corpus.model, ["dual_head"], [*DOCUMENT_KEYS, "doc_hash", "doc_pos"])
     record = F.struct(*[c for c in names(SCORE) if c != "classifier"])
-    blocks = scores.groupBy(F.floor(F.col("doc_pos") / JSON_BLOCK).alias("block")).agg(
+    return scores.groupBy(F.floor(F.col("doc_pos") / JSON_BLOCK).alias("block")).agg(
         F.to_json(F.map_from_entries(F.collect_list(F.struct("doc_hash", record)))).alias("json")
     )
-    parsed = blocks.select(F.explode(parsed_map("json")).alias("doc_hash", "r"))
+
+
+@query
+def json_map_explode(t):
+    parsed = score_maps(t).select(F.explode(parsed_map("json")).alias("doc_hash", "r"))
     return parsed.select("doc_hash", "r.id", "r.source", "r.contains_benchmark", "r.benchmark_type",
                          "r.benchmark_index", "r.score", "r.int_score", "r.binary_pred", "r.prob")
 
 
+@query
+def score_json_import(t):
+    """Files that hold one compact object each, read back by many tasks."""
+    path = t.path("score-json")
+    score_maps(t).repartition("block").write.partitionBy("block").text(path)
+    return stores.read_score_json(t.spark, path, "dual_head", "web").select(
+        "classifier", "dataset", "doc_hash", "id", "source", "score", "int_score", "binary_pred", "prob"
+    )
+
+
+@query
+def text_json_import(t):
+    path = t.path("text-json")
+    texts = t.web().groupBy(F.floor(F.col("doc_pos") / JSON_BLOCK).alias("block")).agg(
+        F.to_json(F.map_from_entries(F.collect_list(F.struct("id", F.coalesce("text", F.lit("")))))).alias("json")
+    )
+    texts.repartition("block").write.partitionBy("block").text(path)
+    return stores.read_text_json(t.spark, path, "web")
+
+
 @query
 def list_datasets(t):
     store, model = t.store(), t.model()

@@ -13,6 +13,7 @@ from quality_probe.operators.scoring import Scorer, chosen, score_external, scor
 from quality_probe.operators.sizes import is_small
 from quality_probe.schemas import DOCUMENT_KEYS, SCORE, STORE, TEXTS, names
 from quality_probe.scratch import written
+from quality_probe.sources import json_maps
 from quality_probe.sources.commits import CommittedTable, Conflict
 
 SKIPPED_DATASET = "old"
@@ -267,7 +268,6 @@ class TextStore:
 
 # --- map-shaped JSON -----------------------------------------------------------------------------
 
-ENTRY_END = "}"  # of a flat record
 FAIL = {"mode": "FAILFAST"}
 
 SCORE_DDL = (
@@ -281,29 +281,25 @@ def parsed_map(text) -> Column:
     return F.from_json(text, f"map<string,struct<{SCORE_DDL}>>")
 
 
-def read_score_json(spark: SparkSession, path: str, classifier: str, dataset: str) -> DataFrame:
-    """Import a file that holds one JSON object from hash to flat score record.
+def read_map(spark: SparkSession, path: str, value: str) -> DataFrame:
+    """key, value of the entries of JSON objects, one object a file; what does not parse raises an error."""
+    whole = F.concat(F.lit("{"), F.col("entry"), F.lit("}"))
+    pairs = F.explode(F.from_json(whole, f"map<string,{value}>", FAIL))
+    return json_maps.entries(spark, path).select(pairs.alias("key", "value"))
 
-    The file is split after records, in any layout, so that many tasks read one large file. What does
-    not parse raises an error, a closing brace inside a string included.
-    """
-    pieces = spark.read.option("lineSep", ENTRY_END).text(path).filter(~F.regexp_like("value", F.lit(r"\A[\s,{]*\z")))
-    entry = r'(?s)\A[\s,{]*"([0-9a-f]{64})"\s*:\s*(\{.*)\z'
-    checked = F.when(F.regexp_like("value", F.lit(entry)), F.regexp_extract("value", entry, 2)).otherwise(
-        F.raise_error(F.concat(F.lit("no score record: "), F.left("value", F.lit(200))))
-    )
-    found = pieces.select(
-        F.regexp_extract("value", entry, 1).alias("doc_hash"),
-        F.from_json(F.concat(checked, F.lit(ENTRY_END)), f"struct<{SCORE_DDL}>", FAIL).alias("record"),
-    )
-    return found.select("doc_hash", "record.*", F.lit(classifier).alias("classifier"), F.lit(dataset).alias("dataset")).select(
-        names(STORE)
+
+def read_score_json(spark: SparkSession, path: str, classifier: str, dataset: str) -> DataFrame:
+    """Import objects from hash to score record, in any layout; other keys raise an error."""
+    found = read_map(spark, path, f"struct<{SCORE_DDL}>")
+    key = F.when(F.regexp_like("key", F.lit(r"\A[0-9a-f]{64}\z")), F.col("key")).otherwise(
+        F.raise_error(F.concat(F.lit("no document hash: "), F.left("key", F.lit(200))))
     )
+    return found.select(
+        key.alias("doc_hash"), "value.*", F.lit(classifier).alias("classifier"), F.lit(dataset).alias("dataset")
+    ).select(names(STORE))
 
 
 def read_text_json(spark: SparkSession, path: str, dataset: str) -> DataFrame:
-    """Import a JSON object from id to text whose lines hold whole entries; any other line raises an error."""
-    inner = F.regexp_replace(F.regexp_replace("value", r"\A\s*\{?\s*", ""), r"[\s,}]*\z", "")
-    entries = spark.read.text(path).select(inner.alias("entry")).filter("entry <> ''")
-    pairs = F.explode(F.from_json(F.concat(F.lit("{"), F.col("entry"), F.lit("}")), "map<string,string>", FAIL))
-    return entries.select(F.lit(dataset).alias("dataset"), pairs.alias("id", "text"))
+    """Import objects from id to text, in any layout."""
+    found = read_map(spark, path, "string")
+    return found.select(F.lit(dataset).alias("dataset"), F.col("key").alias("id"), F.col("value").alias("text"))

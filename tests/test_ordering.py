@@ -85,16 +85,23 @@ def test_both_rank_definitions(spark):
     ]
 
 
-def test_needle_ranks_are_those_of_the_full_ranking(spark):
+def test_needle_ranks_are_those_of_the_full_ranking(spark, monkeypatch):
     df, _ = frame(spark)
     scores = df.withColumns({
         "source": F.lit("web"), "contains_benchmark": F.expr("hash(id) % 9 = 0"), "benchmark_type": F.lit("t"),
         "benchmark_index": F.lit(0),
     }).unionByName(golden(spark))
+    key = F.when(F.expr("hash(id) % 5 > 0"), F.expr("hash(id, 1) % 3"))  # ties in score, in keys, and without keys
+    scores = scores.withColumns({"rank_high": key.cast("long"), "rank_low": (key * key).cast("long")})
     scan, full = ranking.needle_ranks(scores), ranking.needles(ranking.ordinal_ranks(scores))
     columns = ["classifier", "id", "rank", "total", "score"]
     assert scan.count() == full.count() > 300
     assert scan.select(columns).exceptAll(full.select(columns)).isEmpty()
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning" not in plan
+    monkeypatch.setattr(ranking, "FEW", 10)
+    many = ranking.needle_ranks(scores)
+    assert many.count() == full.count() and many.select(columns).exceptAll(full.select(columns)).isEmpty()
 
 
 def test_no_needles_give_no_rows(spark):

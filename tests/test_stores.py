@@ -179,38 +179,47 @@ def test_text_store_keeps_existing(spark, raw, model, tmp_path):
     assert merged_texts(texts.read("web"), new).count() == 4
 
 
-def test_json_imports(spark, tmp_path):
+ODD = ['a } brace', '{"nested": [1, {"x": "}"}]}', 'line\nbreak, "quoted": {', "\\", '\\" end', "", "tab\t,}", "é😀" * 40, "x" * 900]
+COMPACT = {"separators": (",", ":"), "ensure_ascii": False}
+
+
+@pytest.mark.parametrize("block, entries, layouts", [("97", 12, [COMPACT]), ("1511", 30, [COMPACT, {"indent": 2}, {"indent": 0}])])
+def test_json_of_any_layout_splits_over_tasks(spark, tmp_path, block, entries, layouts):
+    """Splits that begin in strings, in escapes, between entries and within one long string."""
+    texts = {f"web_{i} {ODD[i % 9]}": ODD[i % len(ODD)] for i in range(entries)}
     records = {
-        f"{i:064x}": {"id": f"web_{i}", "source": "web", "contains_benchmark": i % 2 == 0, "benchmark_type": None,
+        f"{i:064x}": {"id": ODD[i % 7], "source": "web", "contains_benchmark": i % 2 == 0, "benchmark_type": None,
                       "benchmark_index": None, "score": None if i == 3 else i / 7}
-        for i in range(500)
+        for i in range(entries)
     }
-    path = tmp_path / "scores.json"
-    for layout in ({"indent": 2}, {"separators": (",", ":")}):
-        path.write_text(json.dumps(records, **layout))
-        found = read_score_json(spark, str(path), "binary_ngram", "web").select("doc_hash", "id", "score")
-        assert {tuple(r) for r in found.collect()} == {(h, r["id"], r["score"]) for h, r in records.items()}
-    path.write_text(json.dumps({"0" * 64: {"id": "a } brace", "score": 0.5}}))
-    with pytest.raises(Exception):
-        read_score_json(spark, str(path), "binary_ngram", "web").collect()
-    path.write_text(json.dumps(records))
-    spark.conf.set("spark.sql.files.maxPartitionBytes", "8192")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
     try:
-        found = read_score_json(spark, str(path), "binary_ngram", "web")
-        rows = {r["doc_hash"]: r for r in found.collect()}
+        for i, layout in enumerate(layouts):
+            (tmp_path / f"texts-{i}.json").write_text(json.dumps(texts, **layout) + "\n" * (i % 2))
+            (tmp_path / f"scores-{i}.json").write_text("\n" * (i % 2) + json.dumps(records, **layout))
+            found = read_text_json(spark, str(tmp_path / f"texts-{i}.json"), "web").collect()
+            assert len(found) == len(texts) and {r["id"]: r["text"] for r in found} == texts
+            found = read_score_json(spark, str(tmp_path / f"scores-{i}.json"), "binary_ngram", "web")
+            assert {tuple(r) for r in found.select("doc_hash", "id", "score").collect()} == {
+                (h, r["id"], r["score"]) for h, r in records.items()
+            }
+        pieces = spark.read.option("lineSep", '"').text(str(tmp_path / "texts-0.json"))
+        assert pieces.rdd.getNumPartitions() > 3
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
-    assert len(rows) == 500
-    assert all(rows[h]["id"] == r["id"] and rows[h]["score"] == r["score"] for h, r in records.items())
-    texts = {f"web_{i}": f'line "{i}",\nnext {{x}}, ' for i in range(20)}
-    path = tmp_path / "texts.json"
-    path.write_text(json.dumps(texts, indent=2))
-    assert {r["id"]: r["text"] for r in read_text_json(spark, str(path), "web").collect()} == texts
-    path.write_text(json.dumps(texts))
-    assert {r["id"]: r["text"] for r in read_text_json(spark, str(path), "web").collect()} == texts
-    path.write_text('{"a":\n"b"}')
-    with pytest.raises(Exception):
-        read_text_json(spark, str(path), "web").collect()
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_json_of_many_files_and_wrong_content(spark, tmp_path):
+    for name, text in (("a", '{"x": "1", "y": "2"}'), ("b", "{}"), ("c", ' {\n}\n'), ("d", '{"z":"3"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    found = read_text_json(spark, str(tmp_path), "web").collect()
+    assert sorted((r["dataset"], r["id"], r["text"]) for r in found) == [("web", "x", "1"), ("web", "y", "2"), ("web", "z", "3")]
+    for text in ('{"no hash": {"score": 1.0}}', '{"%s": {"score": tru}}' % ("0" * 64)):
+        (tmp_path / "wrong.json").write_text(text)
+        with pytest.raises(Exception):
+            read_score_json(spark, str(tmp_path / "wrong.json"), "binary_ngram", "web").collect()
 
 
 def needles(spark):
