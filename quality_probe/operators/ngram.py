@@ -28,6 +28,8 @@ WEIGHTS = {
     "good": (ALL, ["n10"], ["n00", "n01", "n11"]),
     "poor": (ALL, ["n00", "n01"], ["n10", "n11"]),
     "mixed": (ALL, ["n11"], ["n00", "n01", "n10"]),
+    "clean_quality": (ALL, ["n10"], ["n00"]),  # learned from documents that are not toxic
+    "contrast_quality": (ALL, ["n10"], ["n01"]),  # the best against the worst
     "word_quality": (UNIGRAMS, ["n10", "n11"], ["n00", "n01"]),
     "pair_quality": (BIGRAMS, ["n10", "n11"], ["n00", "n01"]),
     "word_toxic": (UNIGRAMS, ["n01", "n11"], ["n00", "n10"]),
@@ -37,11 +39,12 @@ WEIGHTS = {
 FULL, CHUNKS = "full", "chunks"
 SIGNALS = {
     "full_quality": (FULL, "quality"),
-    "head_quality": (FULL, "quality"),
-    "head_toxic": (FULL, "toxic"),
-    "head_good": (FULL, "good"),
-    "head_poor": (FULL, "poor"),
-    "head_mixed": (FULL, "mixed"),
+    "full_toxic": (FULL, "toxic"),
+    "full_good": (FULL, "good"),
+    "full_poor": (FULL, "poor"),
+    "full_mixed": (FULL, "mixed"),
+    "full_clean": (FULL, "clean_quality"),
+    "full_contrast": (FULL, "contrast_quality"),
     "chunk_word_quality": (CHUNKS, "word_quality"),
     "chunk_pair_quality": (CHUNKS, "pair_quality"),
     "chunk_word_toxic": (CHUNKS, "word_toxic"),

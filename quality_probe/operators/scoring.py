@@ -49,12 +49,12 @@ def register_scorer(scorer) -> None:
 register_scorer(Scorer("binary_ngram", ("full_quality",), heads.binary))
 register_scorer(Scorer("top_label", ("full_quality",), heads.top_label))
 register_scorer(Scorer("edu_regression", ("full_quality",), heads.edu_regression))
-register_scorer(Scorer("three_class", ("head_good", "head_poor", "head_mixed"), heads.three_class))
+register_scorer(Scorer("three_class", ("full_good", "full_poor", "full_mixed"), heads.three_class))
 register_scorer(Scorer("chunk_edu", ("chunk_word_quality",), heads.chunked))
 register_scorer(Scorer("chunk_edu_v2", ("chunk_pair_quality",), heads.chunked))
 register_scorer(Scorer("chunk_binary", ("chunk_word_toxic",), heads.chunked))
-register_scorer(Scorer("edu_binary", ("head_quality",), heads.edu_binary))
-register_scorer(Scorer("dual_head", ("head_quality", "head_toxic"), heads.dual))
+register_scorer(Scorer("edu_binary", ("full_clean",), heads.edu_binary))
+register_scorer(Scorer("dual_head", ("full_contrast", "full_toxic"), heads.dual))
 
 NATIVE = list(SCORERS)
 

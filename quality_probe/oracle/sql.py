@@ -122,6 +122,8 @@ WEIGHTS = {
     "good": ("true", "n10", "n00 + n01 + n11"),
     "poor": ("true", "n00 + n01", "n10 + n11"),
     "mixed": ("true", "n11", "n00 + n01 + n10"),
+    "clean_quality": ("true", "n10", "n00"),
+    "contrast_quality": ("true", "n10", "n01"),
     "word_quality": ("NOT is_pair", "n10 + n11", "n00 + n01"),
     "pair_quality": ("is_pair", "n10 + n11", "n00 + n01"),
     "word_toxic": ("NOT is_pair", "n01 + n11", "n00 + n10"),
@@ -209,7 +211,6 @@ MEANS = f"""corpus_words AS MATERIALIZED (SELECT id, {words('lower(text)')} AS w
 chunk_numbers AS (SELECT id, w, unnest(range(0, (len(w) + 2045) // 2046)) AS chunk_no FROM corpus_words),
 view_words AS (
   SELECT id, 'full' AS view, 0 AS chunk_no, w FROM corpus_words
-  UNION ALL SELECT id, 'head', 0, w FROM corpus_words
   UNION ALL SELECT id, 'chunk', chunk_no, w[chunk_no * 2046 + 1:(chunk_no + 1) * 2046] FROM chunk_numbers),
 view_grams AS (SELECT id, view, chunk_no, unnest({grams('w')}) AS gram FROM view_words),
 view_means AS MATERIALIZED (
@@ -220,13 +221,13 @@ view_means AS MATERIALIZED (
   GROUP BY id, view, chunk_no),
 signals AS MATERIALIZED (
   SELECT c.doc_pos, {', '.join('c.' + m for m in META.split(', '))},
-         f.quality AS full_quality, f.quality_x, f.quality_abs, h.quality_x AS head_x,
-         k.word_quality_x, k.pair_quality_x, k.word_toxic_x, h.quality AS head_quality, h.toxic AS head_toxic, h.good AS head_good,
-         h.poor AS head_poor, h.mixed AS head_mixed, k.word_quality AS chunk_word_quality,
+         f.quality AS full_quality, f.quality_x, f.quality_abs, f.clean_quality_x, f.contrast_quality_x,
+         k.word_quality_x, k.pair_quality_x, k.word_toxic_x, f.toxic AS full_toxic, f.good AS full_good,
+         f.poor AS full_poor, f.mixed AS full_mixed, f.clean_quality AS full_clean,
+         f.contrast_quality AS full_contrast, k.word_quality AS chunk_word_quality,
          k.pair_quality AS chunk_pair_quality, k.word_toxic AS chunk_word_toxic
   FROM corpus c
   LEFT JOIN (FROM view_means WHERE view = 'full') f USING (id)
-  LEFT JOIN (FROM view_means WHERE view = 'head') h USING (id)
   LEFT JOIN (SELECT id, max(word_quality) AS word_quality, max(pair_quality) AS pair_quality,
                     max(word_toxic) AS word_toxic, max(word_quality_x) AS word_quality_x,
                     max(pair_quality_x) AS pair_quality_x, max(word_toxic_x) AS word_toxic_x
@@ -249,8 +250,8 @@ def nearest(value: str) -> str:
     return f"round_even({value}, 0)::INT"
 
 
-TOP = "greatest(head_good, head_poor, head_mixed)"
-E = {c: f"exp((head_{c} - {TOP})::DOUBLE / 1000000.0::DOUBLE)" for c in ("good", "poor", "mixed")}
+TOP = "greatest(full_good, full_poor, full_mixed)"
+E = {c: f"exp((full_{c} - {TOP})::DOUBLE / 1000000.0::DOUBLE)" for c in ("good", "poor", "mixed")}
 SHARE = f"(({E['good']} + 0.5::DOUBLE * {E['mixed']}) / ({E['good']} + {E['poor']} + {E['mixed']}))"
 THREE = f"round({SHARE}, 6)"
 P = probability("full_quality")
@@ -276,14 +277,14 @@ SCORERS = {
         )
     },
     "edu_binary": (
-        regression("head_quality"), nearest(regression("head_quality")),
-        f"CASE WHEN {regression('head_quality')} >= 2.5 THEN 'high_quality'"
-        f" WHEN {regression('head_quality')} < 2.5 THEN 'low_quality' END", None, None,
+        regression("full_clean"), nearest(regression("full_clean")),
+        f"CASE WHEN {regression('full_clean')} >= 2.5 THEN 'high_quality'"
+        f" WHEN {regression('full_clean')} < 2.5 THEN 'low_quality' END", None, None,
     ),
     "dual_head": (
-        regression("head_quality"), nearest(regression("head_quality")), None,
-        f"CASE WHEN {probability('head_toxic')} >= 0.5 THEN 1 WHEN {probability('head_toxic')} < 0.5 THEN 0 END",
-        probability("head_toxic"),
+        regression("full_contrast"), nearest(regression("full_contrast")), None,
+        f"CASE WHEN {probability('full_toxic')} >= 0.5 THEN 1 WHEN {probability('full_toxic')} < 0.5 THEN 0 END",
+        probability("full_toxic"),
     ),
 }
 
@@ -299,8 +300,8 @@ RANK_KEYS = {
     "chunk_edu": "word_quality_x",
     "chunk_edu_v2": "pair_quality_x",
     "chunk_binary": "word_toxic_x",
-    "edu_binary": f"greatest(-{REACH}, least({REACH}, head_x))",
-    "dual_head": f"greatest(-{REACH}, least({REACH}, head_x))",
+    "edu_binary": f"greatest(-{REACH}, least({REACH}, clean_quality_x))",
+    "dual_head": f"greatest(-{REACH}, least({REACH}, contrast_quality_x))",
 }
 
 

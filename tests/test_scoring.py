@@ -164,6 +164,19 @@ def test_scores_that_round_to_one_are_told_apart(spark, model):
     assert [ordinal["plain", f"w{i}"] for i in range(4)] == [2, 1, 3, 4]
 
 
+def test_nine_scorers_judge_differently(spark):
+    """Over real texts no two scorers give the same scores, nor the same order but where one signal is shown in two ways."""
+    folder = "/root/testdata/sf0.001"
+    docs, _ = web_documents(spark.read.parquet(f"{folder}/documents.parquet"))
+    model = ngram.train(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    scores = scoring.score_corpus(docs, model).toPandas().pivot(index="id", columns="classifier", values="score").dropna()
+    for i, a in enumerate(scoring.NATIVE):
+        for b in scoring.NATIVE[i + 1 :]:
+            assert (scores[a] - scores[b]).abs().max() > 0.01, (a, b)
+            if scoring.SCORERS[a].signals != scoring.SCORERS[b].signals:
+                assert scores[a].rank().corr(scores[b].rank()) < 0.9999, (a, b)
+
+
 def test_frequent_grams_stay_within_the_limit(model):
     for limit in (0, 1, 20, 500, 10**9):
         count = ngram.frequent_from(model.cells, limit)
