@@ -43,7 +43,6 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.sentinel = self.tokenizer.encode(SENTINEL, add_special_tokens=False).ids
         self.forget()
