@@ -33,12 +33,11 @@ def filter_of(df: DataFrame, column: str, values: int) -> tuple:
     """The filter of a column with about so many distinct values, and its number of arrays."""
     arrays = arrays_for(values)
     at = place(f"`{column}`", arrays)
-    words = df.selectExpr(f"{at['array']} AS array", f"{at['word']} AS word", f"{at['bits']} AS bits").groupBy(
-        "array", "word"
-    ).agg(F.bit_or("bits").alias("bits"))
-    filled = words.groupBy("array").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
-    whole = f"transform(sequence(0, {WORDS - 1}), i -> coalesce(try_element_at(found, i), 0L)) AS words"
-    return written(filled.selectExpr("array AS _array", whole), "bloom"), arrays
+    set_bits = df.selectExpr(f"{at['array']} AS array", f"{at['word']} AS word", f"{at['bits']} AS bits")
+    blank = df.sparkSession.range(arrays).selectExpr("id AS array", f"explode(sequence(0, {WORDS - 1})) AS word", "0L AS bits")
+    words = set_bits.unionByName(blank).groupBy("array", "word").agg(F.bit_or("bits").alias("bits"))
+    whole = words.groupBy("array").agg(F.sort_array(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return written(whole.selectExpr("array AS _array", "words.bits AS words"), "bloom"), arrays
 
 
 def marked(df: DataFrame, column: str, built: tuple, name: str) -> DataFrame:
