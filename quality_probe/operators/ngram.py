@@ -53,7 +53,7 @@ SIGNALS = {
 NO_CHUNK = -1  # segment of a pair of words over the border of two chunks
 
 # At most so many frequent grams, none longer than so many bytes, are sent out of a larger vocabulary.
-HOT_GRAMS = 2_000_000
+HOT_GRAMS = 500_000
 HOT_BYTES = 128
 HOTTEST = 100_000  # at most so many grams that are hot in what is left
 

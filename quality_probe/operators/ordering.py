@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quality_probe.scratch import written
 
 SLICE, OFFSET = "_slice", "_offset"
+BUCKETS = 256
 WITHIN_SLICE = (1 << 33) - 1  # low bits of monotonically_increasing_id()
 
 
@@ -81,40 +82,62 @@ def min_ranks(numbered: DataFrame, by: list, value: str, number: str = "row_numb
     )
 
 
-def order_statistics(numbered: DataFrame, by: list, value: str, shares: dict, total: str = "total",
-                     number: str = "row_number") -> DataFrame:
-    """Exact interpolated quantiles of each group, from descending row numbers and group sizes.
+class Bracket:
+    """A range of values that holds the order statistics of some ranks; `below` rows lie under it."""
 
-    `shares` maps a label to a share in 0..1 of the ascending order. Only the two neighbouring rows
-    of each quantile are kept, so nothing but those rows is gathered.
-    """
-    points = F.array(
-        *[F.struct(F.lit(label).alias("label"), F.lit(share).alias("share")) for label, share in shares.items()]
-    )
-    wanted = (
-        numbered.groupBy(*by).agg(F.max(total).alias("_n"))
-        .withColumn("_point", F.explode(points))
-        .select(*by, "_n", "_point.label", (F.col("_point.share") * (F.col("_n") - 1)).alias("_at"))
-        .withColumn("_low", F.floor("_at"))
-        .withColumn("_part", F.col("_at") - F.col("_low"))
-        .withColumn("_high", F.least(F.col("_low") + 1, F.col("_n") - 1))
-    )
-    sides = wanted.select(
-        *by,
-        "label",
-        "_part",
-        F.explode(F.array(F.struct(F.lit("low").alias("side"), F.col("_low").alias("at")),
-                          F.struct(F.lit("high").alias("side"), F.col("_high").alias("at")))).alias("_side"),
-        "_n",
-    ).select(*by, "label", "_part", "_side.side", (F.col("_n") - F.col("_side.at")).alias(number))
+    def __init__(self, low: float, high: float, below: int, ranks: set):
+        self.low, self.high, self.below, self.ranks = low, high, below, ranks
 
-    def at(side: str) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col(value)))
+    def refined(self, buckets: list) -> list:
+        """The brackets within this one, from (count, low, high) of its buckets in ascending order."""
+        out, below = [], self.below
+        for count, low, high in buckets:
+            inside = {rank for rank in self.ranks if below <= rank < below + count}
+            if inside:
+                out.append(Bracket(low, high, below, inside))
+            below += count
+        return out
 
-    return (
-        numbered.select(*by, number, value)
-        .join(F.broadcast(sides), [*by, number])
-        .groupBy(*by, "label")
-        .agg(at("low").alias("_l"), at("high").alias("_h"), F.max("_part").alias("_part"))
-        .select(*by, "label", (F.col("_l") + (F.col("_h") - F.col("_l")) * F.col("_part")).alias(value))
-    )
+
+def quantiles(df: DataFrame, by: str, value: str, shares: dict) -> DataFrame:
+    """(`by`, label, `value`): exact interpolated quantiles of each of a few groups, without a sort.
+
+    `shares` maps a label to a share in 0..1 of the ascending order. Each round counts the rows in BUCKETS parts of
+    every bracket and goes on with the parts that hold a wanted rank, between their least and greatest values, until
+    they hold one value. A bracket's width falls BUCKETS times a round; only counts are shuffled.
+    """
+    rows = df.select(by, value).filter(F.col(value).isNotNull())
+    size = rows.groupBy(by).agg(F.count("*").alias("n"), F.min(value).alias("low"), F.max(value).alias("high")).collect()
+    wanted, brackets = {}, {}
+    for group, n, low, high in size:
+        for label, share in shares.items():
+            at = share * (n - 1)
+            first = int(at)
+            wanted[group, label] = (first, min(first + 1, n - 1), at - first)
+        ranks = {rank for label in shares for rank in wanted[group, label][:2]}
+        brackets[group] = [Bracket(low, high, 0, ranks)]
+    while any(b.low < b.high for found in brackets.values() for b in found):
+        given = [(g, i, b.low, b.high) for g, found in brackets.items() for i, b in enumerate(found) if b.low < b.high]
+        shape = f"{by} {rows.schema[by].dataType.simpleString()}, number int, low double, high double"
+        inside = rows.join(F.broadcast(df.sparkSession.createDataFrame(given, shape)), by).filter(
+            F.col(value).between(F.col("low"), F.col("high"))
+        )
+        bucket = F.width_bucket(value, "low", "high", F.lit(BUCKETS))
+        counts = inside.groupBy(by, "number", bucket.alias("bucket")).agg(
+            F.count("*").alias("count"), F.min(value).alias("least"), F.max(value).alias("greatest")
+        )
+        parts = {}
+        for group, number, _, count, low, high in sorted(counts.collect(), key=lambda r: r["bucket"]):
+            parts.setdefault((group, number), []).append((count, low, high))
+        brackets = {
+            group: [part for i, b in enumerate(found) for part in (b.refined(parts[group, i]) if b.low < b.high else [b])]
+            for group, found in brackets.items()
+        }
+    values = {(group, rank): b.low for group, found in brackets.items() for b in found for rank in b.ranks}
+    out = []
+    for (group, label), (first, second, part) in wanted.items():
+        low, high = values[group, first], values[group, second]
+        out.append((group, label, low + (high - low) * part))
+    label_type = "double" if all(isinstance(label, float) for label in shares) else "string"
+    shape = f"{by} {rows.schema[by].dataType.simpleString()}, label {label_type}, {value} double"
+    return df.sparkSession.createDataFrame(out, shape)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quality_probe.operators.ordering import number_rows, order_statistics
+from quality_probe.operators.ordering import number_rows, quantiles
 from quality_probe.operators.ranking import BY, RANK_KEYS, best_first, needles, scored, with_rank_keys
 from quality_probe.schemas import DOCUMENT_KEYS
 from quality_probe.sources.benchmarks import BENCHMARKS
@@ -76,17 +76,17 @@ def rounded_summary(summary: DataFrame) -> DataFrame:
     )
 
 
-def score_thresholds(ordinal: DataFrame) -> DataFrame:
-    """Score that the top p percent reach, interpolated; from ordinal ranks of all documents."""
+def score_thresholds(scores: DataFrame) -> DataFrame:
+    """Score that the top p percent reach, interpolated, over all scored documents."""
     shares = {float(p): (100 - p) / 100 for p in TOP_SHARES}
-    found = order_statistics(ordinal, BY, "score", shares, number="rank")
+    found = quantiles(scored(scores), BY[0], "score", shares)
     return found.select(*BY, F.col("label").alias("p"), F.round("score", 10).alias("threshold"))
 
 
-def score_stats(ordinal: DataFrame) -> DataFrame:
-    """Mean, median, min and max over all documents of each scorer."""
-    median = order_statistics(ordinal, BY, "score", {"median": 0.5}, number="rank")
-    stats = ordinal.groupBy(*BY).agg(
+def score_stats(scores: DataFrame) -> DataFrame:
+    """Mean, median, min and max over all scored documents of each scorer."""
+    median = quantiles(scored(scores), BY[0], "score", {"median": 0.5})
+    stats = scored(scores).groupBy(*BY).agg(
         F.round(F.avg("score"), 6).alias("score_mean"),
         F.min("score").alias("score_min"),
         F.max("score").alias("score_max"),

@@ -554,12 +554,12 @@ def needle_summary_rounded(t):
 
 @query
 def score_thresholds(t):
-    return reports.score_thresholds(ranking.ordinal_ranks(t.scores()))
+    return reports.score_thresholds(t.scores())
 
 
 @query
 def score_stats(t):
-    return reports.score_stats(ranking.ordinal_ranks(t.scores()))
+    return reports.score_stats(t.scores())
 
 
 @query

@@ -5,7 +5,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from quality_probe.operators import ranking
-from quality_probe.operators.ordering import min_ranks, number_rows, order_statistics, without_slices
+from quality_probe.operators.ordering import min_ranks, number_rows, quantiles, without_slices
 
 
 def frame(spark, n=3000, hot=0.4, seed=1):
@@ -51,15 +51,19 @@ def test_min_ranks_when_one_value_fills_slices(spark):
     assert [r[0] for r in got.select("rank").distinct().collect()] == [1]
 
 
-def test_order_statistics_match_numpy(spark):
+def test_quantiles_match_numpy(spark):
+    """A hot value, values over many magnitudes, one value alone, one row alone; only counts are shuffled."""
     df, pdf = frame(spark, n=1001)
-    numbered = number_rows(df, ["classifier"], [F.desc("score"), "id"], total="total")
-    shares = {"low": 0.001, "quarter": 0.25, "mid": 0.5, "top": 0.999, "all": 1.0}
-    got = order_statistics(numbered, ["classifier"], "score", shares).collect()
+    odd = [("wide", 10.0 ** (i % 40 - 20)) for i in range(400)] + [("same", 2.5)] * 7 + [("one", -1.0), ("one", None)]
+    df = df.drop("id").unionByName(spark.createDataFrame(odd, "classifier string, score double"))
+    pdf = pd.concat([pdf, pd.DataFrame(odd, columns=["classifier", "score"])]).dropna(subset=["score"])
+    shares = {"low": 0.001, "quarter": 0.25, "mid": 0.5, "top": 0.999, "all": 1.0, "none": 0.0}
+    got = quantiles(df, "classifier", "score", shares).collect()
     for row in got:
         scores = pdf[pdf.classifier == row["classifier"]].score
-        assert abs(row["score"] - np.percentile(scores, shares[row["label"]] * 100)) < 1e-12
-    assert len(got) == 10
+        assert np.isclose(row["score"], np.percentile(scores, shares[row["label"]] * 100), rtol=1e-9, atol=0), row
+    assert len(got) == 5 * len(shares)
+    assert quantiles(df.limit(0), "classifier", "score", shares).collect() == []
 
 
 GOLDEN = [("a", 0.9), ("b", 0.5), ("c", 0.5), ("d", 0.1), ("e", 0.1), ("f", None), ("g", float("nan"))]
