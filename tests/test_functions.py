@@ -53,20 +53,43 @@ def test_half_even_and_clamp(spark):
     assert [r[0] for r in df.selectExpr(heads.regression("m")).collect()] == [0.0, 2.5, 5.0, None]
 
 
-def head(spark, made, **micro):
-    columns = ", ".join(f"cast({v} AS bigint) AS {k}" for k, v in micro.items())
-    return spark.sql(f"SELECT {columns}").selectExpr(*[f"{sql} AS {name}" for name, sql in made.items()]).first().asDict()
+def head(spark, made, **micros):
+    """What a head shows for logits of one gram each."""
+    columns = ", ".join(
+        f"{value} AS {name}, {value} AS {name}_total, 1L AS {name}_grams, cast({value} AS bigint) AS {name}_high, 0L AS {name}_low"
+        for name, value in micros.items()
+    )
+    row = spark.sql(f"SELECT {', '.join(f'{sql} AS {name}' for name, sql in made.items())} FROM (SELECT {columns})").first()
+    return row.asDict()
+
+
+def shown(*args, **micros):
+    return {name: value for name, value in head(*args, **micros).items() if not name.startswith("rank_")}
 
 
 def test_heads(spark):
-    assert head(spark, heads.three_class("a", "b", "c"), a=0, b=0, c=0) == {"score": 0.5, "int_score": 2}
-    assert head(spark, heads.top_label("m"), m=1_000_000) == {"score": 0.731059, "label": "high_quality"}
-    assert head(spark, heads.top_label("m"), m=-1_000_000) == {"score": 0.731059, "label": "ow_quality"}
-    assert head(spark, heads.edu_binary("m"), m=0) == {"score": 2.5, "int_score": 2, "label": "high_quality"}
-    assert head(spark, heads.chunked("m"), m=-7_100_000) == {"score": -7.1, "int_score": 0}
-    dual = head(spark, heads.dual("m", "b"), m=500_000, b=-1)
+    assert shown(spark, heads.three_class("a", "b", "c"), a=0, b=0, c=0) == {"score": 0.5, "int_score": 2}
+    assert shown(spark, heads.top_label("m"), m=1_000_000) == {"score": 0.731059, "label": "high_quality"}
+    assert shown(spark, heads.top_label("m"), m=-1_000_000) == {"score": 0.731059, "label": "ow_quality"}
+    assert shown(spark, heads.edu_binary("m"), m=0) == {"score": 2.5, "int_score": 2, "label": "high_quality"}
+    assert shown(spark, heads.chunked("m"), m=-7_100_000) == {"score": -7.1, "int_score": 0}
+    dual = shown(spark, heads.dual("m", "b"), m=500_000, b=-1)
     assert dual == {"score": 3.0, "int_score": 3, "binary_pred": 1, "prob": 0.5}
-    assert set(head(spark, heads.dual("m", "b"), m="NULL", b="NULL").values()) == {None}
+    assert set(shown(spark, heads.dual("m", "b"), m="NULL", b="NULL").values()) == {None}
+
+
+def test_heads_rank_by_the_ratio(spark):
+    def rank(made, m):
+        found = head(spark, made, m=m)
+        return found["rank_high"], found["rank_low"]
+
+    assert rank(heads.binary("m"), -7) == rank(heads.chunked("m"), -7) == (-7, 0)
+    assert rank(heads.top_label("m"), -7) == rank(heads.top_label("m"), 7) == (7, 0)
+    assert rank(heads.edu_regression("m"), 7) == (7, 0) and rank(heads.edu_binary("m"), -2_500_001) == (-2_500_000, 0)
+    assert rank(heads.edu_regression("m"), 2_500_001) == rank(heads.edu_regression("m"), 9_000_000) == (2_500_000, 0)
+    assert rank(heads.binary("m"), "NULL")[0] is None
+    softmax = head(spark, heads.three_class("a", "b", "c"), a=0, b=0, c=0)
+    assert (softmax["rank_high"], softmax["rank_low"]) == (5 * 10**11, 0)
 
 
 def test_templates(spark):
