@@ -625,6 +625,9 @@ FROM placed p JOIN report r ON r.id = 'web_' || p.doc_pos JOIN after a ON a.id =
         f"WHERE contains_benchmark AND benchmark_type IN {in_list([*PRESET_BENCHMARKS, 'piqa'])}"),
     "stream_prefilter": prefilter(
         "SELECT doc_id, original_score, text FROM accepted a JOIN documents d ON d.doc_id = a.doc_pos"),
+    "stream_prefilter_first": prefilter(
+        "SELECT doc_id, original_score, text FROM accepted a JOIN documents d ON d.doc_id = a.doc_pos, quarter "
+        "WHERE accepted <= n"),
     "stream_score_store": with_(
         WEB, WEB_ONLY, MODEL, MEANS, scores(),
         select=f"SELECT {HASH} AS doc_hash, id, classifier, score FROM scores JOIN (SELECT id, text FROM corpus) USING (id)"),

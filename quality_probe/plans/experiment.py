@@ -1,6 +1,7 @@
 """Whole jobs: run an experiment, or analyse a score store again."""
 
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,7 @@ from quality_probe.sources.web import (
     QUALITY,
     WEB,
     dataset_name,
+    first_accepted,
     first_documents,
     prefiltered,
     prefiltered_documents,
@@ -70,11 +72,18 @@ def web_part(raw: DataFrame, whole: tuple, model: NgramModel, dataset: dict, bud
     docs, rows = whole if dataset["subset"] is None else web_documents(raw, None, dataset["subset"])
     if not dataset["prefilter_hq"]:
         return first_documents(docs, rows, budget)
-    scores = quality_scores(docs, model, ["doc_id", "doc_pos"])
-    kept = prefiltered(scores, dataset["min_hq_score"], budget)
+    kept = accepted_documents(docs, rows, model, dataset["min_hq_score"], budget)
     return prefiltered_documents(docs, kept), kept.count()
 
 
+def accepted_documents(docs: DataFrame, rows: int, model: NgramModel, min_score: float, num_docs: int = None) -> DataFrame:
+    """The first `num_docs` accepted of positioned documents (all, if None); later ones are not scored."""
+    judge = partial(quality_scores, model=model, carry=["doc_id", "doc_pos"])
+    if num_docs is None:
+        return written(prefiltered(judge(docs), min_score), "accepted")
+    return first_accepted(docs, rows, judge, min_score, num_docs)
+
+
 def build_corpus(raw: DataFrame, labels: DataFrame, item_rows: dict, config: dict, model: NgramModel = None) -> Corpus:
     """Web documents plus items. `num_docs` is the size of the whole corpus; None takes every document."""
     settings, dataset = config["experiment"], config["dataset"]

@@ -126,20 +126,19 @@ def scan_take_n(t):
 def prefilter_parts(t):
     docs, rows = web.web_documents(t.raw)
     model = train(docs, t.labels)
-    return docs, rows, experiment.quality_scores(docs, model, ["doc_id", "doc_pos"])
+    return docs, rows, experiment.accepted_documents(docs, rows, model, MIN_SCORE, rows // 4)
 
 
 @query
 def prefilter_hq(t):
-    docs, rows, scores = prefilter_parts(t)
-    kept = web.prefiltered_documents(docs, web.prefiltered(scores, MIN_SCORE, rows // 4))
-    return kept.select("id", "doc_pos", "doc_id", "original_score", "text")
+    docs, _, kept = prefilter_parts(t)
+    found = web.prefiltered_documents(docs, kept)
+    return found.select("id", "doc_pos", "doc_id", "original_score", "text")
 
 
 @query
 def prefilter_acceptance(t):
-    docs, rows, scores = prefilter_parts(t)
-    kept = web.prefiltered(scores, MIN_SCORE, rows // 4)
+    _, rows, kept = prefilter_parts(t)
     return web.acceptance(rows, kept, rows // 4)
 
 
@@ -682,6 +681,13 @@ def stream_prefilter(t):
     return t.spark.read.parquet(sink).select("doc_id", "original_score", "text")
 
 
+@query
+def stream_prefilter_first(t):
+    sink, wanted = t.path("accepted"), t.raw.count() // 4
+    jobs.prefilter_stream(document_stream(t), t.model(), sink, t.path("stream"), MIN_SCORE, num_docs=wanted)
+    return t.spark.read.parquet(sink).select("doc_id", "original_score", "text")
+
+
 @query
 def stream_score_store(t):
     store, model = t.store(), t.model()

@@ -5,11 +5,16 @@ from pyspark.sql import functions as F
 
 from quality_probe.functions import heads
 from quality_probe.operators.ordering import number_rows, without_slices
+from quality_probe.operators.sizes import broadcast_if_small
 from quality_probe.schemas import DOCUMENT, names
+from quality_probe.scratch import written
 
 WEB = "web"
 QUALITY = "full_quality"  # signal that lets documents in
 DEFAULT_SUBSET = "sample-10BT"
+FIRST_RANGE = 1000  # positions that the adaptive scan judges at least before it knows a rate
+MARGIN = 1.1  # on the number of positions that the rate so far asks for
+GROWTH = 4  # a range has at least 1 / GROWTH and at most GROWTH times the positions before it
 
 
 def dataset_name(path: str, subset: str = DEFAULT_SUBSET) -> str:
@@ -103,9 +108,37 @@ def prefiltered(scores: DataFrame, min_score: float, num_docs: int = None, key:
     )
 
 
+def next_range(processed: int, found: int, wanted: int) -> int:
+    """How many positions to judge next, from the share accepted so far."""
+    if not processed:
+        return max(FIRST_RANGE, wanted)
+    asked = int(MARGIN * (wanted - found) * processed / found) + 1 if found else GROWTH * processed
+    return min(max(asked, processed // GROWTH + 1), GROWTH * processed)
+
+
+def first_accepted(docs: DataFrame, rows: int, judge, min_score: float, num_docs: int, key: str = "doc_id") -> DataFrame:
+    """`prefiltered`, but reading stops soon after the `num_docs`-th accepted of the positioned `docs`.
+
+    `judge(part)` gives the scores of some documents. Ranges of positions are judged one after the other; the share
+    accepted so far sizes the next one, and ranges grow with what is behind them, so their number is logarithmic. A
+    range also goes to the scan as a range of keys, as positions follow the keys. Only accepted keys are kept between.
+    """
+    found, processed, accepted = 0, 0, None
+    while processed < rows and found < num_docs or accepted is None:
+        end = min(rows, processed + next_range(processed, found, num_docs))
+        inside = docs.filter((F.col("doc_pos") >= processed) & (F.col("doc_pos") < end))
+        low, high = inside.agg(F.min(key), F.max(key)).first()
+        part = inside if low is None else inside.filter(F.col(key).between(low, high))
+        judged = judge(part).filter(heads.reaches(QUALITY, min_score))
+        kept = written(judged, "accepted-range")
+        found, processed = found + kept.count(), end
+        accepted = kept if accepted is None else accepted.unionByName(kept)
+    return prefiltered(accepted, min_score, num_docs, key)
+
+
 def prefiltered_documents(docs: DataFrame, kept: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents numbered over the accepted ones, with the score that let them in."""
-    return as_documents(docs.select(key, "text").join(kept, key))
+    return as_documents(docs.select(key, "text").join(broadcast_if_small(kept), key))
 
 
 def acceptance(docs_rows: int, kept: DataFrame, num_docs: int = None) -> DataFrame:

@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from quality_probe.oracle.sql import STATEMENTS
 from quality_probe.plans import experiment
 from quality_probe.plans.queries import REGISTRY
-from quality_probe.sources import items
+from quality_probe.sources import items, web
 from quality_probe.sources.stores import ScoreStore, TextStore
 
 SMALL = "/root/testdata/sf0.001"
@@ -67,3 +67,30 @@ def test_prefiltered_run(raw, labels, item_table):
     assert all(r["original_score"] >= 0.5 for r in web) and result.corpus.docs.count() == 12
     standalone = experiment.effect(result.corpus, result.ranks).collect()
     assert all(r["is_standalone"] and r["difference"] is None for r in standalone) and len(standalone) == 6
+
+
+@pytest.mark.parametrize("gaps", [False, True])
+def test_documents_after_the_last_accepted_are_not_judged(spark, gaps, monkeypatch):
+    monkeypatch.setattr(web, "FIRST_RANGE", 20)
+    key = "id * 3 + 7" if gaps else "id"
+    docs, rows = web.with_positions(spark.range(2000).selectExpr(f"{key} AS doc_id", "'text' AS text"))
+    ranges = []
+
+    def judge(part):
+        low, high = part.selectExpr("min(doc_pos)", "max(doc_pos)").first()
+        ranges.append((low, high))
+        high_part = "CASE WHEN doc_pos % 10 = 9 AND doc_pos >= 100 THEN 9000000L ELSE -9000000L END AS full_quality_high"
+        return part.selectExpr("doc_id", "doc_pos", "1D AS original_score", high_part, "0L AS full_quality_low")
+
+    for wanted in (0, 30, 191):
+        ranges.clear()
+        found = web.first_accepted(docs, rows, judge, 0.5, wanted).orderBy("doc_pos").collect()
+        whole = web.prefiltered(judge(docs), 0.5, wanted).orderBy("doc_pos").collect()
+        assert found == whole and len(found) == min(wanted, 190)
+        ranges.pop()
+        assert [low for low, _ in ranges] == [0, *[high + 1 for _, high in ranges[:-1]]]  # each position once
+        assert len(ranges) < 12
+        if wanted == 30:
+            assert found[-1]["source_pos"] == 399 and ranges[-1][1] < 900
+    empty, none = web.with_positions(spark.range(0).selectExpr("id AS doc_id", "'' AS text"))
+    assert web.first_accepted(empty, none, judge, 0.5, 5).count() == 0

@@ -296,3 +296,28 @@ def test_streams_over_many_files(spark, raw, model, tmp_path):
     batch, _ = web_documents(raw)
     again = score_with_store(batch, store, "web", SCORERS, model)
     assert again.columns == ["doc_hash", *names(SCORE)] and store.read("web").count() == 2 * raw.count()
+
+
+def test_stream_stops_at_the_wanted_number(spark, raw, model, tmp_path, monkeypatch):
+    folder = str(tmp_path / "in")
+    for i in range(6):  # files in the order of their age
+        raw.selectExpr(f"doc_id + {100 * i} AS doc_id", "text").coalesce(1).write.mode("append").parquet(folder)
+    judged = []
+    plain = jobs.accepted
+
+    def counted(docs, model, min_score, key="doc_id", most=None):
+        judged.append(docs.count())
+        return plain(docs, model, min_score, key, most)
+
+    monkeypatch.setattr(jobs, "accepted", counted)
+    per_file = plain(raw, model, 0.5).count()
+    assert per_file > 3
+    wanted = per_file + 3
+    sink, checkpoint = str(tmp_path / "accepted"), str(tmp_path / "c")
+    for _ in range(2):  # a restart goes on from the kept count
+        stream = jobs.document_stream(spark, folder, raw.schema, files=1)
+        jobs.prefilter_stream(stream, model, sink, checkpoint, 0.5, num_docs=wanted)
+        found = spark.read.parquet(sink).select("doc_id", "original_score", "text")
+        assert found.count() == wanted and len(judged) == 2
+    every = plain(spark.read.parquet(folder), model, 0.5, most=wanted)
+    assert found.exceptAll(every.select(*found.columns)).isEmpty()
