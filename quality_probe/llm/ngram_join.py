@@ -245,7 +245,8 @@ def candidates(classes: DataFrame) -> DataFrame:
         large = sizes.where("kind = 'large'").select("path", "size")
         if not large.limit(1).count():
             break
-        kept = rows.select("_id", "path").join(large, "path").join(classes, "_id").select("_id", "path", "size", "mins")
+        kept = rows.select("_id", "path").join(large, "path").repartition("_id")  # a large bucket leaves its one task
+        kept = kept.join(classes, "_id").select("_id", "path", "size", "mins")
         rows = written(split(kept, roots=False), "paths")
     return found
 
