@@ -12,10 +12,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quality_probe.operators.ordering import number_rows, without_slices
+from quality_probe.scratch import written
 
 PERIOD = 1000
 BLOCK = 8
 TEMPER = 0.7
+SEED = 42
+QUEUE_ORDER = ["_draw", "doc_id"]
+SLOT_ORDER = ["_at", "source", "row_number"]
 
 # One period: `done` counts the blocks served of each source, `out` has the source of each slot.
 FOLD = """
@@ -68,18 +72,15 @@ def schedule(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     )
 
 
-def mix(docs: DataFrame, weights: DataFrame = None, block: int = BLOCK, period: int = PERIOD, seed: int = 42) -> DataFrame:
-    """doc_id, source, block, release, deadline, slot, position (from 0, no gaps) of every document.
-
-    `weights` is (source, weight); without it the tempered shares. A source that it leaves out, or gives
-    no weight, follows after all others. Documents of a source are taken in a seeded order, ids breaking
-    ties; repeated rows and null ids keep rows of their own; texts and other columns are not read. An
-    empty table gives no rows.
-    """
-    plan = F.broadcast(schedule(tempered(docs) if weights is None else weights, period))  # about `period` rows
+def queued(docs: DataFrame, seed: int) -> DataFrame:
+    """doc_id, source, _draw, row_number: each source's documents in a seeded order, ids breaking ties."""
     named = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))  # never null
     queue = docs.select("doc_id", "source", named.alias("_queue"), F.xxhash64("doc_id", F.lit(seed)).alias("_draw"))
-    numbered = without_slices(number_rows(queue, ["_queue"], ["_draw", "doc_id"])).drop("_draw", "_queue")
+    return without_slices(number_rows(queue, ["_queue"], QUEUE_ORDER)).drop("_queue")
+
+
+def slotted(numbered: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """Add block, release, deadline, slot and `_at`, the slot or a last one, to rows with source and row_number."""
     blocks = numbered.withColumn("block", F.expr(f"(row_number - 1) div {block}"))
     parts = F.broadcast(plan.groupBy("source").agg(F.max("parts").alias("parts"), F.max("period").alias("period")))
     timed = blocks.alias("b").join(parts.alias("p"), F.expr("b.source <=> p.source"), "left").select(
@@ -90,32 +91,57 @@ def mix(docs: DataFrame, weights: DataFrame = None, block: int = BLOCK, period:
         F.expr("(block * period) div parts").alias("release"),
         F.expr("((block + 1) * period + parts - 1) div parts").alias("deadline"),
     )
-    slotted = timed.alias("t").join(
-        plan.alias("s"), F.expr("t.source <=> s.source AND t.turn = s.turn"), "left"
+    found = timed.alias("t").join(
+        F.broadcast(plan).alias("s"), F.expr("t.source <=> s.source AND t.turn = s.turn"), "left"
     ).select("t.*", F.expr("(t.block div t.parts) * t.period + s.slot").alias("slot"))
-    last = F.coalesce(F.col("slot"), F.lit((1 << 62) - 1))
-    placed = number_rows(
-        slotted.select("doc_id", "source", "block", "release", "deadline", "slot", "row_number", last.alias("_at")),
-        [], ["_at", "source", "row_number"], name="position",
-    )
-    return without_slices(placed).select(
-        "doc_id", "source", "block", "release", "deadline", "slot", (F.col("position") - 1).alias("position")
+    return found.drop("parts", "period", "turn").withColumn("_at", F.coalesce(F.col("slot"), F.lit((1 << 62) - 1)))
+
+
+def positions(docs: DataFrame, plan: DataFrame, block: int, seed: int) -> DataFrame:
+    placed = number_rows(slotted(queued(docs, seed), plan, block), [], SLOT_ORDER, name="position")
+    return without_slices(placed).withColumn("position", F.col("position") - 1)
+
+
+def mix(docs: DataFrame, weights: DataFrame = None, block: int = BLOCK, period: int = PERIOD, seed: int = SEED) -> DataFrame:
+    """doc_id, source, block, release, deadline, slot, position (from 0, no gaps) of every document.
+
+    `weights` is (source, weight); without it the tempered shares. A source that it leaves out, or gives
+    no weight, follows after all others. Documents of a source are taken in a seeded order, ids breaking
+    ties; repeated rows and null ids keep rows of their own; texts and other columns are not read. An
+    empty table gives no rows.
+    """
+    plan = schedule(tempered(docs) if weights is None else weights, period)  # about `period` rows
+    return positions(docs, plan, block, seed).select(
+        "doc_id", "source", "block", "release", "deadline", "slot", "position"
     )
 
 
-def mixed_documents(docs: DataFrame, weights: DataFrame = None) -> DataFrame:
-    """The documents in mixed order: sorted ranges of positions, one after the other.
+def mixed_documents(docs: DataFrame, weights: DataFrame = None, slices: int = None) -> DataFrame:
+    """The documents in mixed order: `slices` partitions of equal ranges of positions, one after the other.
 
-    Rows that share an id stay together, at the earliest of their positions.
+    Texts move once. In each source a slice begins at some draw; these borders, at most sources times slices rows,
+    tell every document its slice and the rank with which the slice begins, so ranks and slots are counted anew
+    where the texts arrive. Rows of one source that share an id stay together. `slices` is the number of shuffle
+    partitions unless given. An empty table gives no rows; other columns pass, whatever their names.
     """
-    places = mix(docs, weights).groupBy("doc_id").agg(F.min("position").alias("_position"))
-    joined = docs.alias("d").join(places.alias("p"), F.expr("d.doc_id <=> p.doc_id"), "left")
-    return (
-        joined.select("d.*", "p._position")
-        .repartitionByRange("_position")
-        .sortWithinPartitions("_position")
-        .drop("_position")
+    slices = slices or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = written(schedule(tempered(docs) if weights is None else weights), "schedule")
+    total = max(docs.count(), 1)
+    found = positions(docs, plan, BLOCK, SEED).withColumn("_slice", F.expr(f"cast(position * {slices} div {total} AS int)"))
+    key = F.struct("_draw", "doc_id")
+    begun = found.groupBy("source", "_slice").agg(F.min(key).alias("key"), F.min("row_number").alias("first"))
+    borders = begun.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("key", "_slice", "first"))).alias("_borders"))
+    rows = docs.select(
+        F.struct(*docs.columns).alias("_row"), "doc_id", "source", F.xxhash64("doc_id", F.lit(SEED)).alias("_draw")
     )
+    border = F.expr("element_at(filter(_borders, b -> b.key <= struct(_draw, doc_id)), -1)")
+    sliced = rows.alias("d").join(F.broadcast(borders).alias("p"), F.expr("d.source <=> p.source"), "left").select(
+        "d.*", border.alias("_border")
+    ).select("_row", "doc_id", "source", "_draw", F.col("_border._slice").alias("_slice"), F.col("_border.first").alias("_first"))
+    moved = sliced.repartitionByRange(slices, "_slice")
+    rank = F.row_number().over(Window.partitionBy("_slice", "source").orderBy(*QUEUE_ORDER))
+    numbered = moved.withColumn("row_number", F.col("_first") - 1 + rank)
+    return slotted(numbered, plan, BLOCK).sortWithinPartitions("_slice", *SLOT_ORDER).select("_row.*")
 
 
 def stored_order(docs: DataFrame, name: str) -> DataFrame:
@@ -124,10 +150,10 @@ def stored_order(docs: DataFrame, name: str) -> DataFrame:
     Scans take files by size, so partition numbers of a scan do not tell; names of files and rows in them do.
     """
     number = F.regexp_extract("_file", r"^part-(\d+)", 1).cast("long")
-    marked = docs.select("*", F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    marked = docs.select(
+        F.struct(*docs.columns).alias("_doc"), F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_at")
+    )
     sizes = marked.groupBy("_file").agg(F.count("*").alias("_rows"))
     earlier = Window.orderBy(number, "_file").rowsBetween(Window.unboundedPreceding, -1)  # a row per file
     begun = sizes.select("_file", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_begin"))
-    return marked.join(F.broadcast(begun), "_file").select(
-        *docs.columns, (F.col("_begin") + F.col("_row")).alias(name)
-    )
+    return marked.join(F.broadcast(begun), "_file").select("_doc.*", (F.col("_begin") + F.col("_at")).alias(name))
