@@ -27,7 +27,7 @@ def tables(spark, folder, files: int) -> str:
 
 
 @pytest.mark.parametrize("files", [1, 3])
-@pytest.mark.parametrize("name", ["score_top_label"])
+@pytest.mark.parametrize("name", ["score_top_label", "stream_prefilter", "stream_prefilter_first", "stream_score_store"])
 def test_query_equals_statement_for_a_file_and_a_folder(spark, tmp_path, name, files):
     folder = tables(spark, tmp_path, files)
     db = duckdb.connect()
