@@ -254,3 +254,23 @@ def test_dense_keys_need_no_shuffle_of_texts(spark, raw):
     docs, _ = web_documents(raw)
     assert "Exchange" not in docs._jdf.queryExecution().executedPlan().toString()
     assert as_documents(raw.select(F.col("doc_id").alias("doc_pos"), "text")).columns == [c for c in docs.columns if c != "doc_id"]
+
+
+def test_segments_are_settled_without_a_sort_or_shuffle(spark, raw, model, monkeypatch):
+    plans = {}
+    true_written = ngram.written
+
+    def spied(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return true_written(df, name)
+
+    monkeypatch.setattr(ngram, "written", spied)
+    monkeypatch.setattr(ngram, "HOT_GRAMS", 20)
+    monkeypatch.setattr(ngram, "RUN", 7)
+    empty = spark.createDataFrame([(100, None), (101, "")], "doc_id bigint, text string")
+    docs = raw.unionByName(empty)
+    names = ["quality", "word_toxic", "pair_quality"]
+    found = ngram.split_looked_up(docs, model, names, "doc_id")
+    assert not any(word in plans["settled-segments"] for word in ("Exchange hash", "Sort", "Aggregate"))
+    want = ngram.looked_up(docs, model, names, "doc_id").fillna(0, names)
+    assert found.fillna(0, names).select(want.columns).exceptAll(want).isEmpty() and found.count() == want.count()
