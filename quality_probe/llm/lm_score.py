@@ -5,8 +5,8 @@ and the word; GLUE before it takes the blank away, TITLE makes its first letter
 spelled as the bits of a Huffman code. For every bit, predictors look up how often it was 0 and 1 in the
 training texts at the same node of the code after the same last one, two or four symbols; node and context are hashed into SLOTS slots. The log odds are weighed by a weight vector that a
 gate (depth in the code, confidence) selects; a logistic function gives the bit's probability. Weights
-start alike for every text and learn from its own bits, block by block, so a text's score depends on the
-training corpus and on the text alone.
+start alike for every text and learn from each of its bits before the next, so a text's score depends on the
+training corpus and on the text alone. The texts of a batch go on side by side, a bit of each at a time.
 
 Counts cover all training texts: each task counts its texts, slots are summed over tasks in two rounds.
 Words are counted exactly; the FREQUENT most frequent are looked up where the text is read, all others
@@ -15,7 +15,6 @@ meet their counts in a join, so the model's word table need not fit anywhere.
 
 import heapq
 import math
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -41,13 +40,16 @@ CLIP = 8.0
 DEPTHS = 8
 GATES = 2 * DEPTHS
 CONFIDENT = 2.0
-START, BIAS, RATE, BLOCK = 0.5, 0.3, 12.0, 2048
+START, BIAS, RATE = 0.5, 0.3, 12.0 / 2048
+SCALE = math.sqrt(RATE)
 LARGEST = np.float32(15)  # logit
 LEAST = 1e-6  # least probability of a bit
 PIECE = 1 << 19
+TOGETHER = 1 << 24  # bytes of texts that are mixed together
+EVENTS, LEAST_STEPS, MOST_STEPS = 1 << 19, 64, 4096  # of a window
 KEEP = 1 << 20  # counted words a task holds before it passes them on
 SYMBOL_FACTOR, NODE_FACTOR, SLOT_FACTOR = np.uint32(0xCC9E2D51), np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
-FIRST_CELL = np.arange(BLOCK) * GATES
+TURNS = np.repeat(np.array([1, -1], np.float32), DEPTHS) * np.float32(SCALE / 2)  # of a kind
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -116,7 +118,7 @@ def counted(training: DataFrame) -> DataFrame:
 class Code:
     """A Huffman code of the symbols, by their counts, and the words that are symbols.
 
-    `first` has for each symbol where its bits, nodes and gates begin in `bit`, `node` and `gate`.
+    `first` has for each symbol where its bits, nodes and kinds (gate, then bit) begin in `bit`, `node` and `kind`.
     """
 
     def __init__(self, byte_counts: dict, texts: int, keys: np.ndarray, counts: np.ndarray, tokens: int):
@@ -147,7 +149,8 @@ class Code:
         self.bit = np.array(bits, np.uint8)
         self.first = np.cumsum(self.length) - self.length
         depth = np.arange(len(bits)) - np.repeat(self.first, self.length)
-        self.gate = np.minimum(depth, DEPTHS - 1).astype(np.int32)  # of the node, as far as its depth decides
+        gate = np.minimum(depth, DEPTHS - 1)  # of the node, as far as its depth decides
+        self.kind = (gate + DEPTHS * self.bit).astype(np.uint8)
 
 
 def symbols_of(data: np.ndarray, borders: np.ndarray, words: tuple, code: Code) -> tuple:
@@ -225,6 +228,11 @@ def events(code: Code, symbols: np.ndarray, contexts: list) -> tuple:
     return code.bit.take(place), place, slots, first
 
 
+def unpacked(blob: bytes) -> np.ndarray:
+    """(CHUNK, 2) counts of a packed row."""
+    return np.frombuffer(pa.decompress(blob, CHUNK * 16, codec="zstd", asbytes=True), np.int64).reshape(-1, 2)
+
+
 def slot_counts(training: DataFrame, code) -> DataFrame:
     """(chunk, counts): occurrences of 0 and 1 in each slot, CHUNK slots of a predictor in a row.
 
@@ -254,14 +262,14 @@ def slot_counts(training: DataFrame, code) -> DataFrame:
                 yield packed_rows([(k * (1 << SLOT_BITS) + at) // CHUNK], [both[k, at : at + CHUNK]])
 
     def packed_rows(numbers, arrays):
-        blobs = [zlib.compress(np.ascontiguousarray(a, np.int64).tobytes(), 1) for a in arrays]
+        blobs = [pa.compress(np.ascontiguousarray(a, np.int64).tobytes(), codec="zstd", asbytes=True) for a in arrays]
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], names=["chunk", "counts"])
 
     def add(batches):
         sums = {}
         for batch in batches:
             for chunk, blob in zip(batch.column("chunk").to_pylist(), batch.column("counts").to_pylist(), strict=True):
-                one = np.frombuffer(zlib.decompress(blob), np.int64).reshape(-1, 2)
+                one = unpacked(blob)
                 sums[chunk] = sums[chunk] + one if chunk in sums else one
         for chunk, total in sums.items():
             yield packed_rows([chunk], [total])
@@ -277,59 +285,99 @@ def log_odds(counts: list) -> np.ndarray:
     out = np.zeros((PREDICTORS, 1 << SLOT_BITS), np.float32)
     flat_out = out.reshape(-1)
     for chunk, blob in counts:
-        n = np.frombuffer(zlib.decompress(blob), np.int64).reshape(-1, 2)
+        n = unpacked(blob)
         flat_out[chunk * CHUNK : (chunk + 1) * CHUNK] = np.log((n[:, 1] + SMOOTH) / (n[:, 0] + SMOOTH))
     return np.clip(out, -CLIP, CLIP)
 
 
-def mixed_bits(signs, gates, odds, weights) -> float:
-    """Total bits of a run of one text's events, learning `weights` (GATES, inputs) on the way."""
-    total = 0.0
-    for at in range(0, len(signs), BLOCK):
-        to = at + BLOCK
-        x, sign = odds[at:to], signs[at:to]
-        cell = FIRST_CELL[: len(x)] + gates[at:to]  # of each event's gate in a table of events and gates
-        z = (x @ weights.T).ravel().take(cell)
-        z *= -sign
-        np.maximum(np.minimum(z, LARGEST, out=z), -LARGEST, out=z)
-        inverse = np.exp(z, out=z)
-        inverse += 1  # the inverse of the probability of the bit
-        total += float(np.log(np.minimum(inverse, np.float32(1 / LEAST))).sum())
-        wrong = np.zeros((len(x), GATES), np.float32)
-        wrong.reshape(-1)[cell] = (1 - 1 / inverse) * sign
-        weights += np.float32(RATE / BLOCK) * (wrong.T @ x)
-    return total / math.log(2)
-
-
-def text_bits(data: np.ndarray, borders: np.ndarray, words: tuple, code: Code, table: np.ndarray) -> np.ndarray:
-    """Total bits of each text of a piece, its end included."""
-    symbols, own = symbols_of(data, borders, words, code)
-    contexts = contexts_of(symbols, own)
-    out = np.zeros(len(borders) - 1)
-    row, run = 0, PIECE // 16
-    while row < len(out):  # whole texts, or runs of a long one
-        last = max(row + 1, int(np.searchsorted(own, own[row] + run, "right")) - 1)
-        weights = None
-        for at in range(int(own[row]), int(own[last]), run):
-            to = min(int(own[last]), at + run)
-            bits, places, slots, first = events(code, symbols[at:to], [c[at:to] for c in contexts])
-            odds = np.full((len(bits), PREDICTORS + 1), BIAS, np.float32)
-            for k, slot in enumerate(slots):
-                odds[:, k] = table[k].take(slot)
-            gates = code.gate.take(places)
-            gates[np.abs(odds[:, 1]) > CONFIDENT] += DEPTHS
-            signs = bits.astype(np.float32) * 2 - 1
-            for r in range(row, last):
-                low, high = max(int(own[r]), at), min(int(own[r + 1]), to)
-                if low >= high:
-                    continue
-                if low == own[r]:
-                    weights = np.full((GATES, PREDICTORS + 1), START, np.float32)
-                    weights[:, PREDICTORS] = 0
-                a, b = int(first[low - at]), int(first[high - at])
-                out[r] += mixed_bits(signs[a:b], gates[a:b], odds[a:b], weights)
-        row = last
-    return out
+def window(at: int, steps: int, begin: np.ndarray, size: np.ndarray, symbols, contexts, first, code: Code, table) -> tuple:
+    """(inputs, cells) of `steps` events from the `at`-th on of some texts, by event, then text.
+
+    `begin` and `size` are the texts' first events and their numbers. Inputs are those of `mixed`. What is beyond
+    a text's end has any value.
+    """
+    low = begin + at
+    high = begin + np.minimum(size, at + steps)
+    one, last = np.searchsorted(first, low, "right") - 1, np.searchsorted(first, high, "left") - 1
+    many = last - one + 1
+    ends = np.cumsum(many)
+    which = np.repeat(one - (ends - many), many) + np.arange(ends[-1])
+    at_event = first[which]
+    times = first[which + 1] - at_event
+    times[ends - many] -= low - first[one]
+    times[ends - 1] += low + steps - first[last + 1]  # cut, or filled up beyond the end
+    shape = (len(begin), steps)
+    place = np.repeat(code.first[symbols[which]] - at_event, times).reshape(shape)
+    place += low[:, None] + np.arange(steps)
+    if size[-1] < at + steps:
+        np.minimum(place, len(code.bit) - 1, out=place)
+    kind = np.ascontiguousarray(code.kind.take(place).T)
+    turn = TURNS.take(kind)
+    cells = (kind & np.uint8(DEPTHS - 1)).astype(np.int64)
+    cells += np.arange(len(begin)) * GATES
+    node = code.node.take(place).reshape(-1)
+    inputs = np.empty((steps, len(begin), PREDICTORS + 1), np.float32)
+    for k, context in enumerate(contexts):
+        slot = np.repeat(context[which], times)
+        slot ^= node
+        slot *= SLOT_FACTOR
+        slot >>= np.uint32(32 - SLOT_BITS)
+        odds = table[k].take(slot.reshape(shape).T)
+        if k == 1:
+            cells += (np.abs(odds) > CONFIDENT) * DEPTHS
+        np.multiply(odds, turn, out=inputs[:, :, k])
+    np.multiply(turn, np.float32(BIAS), out=inputs[:, :, PREDICTORS])
+    return inputs, cells
+
+
+def mixed(inputs: np.ndarray, cells: np.ndarray, active: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """(events, texts): half the log odds against each bit; `weights` learn from a bit before the next one is met.
+
+    A step goes over one bit of each text. `cells` are the rows of `weights` that each bit's gate selects; a text has
+    its own. `active` is how many texts have the event. An input is turned against its bit and has the factor
+    SCALE / 2; a weight is divided by SCALE, so it learns at the rate SCALE ** 2 without further factors.
+    """
+    half = np.zeros(cells.shape, np.float32)
+    rows = weights.view(np.complex128).reshape(-1)  # the four weights of a cell move as one value
+    for n, cell, x, z in zip(active.tolist(), cells, inputs, half, strict=True):
+        cell, x, z = cell[:n], x[:n], z[:n]
+        taken = rows.take(cell)
+        w = taken.view(np.float32).reshape(-1, PREDICTORS + 1)
+        product = w * x
+        np.add(product[:, 0], product[:, 1], out=z)
+        z += product[:, 2]
+        z += product[:, 3]
+        wrong = np.tanh(z)
+        wrong += 1  # twice the probability that was not given to the bit
+        w -= x * wrong.repeat(PREDICTORS + 1).reshape(x.shape)
+        rows[cell] = taken
+    return half
+
+
+def text_bits(symbols: np.ndarray, own: np.ndarray, contexts: list, code: Code, table: np.ndarray) -> np.ndarray:
+    """Total bits of each text, its end included; `own` has the texts' borders in `symbols`.
+
+    All texts go on together, bit by bit, the longest first, so that those left over are always the first ones.
+    """
+    first = np.append(0, np.cumsum(code.length[symbols]))
+    size = np.diff(first[own])
+    order = np.argsort(-size, kind="stable")
+    begin, size = first[own[:-1]][order], size[order]
+    weights = np.full((len(order) * GATES, PREDICTORS + 1), START / SCALE, np.float32)
+    weights[:, PREDICTORS] = 0
+    out = np.zeros(len(order))
+    at = 0
+    while len(size) and at < size[0]:
+        n = int(np.searchsorted(-size, -at))
+        steps = min(max(EVENTS // n, LEAST_STEPS), MOST_STEPS, int(size[0]) - at)
+        inputs, cells = window(at, steps, begin[:n], size[:n], symbols, contexts, first, code, table)
+        z = 2 * mixed(inputs, cells, np.searchsorted(-size, -np.arange(at, at + steps)), weights)
+        inverse = np.exp(np.clip(z, -LARGEST, LARGEST)) + 1  # the inverse of the probability of the bit
+        logs = np.log(np.minimum(inverse, np.float32(1 / LEAST)))
+        logs[np.arange(at, at + steps)[:, None] >= size[:n]] = 0
+        out[order[:n]] += logs.sum(axis=0, dtype=np.float64)
+        at += steps
+    return out / math.log(2)
 
 
 SHAPE = (
@@ -346,31 +394,43 @@ def looked_up(docs: DataFrame, code, table, frequent) -> DataFrame:
         odds = table.value
         logs = np.log10(counts + 1.0)
         for batch in batches:
-            for at, part in W.pieces(W.filled(batch.column("text")), PIECE):
-                n = len(part)
-                data, borders = W.flat(part)
-                found = words_of(data, borders)
-                rows, distinct, which = found[2:]
-                words = distinct[which]
-                place, hit = (at_word[which] for at_word in places_in(keys, distinct))
-                known = np.bincount(rows[hit], minlength=n)
-                total = np.bincount(rows[hit], weights=logs[place[hit]], minlength=n)
-                order = np.lexsort((words[~hit], rows[~hit]))
-                rare, owner = words[~hit][order], rows[~hit][order]
-                first = np.ones(len(rare), dtype=bool)
-                first[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
-                begin = np.flatnonzero(first)
-                times = np.diff(np.append(begin, len(rare))).astype(np.int32)
-                listed = pa.ListArray.from_arrays(
-                    pa.array(np.searchsorted(owner[begin], np.arange(n + 1)), pa.int32()),
-                    pa.StructArray.from_arrays([pa.array(rare[begin]), pa.array(times)], names=["key", "n"]),
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id").slice(at, n), batch.column("doc_id").slice(at, n), batch.column("held_out").slice(at, n),
-                     pa.array(np.bincount(rows, minlength=n) + 1), pa.array(np.diff(borders)),
-                     pa.array(text_bits(data, borders, found, code.value, odds)), pa.array(known), pa.array(total), listed],
-                    names=["_id", "doc_id", "held_out", "n_tokens", "n_bytes", "bits", "known", "logs", "rare"],
-                )
+            for start, group in W.pieces(W.filled(batch.column("text")), TOGETHER):
+                held, runs = [], []
+                for at, part in W.pieces(group, PIECE):
+                    data, borders = W.flat(part)
+                    found = words_of(data, borders)
+                    symbols, own = symbols_of(data, borders, found, code.value)
+                    runs.append((symbols.astype(np.int32), np.diff(own), contexts_of(symbols, own)))
+                    held.append((start + at, len(part), base_columns(borders, found, keys, logs)))
+                symbols, sizes, *contexts = (np.concatenate(c) for c in zip(*((s, n, *c) for s, n, c in runs), strict=True))
+                del runs
+                bits = text_bits(symbols, np.append(0, np.cumsum(sizes)), contexts, code.value, odds)
+                for at, n, (tokens, n_bytes, known, total, listed) in held:
+                    own_bits = pa.array(bits[at - start : at - start + n])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column(c).slice(at, n) for c in ("_id", "doc_id", "held_out")]
+                        + [tokens, n_bytes, own_bits, known, total, listed],
+                        names=["_id", "doc_id", "held_out", "n_tokens", "n_bytes", "bits", "known", "logs", "rare"],
+                    )
+
+    def base_columns(borders, found, keys, logs):
+        n = len(borders) - 1
+        rows, distinct, which = found[2:]
+        words = distinct[which]
+        place, hit = (at_word[which] for at_word in places_in(keys, distinct))
+        known = np.bincount(rows[hit], minlength=n)
+        total = np.bincount(rows[hit], weights=logs[place[hit]], minlength=n)
+        order = np.lexsort((words[~hit], rows[~hit]))
+        rare, owner = words[~hit][order], rows[~hit][order]
+        first = np.ones(len(rare), dtype=bool)
+        first[1:] = (rare[1:] != rare[:-1]) | (owner[1:] != owner[:-1])
+        begin = np.flatnonzero(first)
+        times = np.diff(np.append(begin, len(rare))).astype(np.int32)
+        listed = pa.ListArray.from_arrays(
+            pa.array(np.searchsorted(owner[begin], np.arange(n + 1)), pa.int32()),
+            pa.StructArray.from_arrays([pa.array(rare[begin]), pa.array(times)], names=["key", "n"]),
+        )
+        return pa.array(np.bincount(rows, minlength=n) + 1), pa.array(np.diff(borders)), pa.array(known), pa.array(total), listed
 
     return docs.mapInArrow(score, SHAPE.format(kind=docs.schema["doc_id"].dataType.simpleString()))
 
