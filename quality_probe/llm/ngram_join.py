@@ -7,7 +7,9 @@ average, and a class goes to one child for each drawn coordinate, the child of i
 classes of that similarity are expected to share a child at every level. Buckets of up to BUCKET classes
 are compared by brute force on sketches; RUNS independent runs reach the target recall. A larger bucket that
 kept more than DENSE of its parent's classes will not split further, as its classes are alike: all of
-them are linked to one member.
+them are linked to one member. Of another large bucket the least member leads; if over half of the classes have
+a sketch like its own, these are linked to it, with all classes that are like any of them, and leave before
+the bucket is split, so a large group of near copies is not carried down.
 
 What the buckets link are candidates only. Their connected components are read again from the texts, and
 within each component every pair is compared exactly, in blocks, so links are neither estimated nor
@@ -33,6 +35,8 @@ BUCKET = 32
 DENSE = 0.5
 DEPTH = 10
 SKETCH_SLACK = 0.2  # four standard deviations of a sketch of 64 coordinates
+ALIKE = 39  # least number of equal bytes in two sketches that agree in SIMILARITY - SKETCH_SLACK
+NEAR = 2 * ALIKE - COORDINATES  # what is like a sketch that is ALIKE to the leader's has as many bytes of the leader's
 BLOCK = 512
 SMALL = 24  # sets compared one by one
 
@@ -224,6 +228,26 @@ def with_sketch(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(add, "_id bigint, path bigint, sketch binary")
 
 
+def led(large: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """(_id, path, size, _lead, equal): the classes of large buckets and how many bytes of the leader's sketch they share."""
+
+    def compare(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own, other = (as_minima(batch.column(c)).astype(np.uint8) for c in ("mins", "_mins"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(c) for c in ("_id", "path", "size", "_lead")]
+                + [pa.array((own == other).sum(axis=1).astype(np.int32))],
+                names=["_id", "path", "size", "_lead", "equal"],
+            )
+
+    leaders = large.join(classes.withColumnRenamed("_id", "_lead").withColumnRenamed("mins", "_mins"), "_lead")
+    kept = rows.select("_id", "path").join(leaders, "path").repartition("_id")  # a large bucket leaves its one task
+    kept = kept.join(classes, "_id").select("_id", "path", "size", "_lead", "mins", "_mins")
+    return kept.mapInArrow(compare, "_id bigint, path bigint, size bigint, _lead bigint, equal int")
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b) links between classes (_id, mins) that may be similar: a forest for each bucket."""
     least = SIMILARITY - SKETCH_SLACK
@@ -242,12 +266,18 @@ def candidates(classes: DataFrame) -> DataFrame:
         links = links.union(star.select(F.col("_id").alias("a"), F.col("_least").alias("b")))
         links = written(links.distinct(), "links")
         found = links if found is None else found.union(links)
-        large = sizes.where("kind = 'large'").select("path", "size")
+        large = sizes.where("kind = 'large'").select("path", "size", F.col("_least").alias("_lead"))
         if not large.limit(1).count():
             break
-        kept = rows.select("_id", "path").join(large, "path").repartition("_id")  # a large bucket leaves its one task
-        kept = kept.join(classes, "_id").select("_id", "path", "size", "mins")
-        rows = written(split(kept, roots=False), "paths")
+        inside = written(led(large, rows, classes), "led")
+        tight = inside.where(f"equal >= {ALIKE}").groupBy("path").agg(F.count("*").alias("alike"), F.max("size").alias("of"))
+        tight = tight.where("2 * alike > of").select("path", "alike")
+        inside = written(inside.join(tight, "path", "left"), "led")
+        around = inside.where(f"alike IS NOT NULL AND equal >= {NEAR} AND _id <> _lead")
+        found = found.union(around.select(F.col("_id").alias("a"), F.col("_lead").alias("b")))
+        left = inside.where(f"alike IS NULL OR equal < {ALIKE}")
+        left = left.select("_id", "path", F.expr("size - coalesce(alike, 0) AS size")).join(classes, "_id")
+        rows = written(split(left.select("_id", "path", "size", "mins"), roots=False), "paths")
     return found
 
 
