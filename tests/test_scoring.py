@@ -274,3 +274,46 @@ def test_segments_are_settled_without_a_sort_or_shuffle(spark, raw, model, monke
     assert not any(word in plans["settled-segments"] for word in ("Exchange hash", "Sort", "Aggregate"))
     want = ngram.looked_up(docs, model, names, "doc_id").fillna(0, names)
     assert found.fillna(0, names).select(want.columns).exceptAll(want).isEmpty() and found.count() == want.count()
+
+
+def test_packed_vocabulary_gives_the_same(spark, raw, labels, tricky, monkeypatch):
+    """Counted and looked up by hash, in runs of few grams: the model, all ratios and the segments are the same."""
+    docs = raw.unionByName(tricky).unionByName(spark.createDataFrame([(100, None), (101, "")], raw.schema)).repartition(3)
+    marks = labels.unionByName(spark.createDataFrame([(25, None, 1), (26, 2, 0)], labels.schema))
+    model = ngram.train(docs, marks)
+    small = score_signals(docs, model, carry=("doc_id",), exact=True)
+    monkeypatch.setattr(ngram, "PACKED_BYTES", 0)
+    for run, hot in ((7, 0), (100, 1), (10**6, 128)):
+        monkeypatch.setattr(ngram.packed, "PACKED_RUN", run)
+        monkeypatch.setattr(ngram.packed, "HOT", hot)
+        large = ngram.train(docs, marks)
+        assert large.vocabulary is not None and large.cells.exceptAll(model.cells).isEmpty()
+        assert {k: {n: v for n, v in t.items() if n != "bytes"} for k, t in model.totals.items()} == large.totals
+        found = score_signals(docs, large, carry=("doc_id",), exact=True)
+        assert small.exceptAll(found).isEmpty() and found.count() == small.count()
+    names = list(WEIGHTS)
+    words = ngram.tokens(F.col("text"))
+    found = ngram.packed.summed(docs, large.vocabulary, words, "doc_id", names, large.lift_numbers(names), [ngram.ALL, ngram.BIGRAMS, ngram.UNIGRAMS])
+    want = ngram.looked_up(docs, model, names, "doc_id").fillna(0, names)
+    assert found.select(want.columns).exceptAll(want).isEmpty() and found.count() == want.count()
+
+
+def test_packed_rows_carry_no_gram(spark, raw, labels, monkeypatch):
+    """No plan explodes, sorts or shuffles grams, and a gram is asked for once a run."""
+    plans, tables = [], {}
+    true_written = ngram.packed.written
+
+    def spied(df, name):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return tables.setdefault(name, true_written(df, name))
+
+    monkeypatch.setattr(ngram, "PACKED_BYTES", 0)
+    monkeypatch.setattr(ngram.packed, "HOT", 0)
+    monkeypatch.setattr(ngram.packed, "written", spied)
+    model = ngram.train(raw, labels)
+    found = score_signals(raw.coalesce(1), model, carry=("doc_id",))
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert not any("Generate" in plan or "SortMergeJoin" in plan for plan in plans)
+    asked = tables["packed-segments"].filter("bucket >= 0").agg(F.sum(F.octet_length("keys")) / 8).first()[0]
+    want = ngram.occurrences(raw, "doc_id").filter("gram IS NOT NULL").select("gram").distinct().count()
+    assert found.count() == 40 and asked == want
