@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from quality_probe.llm import words as W
 from quality_probe.llm.components import components
-from quality_probe.operators.sizes import broadcast_if_small, is_small
+from quality_probe.operators.sizes import broadcast_if_small, gathered, is_small
 from quality_probe.scratch import written
 
 SIZE = 5
@@ -39,6 +39,7 @@ ALIKE = 39  # least number of equal bytes in two sketches that agree in SIMILARI
 NEAR = 2 * ALIKE - COORDINATES  # what is like a sketch that is ALIKE to the leader's has as many bytes of the leader's
 BLOCK = 512
 SMALL = 24  # sets compared one by one
+MEMBERS_A_TASK = 1 << 12  # of small buckets, at least
 
 SEEDS = W.mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64))
 SETS = "_id bigint, doc_id bigint, class_a bigint, class_b bigint, n bigint, mins binary"
@@ -177,7 +178,7 @@ class Forest:
         return [(x, self.root(x)) for x in self.up if self.root(x) != x]
 
 
-def compared(buckets: DataFrame, least: float) -> DataFrame:
+def compared(buckets: DataFrame, least: float, rows: int) -> DataFrame:
     """(a, b): a spanning forest of the pairs in each small bucket whose sketches agree in `least`."""
 
     def compare(batches):
@@ -213,7 +214,8 @@ def compared(buckets: DataFrame, least: float) -> DataFrame:
             [pa.array([e[0] for e in found], pa.int64()), pa.array([e[1] for e in found], pa.int64())], names=["a", "b"]
         )
 
-    return buckets.repartition("path").sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint")
+    dealt = gathered(buckets.repartition("path"), rows, MEMBERS_A_TASK)
+    return dealt.sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint")
 
 
 def with_sketch(rows: DataFrame) -> DataFrame:
@@ -259,15 +261,16 @@ def candidates(classes: DataFrame) -> DataFrame:
         ).where("size > 1")
         dense = (F.col("size") > DENSE * F.col("parent")) | F.lit(depth + 1 == DEPTH)
         kind = F.when(F.col("size") <= BUCKET, "small").when(dense, "dense").otherwise("large")
-        sizes = written(sizes.withColumn("kind", kind).drop("parent"), "path-sizes")
+        sizes = written(gathered(sizes.withColumn("kind", kind).drop("parent"), rows.count()), "path-sizes")
+        n = dict(sizes.groupBy("kind").agg(F.sum("size")).collect())  # three rows at most
         small = rows.join(sizes.where("kind = 'small'").select("path"), "path")
-        links = compared(with_sketch(small.join(classes, "_id").select("_id", "path", "mins")), least)
+        links = compared(with_sketch(small.join(classes, "_id").select("_id", "path", "mins")), least, n.get("small", 0))
         star = rows.join(sizes.where("kind = 'dense'").select("path", "_least"), "path").where("_id <> _least")
         links = links.union(star.select(F.col("_id").alias("a"), F.col("_least").alias("b")))
-        links = written(links.distinct(), "links")
+        links = written(gathered(links.distinct(), n.get("small", 0) + n.get("dense", 0)), "links")
         found = links if found is None else found.union(links)
         large = sizes.where("kind = 'large'").select("path", "size", F.col("_least").alias("_lead"))
-        if not large.limit(1).count():
+        if "large" not in n:
             break
         inside = written(led(large, rows, classes), "led")
         tight = inside.where(f"equal >= {ALIKE}").groupBy("path").agg(F.count("*").alias("alike"), F.max("size").alias("of"))
@@ -412,8 +415,9 @@ def joined(docs: DataFrame) -> DataFrame:
     reps = written(reps, "class-minima")
 
     near = components(candidates(reps))
-    sizes = near.groupBy("root").agg(F.count("*").alias("size"))
-    members = near.join(sizes, "root").select(
+    n_near = near.count()
+    sizes = gathered(near.groupBy("root").agg(F.count("*").alias("size")), n_near)
+    members = gathered(near.join(sizes, "root"), n_near).select(
         F.col("node").alias("_id"), F.col("root").alias("_root"),
         F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks").cast("bigint")).cast("int"))

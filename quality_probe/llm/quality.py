@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quality_probe.llm import words as W
-from quality_probe.operators.sizes import broadcast_if_small
+from quality_probe.operators.sizes import BROADCAST_ROWS, broadcast_if_small, gathered
 from quality_probe.scratch import written
 
 MIN_WORDS = 50
@@ -41,6 +41,7 @@ MIN_GROUP = 100  # smaller groups share their language's estimate, then one for
 ALL = "all"
 CUT = 22.46  # 99.9 % quantile of chi2(6)
 ACCURACY = 2000
+STARTS_A_TASK = 32  # whose sums and limits one task puts together
 KEYS = ["_group", "_start"]
 ESTIMATE = "_group string, _start int, centre array<double>, inverse array<double>"
 
@@ -272,20 +273,17 @@ def estimates(rows: DataFrame) -> DataFrame:
     rows = written(rows.select("_group", "_copy", *DIMENSIONS).distinct(), "mcd-rows")
     starts = started(rows).unionByName(sampled_starts(rows))
     found = written(starts.select("*", F.lit(math.inf).alias("log_det"), F.lit(True).alias("falls")), "mcd")
-    while not found.where("falls").isEmpty():
+    while left := found.where("falls").count():
         falling = found.where("falls").select(*KEYS, "centre", "inverse")
-        near = rows.join(broadcast_if_small(falling), "_group").withColumn("_d", distance())
+        sent = F.broadcast if left <= BROADCAST_ROWS else lambda df: df
+        near = rows.join(sent(falling), "_group").withColumn("_d", distance())
         limits = near.groupBy(*KEYS).agg(F.percentile_approx("_d", COVERAGE, ACCURACY).alias("_limit"))
-        limited = falling.join(limits, KEYS)
-        kept = (
-            rows.join(broadcast_if_small(written(limited, "mcd-limits")), "_group")
-            .withColumn("_d", distance())
-            .where("_d <= _limit")
-        )
-        stepped = inverted(product_sums(kept))
+        limited = written(falling.join(sent(gathered(limits, left, STARTS_A_TASK)), KEYS), "mcd-limits")
+        kept = rows.join(sent(limited), "_group").withColumn("_d", distance()).where("_d <= _limit")
+        stepped = inverted(gathered(product_sums(kept), left, STARTS_A_TASK))
         better = F.coalesce(F.col("s.log_det") < F.col("f.log_det") - FALL, F.lit(False))
         found = written(
-            found.alias("f").join(stepped.alias("s"), KEYS, "left").select(
+            found.alias("f").join(sent(stepped).alias("s"), KEYS, "left").select(
                 *KEYS, *[F.when(better, F.col(f"s.{c}")).otherwise(F.col(f"f.{c}")).alias(c)
                          for c in ("centre", "inverse", "log_det")],
                 better.alias("falls"),
