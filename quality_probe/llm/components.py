@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quality_probe.operators.sizes import gathered
-from quality_probe.scratch import written
+from quality_probe.scratch import removed, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,9 @@ def components(edges: DataFrame) -> DataFrame:
             "node", "root", F.least("new", F.coalesce("_far", "new")).alias("new")
         )
         jumped = written(gathered(jumped, size), "labels")
+        removed(labels, moved)
         changed = jumped.where("new <> root").limit(1).count()
         labels = jumped.select("node", F.col("new").alias("root"))
         if not changed:
+            removed(both)
             return labels

@@ -13,9 +13,15 @@ the bucket is split, so a large group of near copies is not carried down.
 
 What the buckets link are candidates only. Their connected components are read again from the texts, and
 within each component every pair is compared exactly, in blocks, so links are neither estimated nor
-lost there, and no pair is ever written out: tasks return link counts and a spanning forest.
+lost there, and no pair is ever written out: tasks return link counts and a spanning forest. Sets whose
+sizes alone rule a link out are not counted through.
+
+Disk follows the rows, not their pairs: buckets are dealt out ROWS at a time, blocks hold as many sets as a
+task can, and block pairs are read SHIPPED bytes at a time. What a part has shuffled goes when it is done.
 """
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,7 +30,7 @@ from pyspark.sql import functions as F
 from quality_probe.llm import words as W
 from quality_probe.llm.components import components
 from quality_probe.operators.sizes import broadcast_if_small, gathered, is_small
-from quality_probe.scratch import written
+from quality_probe.scratch import removed, written
 
 SIZE = 5
 SIMILARITY = 0.8
@@ -37,7 +43,11 @@ DEPTH = 10
 SKETCH_SLACK = 0.2  # four standard deviations of a sketch of 64 coordinates
 ALIKE = 39  # least number of equal bytes in two sketches that agree in SIMILARITY - SKETCH_SLACK
 NEAR = 2 * ALIKE - COORDINATES  # what is like a sketch that is ALIKE to the leader's has as many bytes of the leader's
-BLOCK = 512
+ROWS = 1 << 24  # classes in buckets, of one part of a level
+BLOCK = 512  # sets compared at once
+MEMBERS, HASHES = 1 << 12, 1 << 20  # sets of a component that one task holds, and hashes of these, about
+SHIPPED = 1 << 31  # bytes of sets on their way to tasks, or SHARE of all sets if that is more
+SHARE = 0.25
 SMALL = 24  # sets compared one by one
 MEMBERS_A_TASK = 1 << 12  # of small buckets, at least
 
@@ -199,7 +209,7 @@ def compared(buckets: DataFrame, least: float, rows: int) -> DataFrame:
         forest = Forest()
         path, ids = table.column("path").to_numpy(), table.column("_id").to_numpy()
         if len(ids):
-            sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint8).reshape(-1, COORDINATES)
+            sketch = as_sketches(table.column("sketch"))
             step = 1
             while step < len(path):
                 left = np.flatnonzero(path[step:] == path[:-step])
@@ -218,70 +228,99 @@ def compared(buckets: DataFrame, least: float, rows: int) -> DataFrame:
     return dealt.sortWithinPartitions("path").mapInArrow(compare, "a bigint, b bigint")
 
 
-def with_sketch(rows: DataFrame) -> DataFrame:
+def with_sketch(classes: DataFrame) -> DataFrame:
     def add(batches):
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("_id"), batch.column("path"), sketched(as_minima(batch.column("mins")))],
-                    names=["_id", "path", "sketch"],
+                    [batch.column("_id"), sketched(as_minima(batch.column("mins")))], names=["_id", "sketch"]
                 )
 
-    return rows.mapInArrow(add, "_id bigint, path bigint, sketch binary")
+    return classes.select("_id", "mins").mapInArrow(add, "_id bigint, sketch binary")
+
+
+def as_sketches(column) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
-def led(large: DataFrame, rows: DataFrame, classes: DataFrame) -> DataFrame:
+def led(large: DataFrame, rows: DataFrame, sketches: DataFrame) -> DataFrame:
     """(_id, path, size, _lead, equal): the classes of large buckets and how many bytes of the leader's sketch they share."""
 
     def compare(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            own, other = (as_minima(batch.column(c)).astype(np.uint8) for c in ("mins", "_mins"))
+            own, other = (as_sketches(batch.column(c)) for c in ("sketch", "_sketch"))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("_id", "path", "size", "_lead")]
                 + [pa.array((own == other).sum(axis=1).astype(np.int32))],
                 names=["_id", "path", "size", "_lead", "equal"],
             )
 
-    leaders = large.join(classes.withColumnRenamed("_id", "_lead").withColumnRenamed("mins", "_mins"), "_lead")
+    leaders = large.join(sketches.withColumnRenamed("_id", "_lead").withColumnRenamed("sketch", "_sketch"), "_lead")
     kept = rows.select("_id", "path").join(leaders, "path").repartition("_id")  # a large bucket leaves its one task
-    kept = kept.join(classes, "_id").select("_id", "path", "size", "_lead", "mins", "_mins")
+    kept = kept.join(sketches, "_id").select("_id", "path", "size", "_lead", "sketch", "_sketch")
     return kept.mapInArrow(compare, "_id bigint, path bigint, size bigint, _lead bigint, equal int")
 
 
+def level(rows: DataFrame, n_rows: int, classes: DataFrame, sketches: DataFrame, last: bool) -> tuple:
+    """(links, children): tables of links (a, b) of these buckets, and the rows below the large ones, None without any."""
+    least = SIMILARITY - SKETCH_SLACK
+    sizes = rows.groupBy("path").agg(
+        F.count("*").alias("size"), F.min("_id").alias("_least"), F.max("parent").alias("parent")
+    ).where("size > 1")
+    dense = (F.col("size") > DENSE * F.col("parent")) | F.lit(last)
+    kind = F.when(F.col("size") <= BUCKET, "small").when(dense, "dense").otherwise("large")
+    sizes = written(gathered(sizes.withColumn("kind", kind).drop("parent"), n_rows), "path-sizes")
+    n = dict(sizes.groupBy("kind").agg(F.sum("size")).collect())  # three rows at most
+    small = rows.join(sizes.where("kind = 'small'").select("path"), "path")
+    links = compared(small.join(sketches, "_id").select("_id", "path", "sketch"), least, n.get("small", 0))
+    star = rows.join(sizes.where("kind = 'dense'").select("path", "_least"), "path").where("_id <> _least")
+    links = links.union(star.select(F.col("_id").alias("a"), F.col("_least").alias("b")))
+    links = written(gathered(links.distinct(), n.get("small", 0) + n.get("dense", 0)), "links")
+    if "large" not in n:
+        removed(sizes)
+        return [links], None
+    large = sizes.where("kind = 'large'").select("path", "size", F.col("_least").alias("_lead"))
+    inside = written(led(large, rows, sketches), "led")
+    tight = inside.where(f"equal >= {ALIKE}").groupBy("path").agg(F.count("*").alias("alike"), F.max("size").alias("of"))
+    tight = tight.where("2 * alike > of").select("path", "alike")
+    judged = written(inside.join(tight, "path", "left"), "led")
+    around = judged.where(f"alike IS NOT NULL AND equal >= {NEAR} AND _id <> _lead")
+    around = around.select(F.col("_id").alias("a"), F.col("_lead").alias("b"))
+    around = written(gathered(around.distinct(), n["large"]), "links")
+    left = judged.where(f"alike IS NULL OR equal < {ALIKE}")
+    left = left.select("_id", "path", F.expr("size - coalesce(alike, 0) AS size")).join(classes, "_id")
+    children = written(split(left.select("_id", "path", "size", "mins"), roots=False), "paths")
+    removed(sizes, inside, judged)
+    return [links, around], children
+
+
 def candidates(classes: DataFrame) -> DataFrame:
     """(a, b) links between classes (_id, mins) that may be similar: a forest for each bucket."""
-    least = SIMILARITY - SKETCH_SLACK
-    found = None
-    rows = written(split(classes, roots=True), "paths")
+    sketches = written(with_sketch(classes), "sketches")
+    found, tables = [], [written(split(classes, roots=True), "paths")]
     for depth in range(DEPTH):
-        sizes = rows.groupBy("path").agg(
-            F.count("*").alias("size"), F.min("_id").alias("_least"), F.max("parent").alias("parent")
-        ).where("size > 1")
-        dense = (F.col("size") > DENSE * F.col("parent")) | F.lit(depth + 1 == DEPTH)
-        kind = F.when(F.col("size") <= BUCKET, "small").when(dense, "dense").otherwise("large")
-        sizes = written(gathered(sizes.withColumn("kind", kind).drop("parent"), rows.count()), "path-sizes")
-        n = dict(sizes.groupBy("kind").agg(F.sum("size")).collect())  # three rows at most
-        small = rows.join(sizes.where("kind = 'small'").select("path"), "path")
-        links = compared(with_sketch(small.join(classes, "_id").select("_id", "path", "mins")), least, n.get("small", 0))
-        star = rows.join(sizes.where("kind = 'dense'").select("path", "_least"), "path").where("_id <> _least")
-        links = links.union(star.select(F.col("_id").alias("a"), F.col("_least").alias("b")))
-        links = written(gathered(links.distinct(), n.get("small", 0) + n.get("dense", 0)), "links")
-        found = links if found is None else found.union(links)
-        large = sizes.where("kind = 'large'").select("path", "size", F.col("_least").alias("_lead"))
-        if "large" not in n:
+        rows = reduce(DataFrame.union, tables)
+        n_rows = rows.count()
+        parts = max(1, -(-n_rows // ROWS))
+        links, below = [], []
+        for part in range(parts):
+            own = rows.where(F.pmod(F.xxhash64("path"), F.lit(parts)) == part) if parts > 1 else rows
+            made, children = level(own, -(-n_rows // parts), classes, sketches, depth + 1 == DEPTH)
+            links += made
+            below += [] if children is None else [children]
+        if parts > 1:
+            found.append(written(reduce(DataFrame.union, links).distinct(), "links"))
+            removed(*links)
+        else:
+            found += links
+        removed(*tables)
+        tables = below
+        if not tables:
             break
-        inside = written(led(large, rows, classes), "led")
-        tight = inside.where(f"equal >= {ALIKE}").groupBy("path").agg(F.count("*").alias("alike"), F.max("size").alias("of"))
-        tight = tight.where("2 * alike > of").select("path", "alike")
-        inside = written(inside.join(tight, "path", "left"), "led")
-        around = inside.where(f"alike IS NOT NULL AND equal >= {NEAR} AND _id <> _lead")
-        found = found.union(around.select(F.col("_id").alias("a"), F.col("_lead").alias("b")))
-        left = inside.where(f"alike IS NULL OR equal < {ALIKE}")
-        left = left.select("_id", "path", F.expr("size - coalesce(alike, 0) AS size")).join(classes, "_id")
-        rows = written(split(left.select("_id", "path", "size", "mins"), roots=False), "paths")
-    return found
+    removed(sketches)
+    return reduce(DataFrame.union, found)
 
 
 def intersections(left: list, right: list) -> np.ndarray:
@@ -313,6 +352,22 @@ def similar(left: list, right: list) -> np.ndarray:
     return np.argwhere(common.astype(np.int64) * (OF + PARTS) >= OF * sizes)
 
 
+def pairs(left: list, right: list | None = None):
+    """Index pairs of similar sets, of which the smaller has OF / PARTS of the larger's size at least.
+
+    Both lists are in order of size; without `right`, pairs within `left`.
+    """
+    own, right = right is None, left if right is None else right
+    for x in range(0, len(left), BLOCK):
+        some = left[x : x + BLOCK]
+        for y in range(x if own else 0, len(right), BLOCK):
+            other = right[y : y + BLOCK]
+            if PARTS * len(some[-1]) < OF * len(other[0]) or PARTS * len(other[-1]) < OF * len(some[0]):
+                continue
+            found = similar(some, other)
+            yield from ((found if not own or x < y else found[found[:, 0] < found[:, 1]]) + [x, y]).tolist()
+
+
 def verified(sets: DataFrame) -> DataFrame:
     """(a, b, links): link counts (b null) and a spanning forest (links 0) of each pair of blocks.
 
@@ -335,15 +390,11 @@ def verified(sets: DataFrame) -> DataFrame:
     def verify(batches):
         out = []
         for (_, i, j), rows in grouped(batches):
+            rows.sort(key=lambda r: len(r[2]))
             left = [r for r in rows if r[1] == i]
             right = left if i == j else [r for r in rows if r[1] == j]
-            if not left or not right:
-                continue
-            pairs = similar([r[2] for r in left], [r[2] for r in right])
-            if i == j:
-                pairs = pairs[pairs[:, 0] < pairs[:, 1]]
             forest, counts = Forest(), {}
-            for x, y in pairs.tolist():
+            for x, y in pairs([r[2] for r in left], None if i == j else [r[2] for r in right]):
                 a, b = left[x][0], right[y][0]
                 forest.join(a, b)
                 counts[a] = counts.get(a, 0) + 1
@@ -372,8 +423,8 @@ def numbered(docs: DataFrame) -> DataFrame:
     )
 
 
-def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """Blocks of `members` (_id, _root, block, blocks) with their sets, once for each pair of blocks."""
+def with_shingles(docs: DataFrame, members: DataFrame, part: int = 0, parts: int = 1) -> DataFrame:
+    """Blocks of `members` (_id, _root, block, blocks) with their sets, once for each pair of blocks of this part."""
 
     def read(batches):
         for batch in batches:
@@ -387,16 +438,29 @@ def with_shingles(docs: DataFrame, members: DataFrame) -> DataFrame:
                     names=["_id", "_root", "block", "blocks", "shingles"],
                 )
 
+    pairs = "transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS i, greatest(o, block) AS j))"
+    if parts > 1:
+        pairs = f"filter({pairs}, p -> pmod(xxhash64(_root, p.i, p.j), {parts}) = {part})"
+        members = members.where(f"size({pairs}) > 0")
     texts = numbered(docs).select("_id", "text").join(broadcast_if_small(members), "_id")
     sets = texts.select("_id", "_root", "block", "blocks", "text").mapInArrow(
         read, "_id bigint, _root bigint, block int, blocks int, shingles binary"
     )
-    pairs = F.explode(F.expr("transform(sequence(0, blocks - 1), o -> struct(least(o, block) AS i, greatest(o, block) AS j))"))
-    return sets.select("_id", "_root", "block", "shingles", pairs.alias("pair")).select(
+    return sets.select("_id", "_root", "block", "shingles", F.explode(F.expr(pairs)).alias("pair")).select(
         "_id", "_root", "block", "shingles", "pair.i", "pair.j"
     )
 
 
+def compared_exactly(docs: DataFrame, members: DataFrame, classes: DataFrame) -> DataFrame:
+    """`verified` of all `members` (_id, _root, n, block, blocks), in parts by what their sets take on the way."""
+    shipped = members.agg(F.sum(F.col("n") * 8 * F.col("blocks"))).first()[0] or 0
+    limit = max(SHIPPED, SHARE * 8 * (classes.agg(F.sum("n")).first()[0] or 0))
+    parts = max(1, -int(-shipped // limit))
+    members = members.drop("n")
+    tables = [written(verified(with_shingles(docs, members, part, parts)), "verified") for part in range(parts)]
+    return reduce(DataFrame.union, tables)
+
+
 def joined(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, n_links, copy_of, n_shingles, _id of every document.
 
@@ -411,18 +475,19 @@ def joined(docs: DataFrame) -> DataFrame:
     classes = written(classes, "classes")
     one_each = classes.select(F.col("_class").alias("_id"))
     small = is_small(one_each)
-    reps = sets.where("n > 0").join(F.broadcast(one_each) if small else one_each, "_id", "left_semi").select("_id", "mins")
+    reps = sets.where("n > 0").join(F.broadcast(one_each) if small else one_each, "_id", "left_semi").select("_id", "n", "mins")
     reps = written(reps, "class-minima")
 
-    near = components(candidates(reps))
+    near = components(candidates(reps.select("_id", "mins")))
     n_near = near.count()
-    sizes = gathered(near.groupBy("root").agg(F.count("*").alias("size")), n_near)
-    members = gathered(near.join(sizes, "root"), n_near).select(
-        F.col("node").alias("_id"), F.col("root").alias("_root"),
-        F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"),
+    sized = near.join(reps.select(F.col("_id").alias("node"), "n"), "node")
+    sizes = gathered(sized.groupBy("root").agg(F.count("*").alias("size"), F.sum("n").alias("hashes")), n_near)
+    members = gathered(sized.join(sizes, "root"), n_near).select(
+        F.col("node").alias("_id"), F.col("root").alias("_root"), "n",
+        F.greatest(F.ceil(F.col("size") / MEMBERS), F.ceil(F.col("hashes") / HASHES)).cast("int").alias("blocks"),
     ).withColumn("block", F.pmod(F.xxhash64("_id"), F.col("blocks").cast("bigint")).cast("int"))
     members = written(members, "members")
-    checked = written(verified(with_shingles(docs, members)), "verified")
+    checked = compared_exactly(docs, members, reps)
 
     links = checked.where("b IS NULL").groupBy(F.col("a").alias("_class")).agg(F.sum("links").alias("n_links"))
     trees = components(checked.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "_class")
@@ -434,6 +499,7 @@ def joined(docs: DataFrame) -> DataFrame:
         "class_a", "class_b", "copy_of", "n_links", F.coalesce("_least", "copy_of").alias("class_id")
     )
     final = written(final, "final-classes")
+    removed(reps, members, checked, classes)
     return sets.select("_id", "doc_id", "n", "class_a", "class_b").join(
         F.broadcast(final) if small else final, ["class_a", "class_b"]
     ).select("doc_id", "class_id", "n_links", "copy_of", F.col("n").alias("n_shingles"), "_id")
