@@ -85,7 +85,7 @@ def repeats(docs) -> int:
 
 def test_parts_give_the_same_rows(spark, groups, monkeypatch):
     want = sorted(map(str, J.joined(groups).collect()))
-    for name, value in (("ROWS", 20_000), ("MEMBERS", 20), ("SHIPPED", 500_000), ("SHARE", 0), ("BLOCK", 16)):
+    for name, value in (("ROWS", 20_000), ("MEMBERS", 20), ("SHIPPED", 6_000_000), ("SHARE", 0), ("BLOCK", 16)):
         monkeypatch.setattr(J, name, value)
     levels, verified = [], []
     for name, calls in (("level", levels), ("verified", verified)):
@@ -113,3 +113,14 @@ def test_sizes_alone_rule_pairs_out(monkeypatch):
     assert len(seen) < 20 * 21 / 2
     left, right = sets[::2], sets[1::2]
     assert sorted(J.pairs(left, right)) == [[i, j] for i in range(40) for j in range(40) if share(left[i], right[j])]
+
+
+def test_near_duplicates_of_the_pipeline_free_their_tables(spark, groups):
+    from corpus_pipeline import near_duplicates
+
+    names = ("paths", "path-sizes", "led", "sketches", "class-minima", "members", "verified")
+    before = {n: len(tables(spark, n)) for n in names}
+    kept = {r.doc_id for r in near_duplicates(spark, groups, "").collect()}
+    assert {n: len(tables(spark, n)) for n in names} == before
+    first = J.joined(groups).where("doc_id IS NOT NULL").groupBy("class_id").agg(F.min("doc_id")).collect()
+    assert kept == {r[1] for r in first}
